@@ -56,6 +56,9 @@ MAX_BLOCK_CHARS = 6000
 SNIPPET_CHARS = 260
 MAX_ERROR_CHARS = 2000
 MAX_NAME_CHARS = 200
+MAX_QUESTION_CHARS = 2000
+MAX_TURN_CHARS = 8000
+MAX_TOP_K = 20
 OVERLAP_SEARCH = (5, 60)
 HISTORY_TURNS = 6
 EXTRACTIVE_BLOCKS = 4
@@ -115,11 +118,11 @@ def fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
         if 0xD800 <= code <= 0xDFFF:
             continue
         char = chr(code)
+        if not (unicodedata.decomposition(char) or unicodedata.combining(char)):
+            continue
         folded = "".join(
             c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)
         )
-        if folded == char:
-            continue
         if not folded:
             deleted.append(char)
         elif token_chars.intersection(folded):

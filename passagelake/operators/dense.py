@@ -62,6 +62,7 @@ def _search(query_ids: list[str], queries: np.ndarray, limit: int, scoped: bool)
             rough = vectors @ queries.T
             row, column = np.nonzero(allowed & (rough >= floor - 1e-9))
             exact = (vectors[row] * queries[column]).sum(axis=1)
+            exact = np.floor(exact * 1e9 + 0.5) / 1e9
             found = pd.DataFrame(
                 {
                     "query_id": np.asarray(query_ids, dtype=object)[column],

@@ -118,6 +118,12 @@ def in_scope(hits: DataFrame, scope: DataFrame, settings: Settings) -> DataFrame
     )
 
 
+def steady(score: Column) -> Column:
+    """Nine decimals: sums that differ only by the order of addition become equal, so
+    that ties are real ties and are broken by the stated keys."""
+    return F.floor(score * 1e9 + 0.5) / F.lit(1e9)
+
+
 def bm25_scores(
     weights: DataFrame,
     postings: DataFrame,
@@ -132,7 +138,7 @@ def bm25_scores(
     scored = hits.groupBy("query_id", "chunk_id").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("ordinal").alias("ordinal"),
-        F.sum(F.col("weight_idf") * saturation(average_length)).alias("score"),
+        steady(F.sum(F.col("weight_idf") * saturation(average_length))).alias("score"),
         (F.min("pos") < F.max("pos")).alias("several"),
         F.first("n_groups").alias("n_groups"),
     )

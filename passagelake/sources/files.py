@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions import lexicon as lx
 
-BINARY_SCHEMA = StructType.fromDDL(
-    "path string, modificationTime timestamp, length long, content binary"
-)
+BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def _as_uploads(df: DataFrame) -> DataFrame:
