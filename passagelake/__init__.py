@@ -1,7 +1,14 @@
 """Document retrieval and question answering as Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from .config import Settings
 
+# Functions run by Python workers travel with their code, so executors need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["Engine", "Settings"]
 
 

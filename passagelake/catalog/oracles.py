@@ -413,7 +413,7 @@ SELECTED = [*LEXICAL, mmr()]
 CONTEXT = [*SELECTED, RANGES, BLOCKS]
 
 _RANKED = "SELECT query_id, rank::INTEGER AS rank, chunk_id, doc_id, round(score, 6) AS score FROM "
-_CHUNKS = "SELECT chunk_id, doc_id, ordinal, page, n_words, md5(text) AS text_md5 FROM chunks"
+_CHUNKS = "SELECT chunk_id, doc_id, ordinal, coalesce(page, 0) AS page, n_words, md5(text) AS text_md5 FROM chunks"
 _SUMMARY = (
     "SELECT doc_id, len(t)::INTEGER AS n_tokens, len(list_distinct(t))::INTEGER AS n_terms, "
     "md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {} AS t FROM docs)"
@@ -551,11 +551,11 @@ FROM documents d JOIN firsts f ON f.sha = sha256(d.text)""",
     "(SELECT sum(n_words)::BIGINT FROM chunks) AS words FROM totals",
     "list_documents": with_(KEPT, chunks("kept"), _DOCS_INDEXED)
     + """SELECT doc_id, 'doc-' || doc_id || '.txt' AS filename, '.txt' AS extension,
-  strlen(text)::BIGINT AS size_bytes, NULL::INTEGER AS pages, n_chunks::INTEGER AS n_chunks,
+  strlen(text)::BIGINT AS size_bytes, 0::INTEGER AS pages, n_chunks::INTEGER AS n_chunks,
   n_words::BIGINT AS n_words, 'indexed' AS status, NULL::VARCHAR AS error,
   '2024-01-01T00:00:00+00:00' AS uploaded_at FROM indexed""",
     "document_previews": with_(KEPT, chunks("kept"))
-    + f"""SELECT doc_id, ordinal, page, md5(text) AS text_md5 FROM chunks
+    + f"""SELECT doc_id, ordinal, coalesce(page, 0) AS page, md5(text) AS text_md5 FROM chunks
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) <= {lx.PREVIEW_CHUNKS}""",
     "labelled_documents": with_(KEPT, chunks("kept"), _DOCS_INDEXED) + _HELD,
     "find_by_hash": with_(KEPT)
@@ -598,9 +598,9 @@ means AS (SELECT label::VARCHAR AS query_id, list(x ORDER BY i) AS m FROM cells
     + "SELECT query_id, doc_id, first_ordinal::INTEGER AS first_ordinal, "
     "last_ordinal::INTEGER AS last_ordinal, round(score, 6) AS score, chunk_ids FROM ranges",
     "context_pieces": with_(*SELECTED, RANGES)
-    + "SELECT query_id, doc_id, ordinal, page, md5(text) AS text_md5 FROM pieces",
+    + "SELECT query_id, doc_id, ordinal, coalesce(page, 0) AS page, md5(text) AS text_md5 FROM pieces",
     "context_text": with_(*CONTEXT)
-    + "SELECT query_id, n::INTEGER AS n, doc_id, filename, page, md5(text) AS text_md5, "
+    + "SELECT query_id, n::INTEGER AS n, doc_id, filename, coalesce(page, 0) AS page, md5(text) AS text_md5, "
     "length(text)::INTEGER AS n_chars FROM numbered",
     "formatted_context": with_(*CONTEXT)
     + """SELECT query_id, md5(string_agg('[' || n || '] (' || filename || ')' || chr(10) || text,
@@ -608,7 +608,7 @@ means AS (SELECT label::VARCHAR AS query_id, list(x ORDER BY i) AS m FROM cells
     "extractive_answers": with_(*CONTEXT, ANSWERS)
     + "SELECT query_id, mode, answer, array_to_string(cited, ',') AS cited, n_sources FROM answers",
     "answer_sources": with_(*CONTEXT, ANSWERS)
-    + f"""SELECT query_id, n::INTEGER AS n, doc_id AS document_id, filename, page,
+    + f"""SELECT query_id, n::INTEGER AS n, doc_id AS document_id, filename, coalesce(page, 0) AS page,
   {snippet('text')} AS snippet, list_contains(a.cited, n) AS cited
 FROM numbered JOIN answers a USING (query_id)""",
     "history_messages": f"""WITH recent AS (

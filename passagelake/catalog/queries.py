@@ -118,6 +118,11 @@ def changed_corpus(spark, sf_dir) -> Engine:
     return _engine(spark, sf_dir, "changed", build)
 
 
+def _page():
+    """Page numbers with 0 for none, as an integer column without nulls compares best."""
+    return F.coalesce("page", F.lit(0)).alias("page")
+
+
 # -- text functions -----------------------------------------------------------------------
 
 
@@ -318,7 +323,7 @@ def _chunks(spark, sf_dir, target, overlap):
         "doc_id", text_blocks(F.col("text")).alias("blocks")
     )
     return chunk_rows(with_chunks(blocks, target, overlap)).select(
-        "chunk_id", "doc_id", "ordinal", "page", "n_words", F.md5("text").alias("text_md5")
+        "chunk_id", "doc_id", "ordinal", _page(), "n_words", F.md5("text").alias("text_md5")
     )
 
 
@@ -389,12 +394,12 @@ def changed_stats(spark, sf_dir):
 
 
 def list_documents(spark, sf_dir):
-    return corpus(spark, sf_dir).list_documents()
+    return corpus(spark, sf_dir).list_documents().na.fill(0, ["pages"])
 
 
 def document_previews(spark, sf_dir):
     return corpus(spark, sf_dir).previews().select(
-        "doc_id", "ordinal", "page", F.md5("text").alias("text_md5")
+        "doc_id", "ordinal", _page(), F.md5("text").alias("text_md5")
     )
 
 
@@ -418,7 +423,7 @@ def find_by_hash(spark, sf_dir):
 
 def indexed_chunks(spark, sf_dir):
     return corpus(spark, sf_dir).indexed_chunks().select(
-        "chunk_id", "doc_id", "ordinal", "page", "n_words", F.md5("text").alias("text_md5")
+        "chunk_id", "doc_id", "ordinal", _page(), "n_words", F.md5("text").alias("text_md5")
     )
 
 
@@ -566,7 +571,7 @@ def context_pieces(spark, sf_dir):
     index, picks = _picks(spark, sf_dir)
     ranges = save(merged_ranges(picks, SETTINGS.neighbour_window), "ranges")
     return range_pieces(ranges, index.chunks, SETTINGS).select(
-        "query_id", "doc_id", "ordinal", "page", F.md5("text").alias("text_md5")
+        "query_id", "doc_id", "ordinal", _page(), F.md5("text").alias("text_md5")
     )
 
 
@@ -581,7 +586,7 @@ def context_text(spark, sf_dir):
         "n",
         "doc_id",
         "filename",
-        "page",
+        _page(),
         F.md5("text").alias("text_md5"),
         F.length("text").alias("n_chars"),
     )
@@ -605,7 +610,7 @@ def extractive_answers(spark, sf_dir):
 def answer_sources(spark, sf_dir):
     answers = _asked(spark, sf_dir)
     return answers.select("query_id", F.inline_outer("sources")).select(
-        "query_id", "n", "document_id", "filename", "page", "snippet", "cited"
+        "query_id", "n", "document_id", "filename", _page(), "snippet", "cited"
     )
 
 

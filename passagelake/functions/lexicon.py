@@ -61,6 +61,7 @@ MAX_TURN_CHARS = 8000
 MAX_TOP_K = 20
 OVERLAP_SEARCH = (5, 60)
 HISTORY_TURNS = 6
+MAX_REWRITE_CHARS = 400
 EXTRACTIVE_BLOCKS = 4
 EXTRACTIVE_PICKS = 3
 EXTRACTIVE_MIN_WORDS = 8

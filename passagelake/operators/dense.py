@@ -39,9 +39,14 @@ def _best(frame: pd.DataFrame, limit: int) -> pd.DataFrame:
     return ordered.groupby("query_id", sort=False).head(limit)
 
 
-def _search(query_ids: list[str], queries: np.ndarray, limit: int, scoped: bool):
-    """Score partitions against one block of query vectors, keeping ``limit`` rows each."""
+def _search(query_ids: list[str], queries: np.ndarray, limit: int, limited: set[str]):
+    """Score partitions against one block of query vectors, keeping ``limit`` rows each.
+
+    A query in ``limited`` sees only rows whose ``allowed`` list names it.
+    """
     width = queries.shape[1]
+    position = {q: i for i, q in enumerate(query_ids)}
+    free = np.array([q not in limited for q in query_ids])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = pd.DataFrame(columns=["query_id", "chunk_id", "doc_id", "score"])
@@ -51,12 +56,11 @@ def _search(query_ids: list[str], queries: np.ndarray, limit: int, scoped: bool)
             for row, vector in enumerate(batch["vector"]):
                 shared = min(width, len(vector))
                 vectors[row, :shared] = vector[:shared]
-            allowed = np.ones((len(batch), len(query_ids)), dtype=bool)
-            if scoped:
-                position = {q: i for i, q in enumerate(query_ids)}
-                allowed[:] = False
+            allowed = np.tile(free, (len(batch), 1))
+            if limited:
                 for row, ids in enumerate(batch["allowed"]):
-                    allowed[row, [position[q] for q in ids if q in position]] = True
+                    if ids is not None:
+                        allowed[row, [position[q] for q in ids if q in position]] = True
             # The matrix product finds what can still enter the top; those few scores
             # are then summed row by row, so equal vectors get equal scores.
             rough = vectors @ queries.T
@@ -111,11 +115,14 @@ def dense_topk(
         for i, r in enumerate(rows):
             matrix[i, : len(r["vector"])] = r["vector"]
         source = vectors.select(*columns)
+        limited: set[str] = set()
         if scope is not None:
-            mine = scope.where(F.col("query_id").isin(ids)) if len(ids) <= 500 else scope
+            # no more readers per document than there are queries in the block
+            mine = scope.where(block_of == block)
+            limited = {r[0] for r in mine.select("query_id").distinct().collect()}
             readers = mine.groupBy("doc_id").agg(F.collect_set("query_id").alias("allowed"))
-            source = source.join(readers, "doc_id")
-        part = source.mapInPandas(_search(ids, matrix, limit, scope is not None), HIT)
+            source = source.join(readers, "doc_id", "left")
+        part = source.mapInPandas(_search(ids, matrix, limit, limited), HIT)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], HIT)

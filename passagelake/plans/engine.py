@@ -28,6 +28,8 @@ from .store import SCHEMAS, Store
 
 # A generator gets the messages (role, content) of one question and returns the answer.
 Generator = Callable[[list[dict]], str]
+# A condenser gets a question and its recent turns and returns a standalone question.
+Condenser = Callable[[str, list[dict]], str]
 
 HISTORY = "array<struct<role:string,content:string>>"
 
@@ -36,6 +38,10 @@ def utc_now() -> str:
     return datetime.now(timezone.utc).isoformat(timespec="seconds")
 
 
+def _plain(turns) -> list[dict]:
+    return [t if isinstance(t, dict) else t.asDict() for t in turns]
+
+
 class Engine:
     def __init__(
         self,
@@ -44,12 +50,14 @@ class Engine:
         settings: Settings | None = None,
         encoder: Encoder | None = None,
         generator: Generator | None = None,
+        condenser: Condenser | None = None,
         model: str | None = None,
     ) -> None:
         self.spark = spark
         self.settings = settings or Settings()
         self.store = Store(spark, root, self.settings)
         self.encoder, self.generator, self.model = encoder, generator, model
+        self.condenser = condenser
 
     # -- ingest -----------------------------------------------------------------------
 
@@ -480,14 +488,15 @@ class Engine:
         asked = questions.withColumn("question", T.strip(F.coalesce("question", F.lit(""))))
         if "history" not in asked.columns:
             asked = asked.withColumn("history", F.array().cast(HISTORY))
-        asked = save(asked.select("query_id", "question", "history"), "asked")
-        valid = asked.where("question != ''")
+        asked = asked.select("query_id", "question", "history")
+        asked = save(self._condensed(asked), "asked")
+        valid = asked.where("question != ''").select(
+            "query_id", F.col("query_used").alias("question")
+        )
         index = self.index()
         if query_vectors is None:
             query_vectors = index.encoded(valid, self.encoder)
-        blocks = index.retrieve(
-            valid.select("query_id", "question"), top_k, scope, query_vectors
-        )
+        blocks = index.retrieve(valid, top_k, scope, query_vectors)
         found = asked.join(blocks, "query_id", "left").withColumn(
             "blocks", F.coalesce("blocks", F.array().cast(f"array<{BLOCK}>"))
         )
@@ -501,6 +510,33 @@ class Engine:
             )
         return self._answers(found)
 
+    def _condensed(self, asked: DataFrame) -> DataFrame:
+        """Add ``query_used``: a follow-up rewritten to stand alone, where that works."""
+        condenser = self.condenser
+        if condenser is None:
+            return asked.withColumn("query_used", F.col("question"))
+        follow_ups = asked.where(F.size("history") > 0).select(
+            "query_id", "question", A.recent_turns(F.col("history")).alias("turns")
+        )
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rewritten = []
+                for question, turns in zip(batch["question"], batch["turns"], strict=True):
+                    try:
+                        rewritten.append((condenser(question, _plain(turns)) or "").strip())
+                    except Exception:
+                        rewritten.append(None)
+                yield pd.DataFrame({"query_id": batch["query_id"], "rewritten": rewritten})
+
+        rewrites = follow_ups.mapInPandas(run, "query_id string, rewritten string")
+        length = F.length("rewritten")
+        usable = (length > 0) & (length <= lx.MAX_REWRITE_CHARS)
+        return asked.join(rewrites, "query_id", "left").select(
+            "query_id", "question", "history",
+            F.when(usable, F.col("rewritten")).otherwise(F.col("question")).alias("query_used"),
+        )
+
     def _generated(self, found: DataFrame) -> DataFrame:
         """Call the generator for every question that has context, batch by batch."""
         generator = self.generator
@@ -514,7 +550,7 @@ class Engine:
                 texts, problems = [], []
                 for turns in batch["m"]:
                     try:
-                        text = generator([dict(t) for t in turns])
+                        text = generator(_plain(turns))
                         texts.append((text or "").strip())
                         problems.append(None)
                     except Exception as error:
@@ -560,7 +596,7 @@ class Engine:
             "question",
             text.alias("answer"),
             mode.alias("mode"),
-            F.col("question").alias("query_used"),
+            "query_used",
             cited.alias("cited"),
             "blocks",
             F.coalesce(
@@ -585,19 +621,30 @@ class Engine:
         if not (question or "").strip():
             raise ValueError("Question must not be empty.")
         started = time.perf_counter()
-        turns = [(t.get("role"), t.get("content")) for t in history or []]
-        asked = self.spark.createDataFrame(
-            [("q", question, turns)], f"query_id string, question string, history {HISTORY}"
-        )
-        row = self.ask_many(asked, top_k, self._scope("q", doc_ids)).first()
+        row = self.ask_row(question, doc_ids, history, top_k)
         if row["error"]:
             raise RuntimeError(row["error"])
-        return {
+        elapsed = round((time.perf_counter() - started) * 1000, 1)
+        result = {
             "answer": row["answer"],
             "sources": [s.asDict() for s in row["sources"]],
             "mode": row["mode"],
             "model": row["model"],
-            "warning": row["warning"],
             "query_used": row["query_used"],
-            "timing_ms": {"total": round((time.perf_counter() - started) * 1000, 1)},
+            "timing_ms": {"total": elapsed},
         }
+        return result if row["mode"] == "no_match" else {**result, "warning": row["warning"]}
+
+    def ask_row(
+        self,
+        question: str,
+        doc_ids: list[str] | None = None,
+        history: list[dict] | None = None,
+        top_k: int | None = None,
+    ):
+        """The row :meth:`ask_many` gives for one question."""
+        turns = [(t.get("role"), t.get("content")) for t in history or []]
+        asked = self.spark.createDataFrame(
+            [("q", question, turns)], f"query_id string, question string, history {HISTORY}"
+        )
+        return self.ask_many(asked, top_k, self._scope("q", doc_ids)).first()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .config import Settings
 
 _CONF = "spark.checkpoint.dir"
+_local_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,11 +23,12 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(_CONF, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError(f"Set {_CONF} to a folder that all executors can reach.")
-    folder = tempfile.mkdtemp(prefix="passagelake-")
-    spark.conf.set(_CONF, folder)
-    return folder
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="passagelake-")
+    return _local_folders[context.applicationId]
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
