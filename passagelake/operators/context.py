@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import lexicon as lx
 from ..functions import text as T
-from ..workspace import join_small, save
+from ..workspace import join_small, save, spread
 
 BLOCK = (
     "struct<n:int,doc_id:string,filename:string,page:int,text:string,score:double,"
@@ -65,7 +65,7 @@ def context_blocks(
     """
     ranges = save(merged_ranges(selected, settings.neighbour_window), "ranges")
     pieces = range_pieces(ranges, chunks, settings)
-    texts = pieces.groupBy("query_id", "doc_id", "first").agg(
+    texts = spread(pieces, "query_id").groupBy("query_id", "doc_id", "first").agg(
         F.array_sort(F.collect_list(F.struct("ordinal", "page", "text"))).alias("pieces")
     )
     body = F.left(T.join_without_overlap(F.col("pieces.text")), F.lit(lx.MAX_BLOCK_CHARS))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.text import bind
+from ..workspace import spread
 
 _POOL = (
     "array<struct<rank:int,chunk_id:string,doc_id:string,ordinal:int,score:double,"
@@ -27,7 +28,7 @@ def diversify(candidates: DataFrame, top_k: int, lambda_: float = 0.7) -> DataFr
         "chunk_id", "doc_id", "ordinal", "score", "terms",
         F.lit(0.0).alias("redundancy"),
     )
-    pools = candidates.groupBy("query_id").agg(
+    pools = spread(candidates, "query_id").groupBy("query_id").agg(
         F.array_sort(F.collect_list(member)).cast(_POOL).alias("pool"),
         F.max("score").alias("_max"),
     ).select("query_id", "pool", F.when(F.col("_max") == 0, 1.0).otherwise(F.col("_max")).alias("_best"))

@@ -30,9 +30,17 @@ def fuzzy_neighbours(
         F.col("n_grams").alias("q_n"),
         F.col("grams").alias("q_grams"),
         F.col("prefix").alias("q_prefix"),
+        F.col("signature").alias("q_signature"),
     )
-    least = F.lit(lx.FUZZY_MIN_SIMILARITY) - F.lit(1e-9)
     n, q_n = F.col("n_grams"), F.col("q_n")
+    # Two signatures share a bit for each shared gram, short of the bits that collide
+    # inside one of the terms. Most pairs fall here, on integers alone.
+    floor = lx.FUZZY_MIN_SIMILARITY
+    needed = (q_n + n) * F.lit(floor / (1 + floor)) - F.lit(1e-9)
+    slack = F.least(n - F.bit_count("signature"), q_n - F.bit_count("q_signature"))
+    most_shared = slack + F.bit_count(
+        F.col("signature").bitwiseAND(F.col("q_signature"))
+    )
     shared = F.size(F.array_intersect("q_grams", "grams"))
     similarity = shared.cast("double") / (q_n + n - shared)
     # A pair may meet on several grams; it counts where it first could, which makes
@@ -41,7 +49,7 @@ def fuzzy_neighbours(
     return (
         join_small(grams, wanted, ["gram"], "term", settings)
         .where(F.col("term") != F.col("q_term"))
-        .where(F.least(n, q_n) >= F.greatest(n, q_n) * least)
+        .where((most_shared >= needed) & (F.least(n, q_n) >= needed))
         .where(F.col("gram") == first_meeting)
         .select("q_term", "term", similarity.alias("similarity"))
         .where(F.col("similarity") >= lx.FUZZY_MIN_SIMILARITY)
@@ -131,22 +139,27 @@ def bm25_scores(
     settings: Settings,
     scope: DataFrame | None = None,
 ) -> DataFrame:
-    """``query_id, chunk_id, doc_id, ordinal, score`` of chunks above the match floor."""
-    hits = join_small(postings, weights, ["term"], "chunk_id", settings)
+    """``query_id, doc_id, ordinal, score`` of the chunks above the match floor."""
+    hits = join_small(
+        postings.select("term", "doc_id", "ordinal", "tf", "length"),
+        weights,
+        ["term"],
+        "doc_id",
+        settings,
+    )
     if scope is not None:
         hits = in_scope(hits, scope, settings)
-    scored = hits.groupBy("query_id", "chunk_id").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("ordinal").alias("ordinal"),
+    # Only numbers are aggregated: Spark then keeps to hash aggregation.
+    scored = hits.groupBy("query_id", "doc_id", "ordinal").agg(
         steady(F.sum(F.col("weight_idf") * saturation(average_length))).alias("score"),
         (F.min("pos") < F.max("pos")).alias("several"),
-        F.first("n_groups").alias("n_groups"),
+        F.max("n_groups").alias("n_groups"),
     )
     # A floor of two distinct terms is met exactly when the first and the last matched
     # position differ, so no set has to be collected per chunk.
     short = F.col("n_groups") <= lx.SHORT_QUESTION_TERMS
     return scored.where(short | F.col("several")).select(
-        "query_id", "chunk_id", "doc_id", "ordinal", "score"
+        "query_id", "doc_id", "ordinal", "score"
     )
 
 
@@ -159,6 +172,8 @@ def top_chunks(scores: DataFrame, limit: int) -> DataFrame:
     best_first = Window.partitionBy("query_id").orderBy(
         F.desc("score"), "doc_id", "ordinal"
     )
-    return scores.withColumn("rank", F.row_number().over(best_first)).where(
-        F.col("rank") <= limit
+    ranked = scores.withColumn("rank", F.row_number().over(best_first))
+    chunk_id = F.concat_ws(":", "doc_id", F.col("ordinal").cast("string"))
+    return ranked.where(F.col("rank") <= limit).select(
+        "query_id", chunk_id.alias("chunk_id"), "doc_id", "ordinal", "score", "rank"
     )

@@ -68,10 +68,12 @@ def prefix_length(n: Column) -> Column:
 
 
 def gram_prefixes(terms: DataFrame, order: DataFrame) -> DataFrame:
-    """``term, n_grams, grams, prefix`` with grams from rarest to most common.
+    """``term, n_grams, grams, prefix, signature`` with grams from rarest to most common.
 
-    ``order`` is bounded by the gram alphabet, see :func:`gram_order`.
+    The signature sets one of 64 bits per gram, a cheap bound on how many grams two terms
+    can share. ``order`` is bounded by the gram alphabet, see :func:`gram_order`.
     """
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(gram), 64) as int))")
     ordered = (
         terms.select("term", F.explode_outer(T.char_ngrams(F.col("term"))).alias("gram"))
         .join(F.broadcast(order), "gram", "left")
@@ -79,15 +81,17 @@ def gram_prefixes(terms: DataFrame, order: DataFrame) -> DataFrame:
         .agg(
             F.array_sort(
                 F.collect_list(F.struct(F.coalesce("holders", F.lit(0)).alias("h"), "gram"))
-            ).alias("pairs")
+            ).alias("pairs"),
+            F.bit_or(bit).alias("signature"),
         )
-        .select("term", F.col("pairs.gram").alias("grams"))
+        .select("term", F.col("pairs.gram").alias("grams"), "signature")
     )
     return ordered.select(
         "term",
         F.size("grams").alias("n_grams"),
         "grams",
         F.slice("grams", F.lit(1), prefix_length(F.size("grams"))).alias("prefix"),
+        "signature",
     )
 
 

@@ -22,7 +22,7 @@ from ..operators.dense import Encoder, encode
 from ..operators.extract import NO_TEXT, PACKED, extract
 from ..operators.intake import checked_uploads, first_of_each
 from ..sources.files import read_uploads
-from ..workspace import save
+from ..workspace import save, spread
 from .index import Index
 from .store import SCHEMAS, Store
 
@@ -99,9 +99,12 @@ class Engine:
             first_of_each(fresh, ["sha256", "extension"], "position", "doc_id"), "candidates"
         )
 
-        files = checked.join(candidates.select("doc_id"), "doc_id", "left_semi")
+        # content crosses the network once, to where its chunks will be written from
+        files = spread(checked.select("doc_id", "extension", "content"), "doc_id").join(
+            candidates.select("doc_id"), "doc_id", "left_semi"
+        )
         packed = not fresh.where(F.col("extension").isin(*PACKED)).isEmpty()
-        blocks = extract(files.select("doc_id", "extension", "content"), packed)
+        blocks = extract(files, packed)
         pages = F.array_max(F.transform("blocks", lambda b: F.coalesce(b.page, F.lit(0))))
         parsed = with_chunks(
             blocks.withColumn("pages", F.when(pages > 0, pages)),
@@ -564,7 +567,7 @@ class Engine:
         return found.join(answers, "query_id", "left")
 
     def _answers(self, found: DataFrame) -> DataFrame:
-        quoted = found.withColumn(
+        quoted = spread(found, "query_id").withColumn(
             "_quoted", A.extractive_answer(F.col("question"), F.col("blocks"))
         )
         empty = F.col("question") == ""

@@ -33,7 +33,10 @@ SCHEMAS = {
         "term string, chunk_id string, doc_id string, ordinal int, tf int, length int"
     ),
     "vocabulary": "term string, df long",
-    "grams": "gram string, term string, n_grams int, grams array<string>, prefix array<string>",
+    "grams": (
+        "gram string, term string, n_grams int, grams array<string>, prefix array<string>, "
+        "signature long"
+    ),
     "vectors": "chunk_id string, doc_id string, vector array<double>",
     "files": "doc_id string, content binary",
     "deletions": "doc_id string",

@@ -43,6 +43,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """One partition per core's worth of keys, for rows that are few but costly.
+
+    Left to itself Spark would merge small partitions and leave the work to one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def fits_broadcast(df: DataFrame, settings: Settings) -> bool:
     """Whether a written table is small enough, in rows and in bytes, to broadcast."""
     width = F.octet_length(F.to_json(F.struct(*df.columns)))
