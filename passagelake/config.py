@@ -51,7 +51,9 @@ class Settings:
     # the largest side, in rows and bytes, that may be sent to every executor
     broadcast_rows: int = _from_env(env_int, "BROADCAST_ROWS", 500_000)
     broadcast_mb: int = _from_env(env_int, "BROADCAST_MB", 64)
-    # copies made of the small side when it is too big for that
+    # rows of one key that a single task takes; more are split
+    hot_rows: int = _from_env(env_int, "HOT_ROWS", 2_000_000)
+    # copies made of the small side when it is too big to broadcast
     salts: int = _from_env(env_int, "SALTS", 16)
 
     @property

@@ -13,6 +13,9 @@ from ..config import Settings
 
 HIT = "query_id string, chunk_id string, doc_id string, score double"
 
+# queries scored at a time inside a task, which bounds the size of the product
+_COLUMNS = 256
+
 # An encoder turns texts into vectors of unit length.
 Encoder = Callable[[list[str]], list[list[float]]]
 
@@ -63,8 +66,17 @@ def _search(query_ids: list[str], queries: np.ndarray, limit: int, limited: set[
                         allowed[row, [position[q] for q in ids if q in position]] = True
             # The matrix product finds what can still enter the top; those few scores
             # are then summed row by row, so equal vectors get equal scores.
-            rough = vectors @ queries.T
-            row, column = np.nonzero(allowed & (rough >= floor - 1e-9))
+            rows, columns = [], []
+            for low in range(0, len(query_ids), _COLUMNS):
+                part = slice(low, low + _COLUMNS)
+                rough = np.where(allowed[:, part], vectors @ queries[part].T, -np.inf)
+                bar = floor[part]
+                if len(batch) > limit:
+                    bar = np.maximum(bar, np.partition(rough, -limit, axis=0)[-limit])
+                row, column = np.nonzero((rough >= bar - 1e-9) & np.isfinite(rough))
+                rows.append(row)
+                columns.append(column + low)
+            row, column = np.concatenate(rows), np.concatenate(columns)
             exact = (vectors[row] * queries[column]).sum(axis=1)
             exact = np.floor(exact * 1e9 + 0.5) / 1e9
             found = pd.DataFrame(

@@ -34,15 +34,23 @@ def rejection(extension: Column, size: Column, settings: Settings) -> Column:
 
 
 def checked_uploads(uploads: DataFrame, settings: Settings) -> DataFrame:
-    """Add safe ``filename``, ``extension``, ``size_bytes``, ``sha256``, ``rejected``."""
-    others = [c for c in uploads.columns if c not in ("filename", "content")]
+    """Add safe ``filename``, ``extension``, ``size_bytes``, ``sha256``, ``rejected``.
+
+    A source that knows the size of files too big to load says so in ``size_bytes``.
+    """
+    others = [c for c in uploads.columns if c not in ("filename", "content", "size_bytes")]
+    size = F.coalesce(F.octet_length("content"), F.lit(0)).cast("long")
+    if "size_bytes" in uploads.columns:
+        size = F.coalesce("size_bytes", size)
     named = uploads.select(
-        *others, T.safe_filename(F.col("filename")).alias("filename"), "content"
+        *others,
+        T.safe_filename(F.col("filename")).alias("filename"),
+        "content",
+        size.alias("size_bytes"),
     )
     sized = named.select(
         "*",
         T.extension(F.col("filename")).alias("extension"),
-        F.coalesce(F.octet_length("content"), F.lit(0)).alias("size_bytes"),
     )
     return sized.select(
         "*",

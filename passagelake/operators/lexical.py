@@ -113,16 +113,15 @@ def saturation(average_length: float) -> Column:
 
 
 def in_scope(hits: DataFrame, scope: DataFrame, settings: Settings) -> DataFrame:
-    """Keep hits inside their question's documents; unmentioned questions keep all."""
-    limited = scope.select("query_id").distinct().withColumn("_limited", F.lit(True))
+    """Keep hits inside their question's documents; unmentioned questions keep all.
+
+    ``hits`` says in ``limited`` whether its question has a scope.
+    """
     allowed = scope.select("query_id", "doc_id").distinct().withColumn("_allowed", F.lit(True))
     if fits_broadcast(allowed, settings):
-        limited, allowed = F.broadcast(limited), F.broadcast(allowed)
-    return (
-        hits.join(limited, "query_id", "left")
-        .join(allowed, ["query_id", "doc_id"], "left")
-        .where(F.col("_limited").isNull() | F.col("_allowed"))
-        .drop("_limited", "_allowed")
+        allowed = F.broadcast(allowed)
+    return hits.join(allowed, ["query_id", "doc_id"], "left").where(
+        ~F.col("limited") | F.col("_allowed")
     )
 
 
@@ -140,6 +139,15 @@ def bm25_scores(
     scope: DataFrame | None = None,
 ) -> DataFrame:
     """``query_id, doc_id, ordinal, score`` of the chunks above the match floor."""
+    if scope is not None:
+        scope = save(scope.select("query_id", "doc_id"), "scope")
+        named = scope.select("query_id").distinct().withColumn("_named", F.lit(True))
+        weights = save(
+            weights.join(named, "query_id", "left")
+            .withColumn("limited", F.col("_named").isNotNull())
+            .drop("_named"),
+            "scoped-weights",
+        )
     hits = join_small(
         postings.select("term", "doc_id", "ordinal", "tf", "length"),
         weights,

@@ -22,7 +22,7 @@ from ..operators.dense import Encoder, encode
 from ..operators.extract import NO_TEXT, PACKED, extract
 from ..operators.intake import checked_uploads, first_of_each
 from ..sources.files import read_uploads
-from ..workspace import save, spread
+from ..workspace import lookup, save, spread
 from .index import Index
 from .store import SCHEMAS, Store
 
@@ -62,7 +62,8 @@ class Engine:
     # -- ingest -----------------------------------------------------------------------
 
     def ingest_folder(self, folder: str, **options) -> DataFrame:
-        return self.ingest(read_uploads(self.spark, folder), **options)
+        uploads = read_uploads(self.spark, folder, self.settings.max_upload_bytes)
+        return self.ingest(uploads, **options)
 
     def ingest(
         self,
@@ -94,7 +95,9 @@ class Engine:
             .groupBy("sha256")
             .agg(F.min("doc_id").alias("known_id"))
         )
-        fresh = accepted.join(known, "sha256", "left_anti") if snapshot.segments else accepted
+        fresh = accepted
+        if snapshot.segments:
+            fresh = lookup(accepted, known, ["sha256"], "doc_id", self.settings, "left_anti")
         candidates = save(
             first_of_each(fresh, ["sha256", "extension"], "position", "doc_id"), "candidates"
         )
@@ -150,9 +153,11 @@ class Engine:
         totals = self._write_index(kept, segment, vectors)
 
         inline = outcomes.where((F.col("status") == "indexed") & F.col("stored_path").isNull())
-        store.write(
-            "files", checked.join(inline.select("doc_id"), "doc_id", "left_semi"), segment
-        )
+        if not inline.isEmpty():
+            kept_bytes = checked.select("doc_id", "content").join(
+                inline.select("doc_id"), "doc_id", "left_semi"
+            )
+            store.write("files", kept_bytes, segment)
         documents = (
             outcomes.where(F.col("status").isin("indexed", "failed"))
             .dropDuplicates(["doc_id"])
@@ -183,17 +188,23 @@ class Engine:
             out = out.withColumn("doc_id", F.left(F.sha2(parts, 256), F.lit(32)))
         return out
 
-    @staticmethod
     def _outcomes(
-        register: DataFrame, known: DataFrame | None, tried: DataFrame, survivors: DataFrame
+        self, register: DataFrame, known: DataFrame | None, tried: DataFrame, survivors: DataFrame
     ) -> DataFrame:
         if known is None:
             with_known = register.withColumn("known_id", F.lit(None).cast("string"))
         else:
-            with_known = register.join(known, "sha256", "left")
-        attempts = tried.select("sha256", "extension", "problem", "pages", "n_chunks", "n_words")
-        joined = with_known.join(attempts, ["sha256", "extension"], "left").join(
-            survivors, "sha256", "left"
+            with_known = lookup(register, known, ["sha256"], "doc_id", self.settings)
+        # what is known about each (hash, kind), so that one lookup brings everything
+        tries = tried.select(
+            "sha256", "extension", "problem", "pages", "n_chunks", "n_words"
+        ).join(survivors, "sha256", "left")
+        joined = lookup(
+            with_known,
+            tries,
+            ["sha256", "extension"],
+            "doc_id",
+            self.settings,
         )
         rejected = F.col("rejected").isNotNull()
         later = F.struct("position", "doc_id") > F.struct("kept_position", "kept_id")

@@ -23,7 +23,9 @@ def start_ingest(
     committed is skipped. Duplicates of earlier batches are found in the tables, which
     are the only state.
     """
-    uploads = stream_uploads(engine.spark, source) if isinstance(source, str) else source
+    uploads = source
+    if isinstance(source, str):
+        uploads = stream_uploads(engine.spark, source, engine.settings.max_upload_bytes)
 
     def take(batch: DataFrame, batch_id: int) -> None:
         engine.ingest(batch, segment=f"{name}-{batch_id:010d}")

@@ -75,6 +75,34 @@ def join_small(
     return salted_large.join(copies, [*on, "_salt"]).drop("_salt")
 
 
+def lookup(
+    left: DataFrame, right: DataFrame, on: list[str], spread_by: str, settings: Settings,
+    how: str = "left",
+) -> DataFrame:
+    """Join that keeps working when a few keys hold a large share of ``left``.
+
+    Keys with more than ``settings.hot_rows`` rows are found by an aggregate (there can be
+    no more of them than rows / hot_rows). Their rows are split over as many tasks as
+    that size asks for, and only their matches in ``right`` are copied.
+    """
+    counted = left.groupBy(*on).agg(F.count("*").alias("_n")).where(
+        F.col("_n") > settings.hot_rows
+    )
+    pieces = F.ceil(F.col("_n") / F.lit(settings.hot_rows)).cast("int")
+    hot = save(counted.select(*on, pieces.alias("_pieces")), "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, on, how)
+    few = F.broadcast(hot)
+    share = F.coalesce("_pieces", F.lit(1))
+    salted = left.join(few, on, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(spread_by), share).cast("int")
+    )
+    copies = right.join(few, on, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), share - 1))
+    )
+    return salted.drop("_pieces").join(copies.drop("_pieces"), [*on, "_salt"], how).drop("_salt")
+
+
 def prune_buckets(
     large: DataFrame, column: str, small: DataFrame, bucket_of, buckets: int
 ) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from conftest import CORPUS, GARAGE, HANDBOOK, KITCHEN, uploads
+from passagelake.config import Settings
 from passagelake.functions import lexicon as lx
 from passagelake.plans.engine import Engine
 from passagelake.streaming.events import ask_stream, server_sent
@@ -143,10 +144,13 @@ def test_events(library):
 
 
 def test_second_upload_is_known(spark, make_engine):
-    engine = make_engine({"bees.txt": HANDBOOK})
-    again = engine.ingest(uploads(spark, {"other.txt": HANDBOOK, "kitchen.md": KITCHEN})).collect()
+    # with hot_rows this low every repeated key takes the split path
+    engine = make_engine({"bees.txt": HANDBOOK, "twin.txt": HANDBOOK}, settings=Settings(hot_rows=1))
+    again = engine.ingest(uploads(spark, {"other.txt": HANDBOOK, "third.txt": HANDBOOK, "kitchen.md": KITCHEN})).collect()
     got = {r["filename"]: r for r in again}
-    assert got["other.txt"]["duplicate"] and got["kitchen.md"]["status"] == "indexed"
+    assert got["other.txt"]["duplicate"] and got["third.txt"]["duplicate"]
+    assert len({r["doc_id"] for r in again}) == 2
+    assert got["kitchen.md"]["status"] == "indexed"
     assert engine.stats()["documents"] == 2
 
 
@@ -301,5 +305,10 @@ def test_folder_and_stream(spark, make_engine, tmp_path):
     assert engine.stats()["documents"] == 2
     doc = engine.documents().where("filename = 'kitchen.md'").first()
     assert bytes(engine.download(doc["doc_id"]).first()["content"]) == KITCHEN
-    other = make_engine(name="other")
-    assert status_of(other.ingest_folder(str(inbox)))["copy.txt"][0] == "duplicate"
+    (inbox / "huge.md").write_bytes(b"x" * ((1 << 20) + 1))
+    other = make_engine(name="other", settings=Settings(max_upload_mb=1, hot_rows=1))
+    got = status_of(other.ingest_folder(str(inbox)))
+    assert {n: s for n, (s, _) in got.items()} == {
+        "bees.txt": "indexed", "copy.txt": "duplicate", "kitchen.md": "indexed", "huge.md": "rejected",
+    }
+    assert got["huge.md"][1] == "File is 1.0 MB; the limit is 1 MB."
