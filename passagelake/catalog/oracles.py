@@ -497,7 +497,7 @@ placed AS (
 SELECT conv_id, turn, string_agg(v::VARCHAR, ',' ORDER BY spot) AS cited FROM placed GROUP BY conv_id, turn""",
     "upload_checks": f"""WITH named AS (SELECT page_id, {_file('url')} AS filename, html FROM pages),
 typed AS (SELECT *, {_suffix('filename')} AS extension FROM named)
-SELECT page_id, filename, extension, strlen(html)::INTEGER AS size_bytes, sha256(html) AS sha256,
+SELECT page_id, filename, extension, strlen(html)::BIGINT AS size_bytes, sha256(html) AS sha256,
   CASE WHEN extension NOT IN ('.docx', '.md', '.pdf', '.txt')
        THEN 'Unsupported file type ''' || CASE WHEN extension = '' THEN '(none)' ELSE extension END
             || '''. Supported: .docx, .md, .pdf, .txt.'
