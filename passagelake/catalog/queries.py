@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..functions import lexicon as lx
 from ..functions import text as T
 from ..operators import answer as A
 from ..operators import postings as P
@@ -615,7 +616,14 @@ def answer_sources(spark, sf_dir):
 
 
 def history_messages(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+    # only the last turns can matter, so no more than those are brought together
+    latest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    recent = (
+        table(spark, sf_dir, "conversations")
+        .withColumn("_age", F.row_number().over(latest))
+        .where(F.col("_age") <= lx.HISTORY_TURNS)
+    )
+    turns = recent.groupBy("conv_id").agg(
         F.array_sort(
             F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))
         ).alias("turns")

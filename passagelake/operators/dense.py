@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,6 +22,28 @@ _COLUMNS = 256
 Encoder = Callable[[list[str]], list[list[float]]]
 
 
+def build_encoder(enabled: bool, model_name: str) -> Encoder | None:
+    """The configured sentence encoder, or None where it is off or cannot be had."""
+    if not enabled:
+        return None
+    try:
+        load_model(model_name)
+    except Exception as problem:
+        logging.getLogger(__name__).warning(
+            "No encoder %s (%s); retrieval stays lexical.", model_name, problem
+        )
+        return None
+    return lambda texts: load_model(model_name).encode(texts, normalize_embeddings=True).tolist()
+
+
+@lru_cache(maxsize=1)
+def load_model(model_name: str):
+    """One model per process: loaded on the driver to check, then in each worker."""
+    from sentence_transformers import SentenceTransformer
+
+    return SentenceTransformer(model_name)
+
+
 def encode(texts: DataFrame, key: list[str], text: str, encoder: Encoder) -> DataFrame:
     """``key..., vector`` for every text. A batch the encoder fails on has no vectors."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.select(key).schema)

@@ -18,7 +18,7 @@ from ..operators import answer as A
 from ..operators import postings as P
 from ..operators.chunk import chunk_rows, with_chunks
 from ..operators.context import BLOCK, sources
-from ..operators.dense import Encoder, encode
+from ..operators.dense import Encoder, build_encoder, encode
 from ..operators.extract import NO_TEXT, PACKED, extract
 from ..operators.intake import checked_uploads, first_of_each
 from ..sources.files import read_uploads
@@ -56,7 +56,10 @@ class Engine:
         self.spark = spark
         self.settings = settings or Settings()
         self.store = Store(spark, root, self.settings)
-        self.encoder, self.generator, self.model = encoder, generator, model
+        self.encoder = encoder or build_encoder(
+            self.settings.embeddings_enabled, self.settings.embedding_model
+        )
+        self.generator, self.model = generator, model
         self.condenser = condenser
 
     # -- ingest -----------------------------------------------------------------------
