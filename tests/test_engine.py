@@ -312,3 +312,14 @@ def test_folder_and_stream(spark, make_engine, tmp_path):
         "bees.txt": "indexed", "copy.txt": "duplicate", "kitchen.md": "indexed", "huge.md": "rejected",
     }
     assert got["huge.md"][1] == "File is 1.0 MB; the limit is 1 MB."
+
+
+def test_an_engine_without_documents(spark, make_engine):
+    engine = make_engine()
+    assert engine.ask("anything at all")["mode"] == "no_match"
+    got = status_of(engine.ingest(uploads(spark, {"photo.png": b"\x89PNG", "spaces.md": b" \n"})))
+    assert [got[n][0] for n in ("photo.png", "spaces.md")] == ["rejected", "failed"]
+    assert engine.ask("anything at all")["mode"] == "no_match"
+    assert engine.stats()["documents"] == engine.stats()["vocabulary"] == 0
+    engine.ingest(uploads(spark, {"bees.txt": HANDBOOK}))
+    assert engine.ask("swarm incident")["sources"][0]["filename"] == "bees.txt"
