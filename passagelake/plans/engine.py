@@ -236,9 +236,9 @@ class Engine:
         chunks = store.write("chunks", P.analysed(chunk_rows(parsed)), segment)
         postings = store.write("postings", P.postings(chunks), segment)
         vocabulary = store.write("vocabulary", P.document_frequency(postings), segment)
-        order = store.gram_order()
-        if order is None:
-            order = store.write_gram_order(P.gram_order(vocabulary))
+        order = store.read("gram_order", store.snapshot())
+        if order.isEmpty():
+            order = store.write("gram_order", P.gram_order(vocabulary), segment)
         store.write("grams", P.by_prefix_gram(P.gram_prefixes(vocabulary, order)), segment)
         encoded = None
         indexed = chunks.where("length > 0")
@@ -321,9 +321,8 @@ class Engine:
         for table in ("documents", "chunks", "files", "vectors", "postings"):
             store.write(table, store.read(table, snapshot), segment)
         vocabulary = store.write("vocabulary", store.vocabulary(snapshot), segment)
-        order = store.gram_order()
-        if order is not None:
-            store.write("grams", P.by_prefix_gram(P.gram_prefixes(vocabulary, order)), segment)
+        order = store.write("gram_order", P.gram_order(vocabulary), segment)
+        store.write("grams", P.by_prefix_gram(P.gram_prefixes(vocabulary, order)), segment)
         store.commit(
             segment,
             "compact",
@@ -442,16 +441,13 @@ class Engine:
         """The tables as of now. Nothing is loaded: a restart has nothing to rebuild."""
         store = self.store
         snapshot = store.snapshot()
-        order = store.gram_order()
-        if order is None:
-            order = self.spark.createDataFrame([], "gram string, holders long")
         return Index(
             documents=store.read("documents", snapshot),
             chunks=store.read("chunks", snapshot),
             postings=store.read("postings", snapshot),
             vocabulary=store.vocabulary(snapshot),
             grams=store.read("grams", snapshot),
-            gram_order=order,
+            gram_order=store.read("gram_order", snapshot),
             n_chunks=snapshot.n_chunks,
             average_length=snapshot.average_length,
             settings=self.settings,

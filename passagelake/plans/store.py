@@ -37,6 +37,9 @@ SCHEMAS = {
         "gram string, term string, n_grams int, grams array<string>, prefix array<string>, "
         "signature long"
     ),
+    # the order of grams, held by the segment that fixed it: any order gives right results
+    # as long as all live segments and every question use the same one
+    "gram_order": "gram string, holders long",
     "vectors": "chunk_id string, doc_id string, vector array<double>",
     "files": "doc_id string, content binary",
     "deletions": "doc_id string",
@@ -181,17 +184,3 @@ class Store:
             return rows
         summed = rows.groupBy("term_bucket", "term").agg(F.sum("df").alias("df"))
         return summed.where("df > 0")
-
-    def gram_order(self) -> DataFrame | None:
-        """The order of grams fixed by the first segment: any order gives right results
-        as long as every segment and every question use the same one."""
-        try:
-            return self.spark.read.schema("gram string, holders long").parquet(
-                self.path("gram_order")
-            )
-        except AnalysisException:
-            return None
-
-    def write_gram_order(self, order: DataFrame) -> DataFrame:
-        order.coalesce(1).write.mode("overwrite").parquet(self.path("gram_order"))
-        return self.gram_order()
