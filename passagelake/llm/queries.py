@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import contaminated, scan
 from .line_dedup import dedup_lines
+from .quality_rules import judge
 
 
 def op1_line_dedup(spark, sf_dir) -> DataFrame:
@@ -15,7 +17,23 @@ def op1_line_dedup(spark, sf_dir) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op1_line_dedup,)}
+def op4_quality_rules(spark, sf_dir) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents")).select(
+        "_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op10_decontamination(spark, sf_dir) -> DataFrame:
+    scanned = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=13)
+    return scanned.select(
+        "_row.doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        contaminated(20).alias("contaminated"),
+    )
+
+
+QUERIES = {q.__name__: q for q in (op1_line_dedup, op4_quality_rules, op10_decontamination)}
 
 ORACLES = {
     "op1_line_dedup": r"""
@@ -37,5 +55,98 @@ WITH docs AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY r, doc_id
+""",
+    "op4_quality_rules": r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+    FROM documents
+), windows AS (
+    SELECT r, unnest(range(len(w) - 7)) AS p, w FROM docs WHERE len(w) >= 8
+), grams AS (
+    SELECT r, p, count(*) OVER (PARTITION BY r, array_to_string(w[p + 1 : p + 8], ' ')) AS n FROM windows
+), hit AS (
+    SELECT r, count(DISTINCT p + k) AS n FROM grams, range(8) t(k) WHERE n > 1 GROUP BY r
+), f AS (
+    SELECT docs.r, doc_id, lang, source, len(w)::BIGINT AS n_words,
+        length(array_to_string(w, ''))::BIGINT AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+        (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l)::BIGINT AS n_lines,
+        coalesce(hit.n, 0)::BIGINT AS n_repeat_words
+    FROM docs LEFT JOIN hit USING (r)
+), v AS (
+    SELECT lang, source, 'symbols' AS rule, n_symbols / word_chars AS v FROM f WHERE n_words > 0
+    UNION ALL SELECT lang, source, 'repeats', n_repeat_words / n_words FROM f WHERE n_words > 0
+    UNION ALL SELECT lang, source, 'lines', n_dup_lines / n_lines FROM f WHERE n_words > 0
+    UNION ALL SELECT lang, source, 'word_length', word_chars / n_words FROM f WHERE n_words > 0
+), b AS (
+    SELECT lang, source, rule, CASE WHEN v > 0 THEN ceil(ln(v) / ln(1.02))::INT ELSE -1000000 END AS bin, count(*) AS n
+    FROM v GROUP BY ALL
+), level AS (
+    SELECT 2 AS g, lang, source, rule, bin, sum(n) AS n FROM b GROUP BY ALL
+    UNION ALL SELECT 1, lang, '', rule, bin, sum(n) FROM b GROUP BY ALL
+    UNION ALL SELECT 0, '', '', rule, bin, sum(n) FROM b GROUP BY ALL
+), ranked AS (
+    SELECT g, lang, source, rule, CASE WHEN bin = -1000000 THEN 0 ELSE 2 * pow(1.02, bin) / 2.02 END AS v,
+        sum(n) OVER (PARTITION BY g, lang, source, rule ORDER BY bin) AS upto,
+        sum(n) OVER (PARTITION BY g, lang, source, rule) AS total
+    FROM level
+), q AS (
+    SELECT g, lang, source, rule, max(total) AS n,
+        min(v) FILTER (upto >= 0.05::DOUBLE * total) AS low, min(v) FILTER (upto >= 0.5 * total) AS mid,
+        min(v) FILTER (upto >= 0.95::DOUBLE * total) AS high
+    FROM ranked GROUP BY ALL
+), chosen AS (
+    SELECT o.lang, o.source, o.rule,
+        CASE WHEN o.n >= 200 THEN o.low WHEN m.n >= 200 THEN m.low ELSE a.low END AS low,
+        CASE WHEN o.n >= 200 THEN o.mid WHEN m.n >= 200 THEN m.mid ELSE a.mid END AS mid,
+        CASE WHEN o.n >= 200 THEN o.high WHEN m.n >= 200 THEN m.high ELSE a.high END AS high
+    FROM q o JOIN q m ON m.g = 1 AND m.lang = o.lang AND m.rule = o.rule JOIN q a ON a.g = 0 AND a.rule = o.rule
+    WHERE o.g = 2
+), fence AS (
+    SELECT lang, source,
+        max(mid + 4 * (mid - low) + 0.03) FILTER (rule = 'symbols') AS symbols,
+        max(mid + 4 * (mid - low) + 0.15) FILTER (rule = 'repeats') AS repeats,
+        max(mid + 4 * (mid - low) + 0.25) FILTER (rule = 'lines') AS lines,
+        max(mid + 4 * (mid - low) + 3) FILTER (rule = 'word_length') AS longest,
+        min(mid - 4 * (high - mid) - 3) FILTER (rule = 'word_length') AS shortest
+    FROM chosen GROUP BY ALL
+), judged AS (
+    SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f LEFT JOIN fence USING (lang, source)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    coalesce(NOT base_failed AND n_symbols / word_chars <= symbols AND n_repeat_words / n_words <= repeats
+        AND n_dup_lines / n_lines <= lines AND word_chars / n_words BETWEEN shortest AND longest, false) AS kept
+FROM judged
+""",
+    "op10_decontamination": r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), item AS (
+    SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+), grams AS (
+    SELECT DISTINCT item, l, array_to_string(w[p + 1 : p + l], ' ') AS gram
+    FROM (SELECT item, w, least(len(w), 13) AS l, unnest(range(greatest(len(w) - 12, 1))) AS p FROM item WHERE len(w) > 0)
+), lengths AS (
+    SELECT DISTINCT l FROM grams
+), windows AS (
+    SELECT r, l, p, array_to_string(w[p + 1 : p + l], ' ') AS gram
+    FROM (SELECT r, w, l, unnest(range(len(w) - l + 1)) AS p FROM docs, lengths WHERE len(w) >= l)
+), hit AS (
+    SELECT r, l, p, item FROM windows JOIN grams USING (l, gram)
+), words AS (
+    SELECT r, count(DISTINCT p + k) AS n FROM (SELECT r, p, unnest(range(l)) AS k FROM (SELECT DISTINCT r, l, p FROM hit)) GROUP BY r
+), found AS (
+    SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(found.n, 0)::BIGINT AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n > 0 AND 20 * words.n >= len(w), false) AS contaminated
+FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)
 """,
 }
