@@ -42,8 +42,8 @@ class Rule:
 
 RULES = (
     Rule("symbols", "n_symbols", "word_chars", 0.03),
-    Rule("repeats", "n_repeat_words", "n_words", 0.15),
-    Rule("lines", "n_dup_lines", "n_lines", 0.25),
+    Rule("repeats", "n_repeat_words", "n_words", 0.25),
+    Rule("lines", "n_dup_lines", "n_lines", 0.5),
     Rule("word_length", "word_chars", "n_words", 3.0, lower=True),
 )
 REACH, LOW, MIN_GROUP = 4.0, 0.05, 200

@@ -108,8 +108,8 @@ WITH docs AS (
 ), fence AS (
     SELECT lang, source,
         max(mid + 4 * (mid - low) + 0.03) FILTER (rule = 'symbols') AS symbols,
-        max(mid + 4 * (mid - low) + 0.15) FILTER (rule = 'repeats') AS repeats,
-        max(mid + 4 * (mid - low) + 0.25) FILTER (rule = 'lines') AS lines,
+        max(mid + 4 * (mid - low) + 0.25) FILTER (rule = 'repeats') AS repeats,
+        max(mid + 4 * (mid - low) + 0.5) FILTER (rule = 'lines') AS lines,
         max(mid + 4 * (mid - low) + 3) FILTER (rule = 'word_length') AS longest,
         min(mid - 4 * (high - mid) - 3) FILTER (rule = 'word_length') AS shortest
     FROM chosen GROUP BY ALL
