@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contaminated, scan
 from .line_dedup import dedup_lines
+from .packing import pack
 from .quality_rules import judge
+from .records import read_records, record_folder, write_records
 
 
 def op1_line_dedup(spark, sf_dir) -> DataFrame:
@@ -17,6 +19,27 @@ def op1_line_dedup(spark, sf_dir) -> DataFrame:
     )
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_packing(spark, sf_dir) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), length=1024, end_id=0)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op8_token_records(spark, sf_dir) -> DataFrame:
+    folder = record_folder(spark)
+    files = write_records(table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"), end_id=1)
+    return read_records(spark, folder, files).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
 def op4_quality_rules(spark, sf_dir) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).select(
         "_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -33,7 +56,7 @@ def op10_decontamination(spark, sf_dir) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op1_line_dedup, op4_quality_rules, op10_decontamination)}
+QUERIES = {q.__name__: q for q in (op1_line_dedup, op3_packing, op4_quality_rules, op8_token_records, op10_decontamination)}
 
 ORACLES = {
     "op1_line_dedup": r"""
