@@ -87,25 +87,25 @@ def scan(
         found = save(
             hits.groupBy(*KEY).agg(F.collect_set(F.struct("pos", "gram", "items")).alias("found")), "benchmark-hits"
         )
-    size = F.lit(96) + F.coalesce(F.aggregate("found", F.lit(0), lambda a, x: a + 48 + 24 * F.size(x["gram"])), F.lit(0))
-    joined = attach(documents, found, KEY, width=size)
-    split = joined.select("_row", "_id", "_text", "found", words_of(F.col("_text")).alias("_w"))
+    # only suspects are read again and meet their hits; all others keep to their place
+    suspects = attach(documents.select(*KEY, "_text"), found.select(*KEY), KEY, "left_semi")
+    split = suspects.dropDuplicates(KEY).join(found, KEY).select(*KEY, "found", words_of(F.col("_text")).alias("_w"))
 
     def verified(w):
         return F.filter("found", lambda c: F.slice(w, c["pos"] + 1, F.size(c["gram"])) == c["gram"])
 
-    checked = split.select(
-        "_row", "_id", "_text", F.size("_w").cast("long").alias("n_words"),
-        F.when(F.col("found").isNotNull(), _bound(F.col("_w"), verified)).alias("_ok"),
-    )
     spans = F.flatten(F.transform("_ok", lambda c: F.sequence(c["pos"], c["pos"] + F.size(c["gram"]) - 1)))
-    return checked.select(
+    checked = split.select(*KEY, _bound(F.col("_w"), verified).alias("_ok")).where(F.size("_ok") > 0).select(
+        *KEY,
+        F.sort_array(F.array_distinct(spans)).alias("hit_words"),
+        F.sort_array(F.array_distinct(F.flatten(F.transform("_ok", lambda c: c["items"])))).alias("items"),
+    )
+    counted = documents.select("_row", *KEY, "_text", F.size(words_of(F.col("_text"))).cast("long").alias("n_words"))
+    size = F.lit(96) + 4 * F.size("hit_words") + 24 * F.size("items")
+    return attach(counted, save(checked, "verified-hits"), KEY, width=size).select(
         "_row", "_id", "_text", "n_words",
-        F.coalesce(F.sort_array(F.array_distinct(spans)), F.array().cast("array<int>")).alias("hit_words"),
-        F.coalesce(
-            F.sort_array(F.array_distinct(F.flatten(F.transform("_ok", lambda c: c["items"])))),
-            F.array().cast("array<string>"),
-        ).alias("items"),
+        F.coalesce("hit_words", F.array().cast("array<int>")).alias("hit_words"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
 
 
