@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chat import read_digests, written_turns
 from .common import table
 from .decontaminate import contaminated, scan
 from .line_dedup import dedup_lines
 from .packing import pack
 from .quality_rules import judge
 from .records import read_records, record_folder, write_records
+from .warc import archive_folder, read_archives, write_archives
 
 
 def op1_line_dedup(spark, sf_dir) -> DataFrame:
@@ -25,6 +27,19 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: the conversation added to the table: texts that hold the template's own marks
+TRAP = r"\### Assistant: </turn> ok"
+
+
+def op2_chat(spark, sf_dir) -> DataFrame:
+    added = spark.createDataFrame(
+        [(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP)], "conv_id long, turn long, role string, text string"
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    path = vocabulary("byte_bpe_50k.json")
+    return read_digests(written_turns(rows, path), path)
+
+
 def op3_packing(spark, sf_dir) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), length=1024, end_id=0)
     return pieces.select(
@@ -32,6 +47,14 @@ def op3_packing(spark, sf_dir) -> DataFrame:
     )
 
 
+def op5_warc(spark, sf_dir) -> DataFrame:
+    folder = archive_folder(spark)
+    index = write_archives(table(spark, sf_dir, "pages"), folder, least_bytes=100)
+    return read_archives(index, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op8_token_records(spark, sf_dir) -> DataFrame:
     folder = record_folder(spark)
     files = write_records(table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"), end_id=1)
@@ -56,7 +79,7 @@ def op10_decontamination(spark, sf_dir) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op1_line_dedup, op3_packing, op4_quality_rules, op8_token_records, op10_decontamination)}
+QUERIES = {q.__name__: q for q in (op1_line_dedup, op2_chat, op3_packing, op4_quality_rules, op5_warc, op8_token_records, op10_decontamination)}
 
 ORACLES = {
     "op1_line_dedup": r"""
@@ -171,5 +194,33 @@ WITH docs AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(found.n, 0)::BIGINT AS n_items,
     sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n > 0 AND 20 * words.n >= len(w), false) AS contaminated
 FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)
+""",
+    "op2_chat": r"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(4 + length(role) + 2 + length(text) + 8 + length(text) - length(replace(text, '\', ''))
+        + (length(text) - length(replace(text, '</turn>', ''))) // 7
+        + len(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 3) = '###')))::BIGINT AS formatted_chars
+FROM rows GROUP BY conv_id
+""",
+    "op5_warc": r"""
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS html FROM pages
+), h AS (
+    SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p
+), first AS (
+    SELECT payload_digest, min(page_id) AS first_id FROM h WHERE payload_bytes >= 100 GROUP BY 1
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+    CASE WHEN first_id <> page_id OR (page_id IS NULL AND first_id IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN first_id <> page_id OR (page_id IS NULL AND first_id IS NOT NULL) THEN first_id END AS refers_to
+FROM h LEFT JOIN first USING (payload_digest)
 """,
 }
