@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import quality_pu, toxicity
 from .chat import read_digests, written_turns
 from .common import table
 from .decontaminate import contaminated, scan
@@ -21,6 +22,11 @@ def op1_line_dedup(spark, sf_dir) -> DataFrame:
     )
 
 
+def _remainder(column: str, by: int):
+    """What the checksum of an id, as text, leaves when divided (null ids: 0)."""
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % by, F.lit(0))
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -55,6 +61,15 @@ def op5_warc(spark, sf_dir) -> DataFrame:
     )
 
 
+def op7_toxicity(spark, sf_dir) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    labels = toxicity.toxic_labels(table(spark, sf_dir, "labels")).where(_remainder("id", 4) != 2)
+    return toxicity.scored(documents, toxicity.fit(documents, labels)).select(
+        F.col("id").alias("doc_id"), (_remainder("id", 4) == 2).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op8_token_records(spark, sf_dir) -> DataFrame:
     folder = record_folder(spark)
     files = write_records(table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"), end_id=1)
@@ -69,6 +84,22 @@ def op4_quality_rules(spark, sf_dir) -> DataFrame:
     )
 
 
+def quality_scores(spark, sf_dir, documents) -> tuple[DataFrame, quality_pu.Model]:
+    """The feature table of some documents, and the model fitted to them and to the labels."""
+    described = quality_pu.features(documents)
+    may_learn = _remainder("id", 3) != 1
+    trusted = quality_pu.trusted_ids(table(spark, sf_dir, "labels"), "quality").where(may_learn)
+    return described, quality_pu.fit(described, trusted, may_learn)
+
+
+def op9_quality_classifier(spark, sf_dir) -> DataFrame:
+    described, model = quality_scores(spark, sf_dir, table(spark, sf_dir, "documents"))
+    return quality_pu.scored(described, model).select(
+        F.col("id").alias("doc_id"), (_remainder("id", 3) == 1).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op10_decontamination(spark, sf_dir) -> DataFrame:
     scanned = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=13)
     return scanned.select(
@@ -79,7 +110,7 @@ def op10_decontamination(spark, sf_dir) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op1_line_dedup, op2_chat, op3_packing, op4_quality_rules, op5_warc, op8_token_records, op10_decontamination)}
+QUERIES = {q.__name__: q for q in (op1_line_dedup, op2_chat, op3_packing, op4_quality_rules, op5_warc, op7_toxicity, op8_token_records, op9_quality_classifier, op10_decontamination)}
 
 ORACLES = {
     "op1_line_dedup": r"""
