@@ -10,6 +10,7 @@ from .chat import read_digests, written_turns
 from .common import table
 from .decontaminate import contaminated, scan
 from .line_dedup import dedup_lines
+from .near_dedup import near_duplicates
 from .packing import pack
 from .quality_rules import judge
 from .records import read_records, record_folder, write_records
@@ -61,6 +62,10 @@ def op5_warc(spark, sf_dir) -> DataFrame:
     )
 
 
+def op6_near_dedup(spark, sf_dir) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_toxicity(spark, sf_dir) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     labels = toxicity.toxic_labels(table(spark, sf_dir, "labels")).where(_remainder("id", 4) != 2)
@@ -110,7 +115,7 @@ def op10_decontamination(spark, sf_dir) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op1_line_dedup, op2_chat, op3_packing, op4_quality_rules, op5_warc, op7_toxicity, op8_token_records, op9_quality_classifier, op10_decontamination)}
+QUERIES = {q.__name__: q for q in (op1_line_dedup, op2_chat, op3_packing, op4_quality_rules, op5_warc, op6_near_dedup, op7_toxicity, op8_token_records, op9_quality_classifier, op10_decontamination)}
 
 ORACLES = {
     "op1_line_dedup": r"""
