@@ -47,13 +47,17 @@ def op2_chat(spark, sf_dir) -> DataFrame:
     return read_digests(written_turns(rows, path), path)
 
 
-def op3_packing(spark, sf_dir) -> DataFrame:
-    pieces = pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), length=1024, end_id=0)
+def packed_pieces(documents: DataFrame) -> DataFrame:
+    pieces = pack(documents, vocabulary("byte_bpe_50k.json"), length=1024, end_id=0)
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
 
 
+def op3_packing(spark, sf_dir) -> DataFrame:
+    return packed_pieces(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark, sf_dir) -> DataFrame:
     folder = archive_folder(spark)
     index = write_archives(table(spark, sf_dir, "pages"), folder, least_bytes=100)
