@@ -3,59 +3,68 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field
+from dataclasses import dataclass, fields
 
 PREFIX = "PASSAGELAKE_"
+SWITCHED_ON = {"1", "true", "yes", "on"}
 
 
-def env_str(name: str, default: str) -> str:
-    return os.environ.get(PREFIX + name) or default
-
-
-def env_int(name: str, default: int) -> int:
-    """An unset or malformed number falls back to the default."""
+def _typed(text: str, default):
+    """``text`` as a value of the default's type; what cannot be read is the default."""
+    text = text.strip()
+    if not text:
+        return default
+    if isinstance(default, bool):
+        return text.lower() in SWITCHED_ON
     try:
-        return int(os.environ.get(PREFIX + name, ""))
+        return type(default)(text)
     except ValueError:
         return default
 
 
-def env_bool(name: str, default: bool) -> bool:
-    value = os.environ.get(PREFIX + name, "")
-    return value.strip().lower() in ("1", "true", "yes", "on") if value else default
-
-
-def _from_env(read, name, default):
-    return field(default_factory=lambda: read(name, default))
-
-
 @dataclass(frozen=True)
 class Settings:
-    # documents
-    max_upload_mb: int = _from_env(env_int, "MAX_UPLOAD_MB", 25)
-    chunk_words: int = _from_env(env_int, "CHUNK_WORDS", 180)
-    chunk_overlap_words: int = _from_env(env_int, "CHUNK_OVERLAP", 45)
-    # retrieval
-    candidate_k: int = _from_env(env_int, "CANDIDATE_K", 40)
-    top_k: int = _from_env(env_int, "TOP_K", 6)
-    mmr_lambda: float = 0.7
-    neighbour_window: int = _from_env(env_int, "NEIGHBOUR_WINDOW", 1)
-    embeddings_enabled: bool = _from_env(env_bool, "EMBEDDINGS", False)
-    embedding_model: str = _from_env(
-        env_str, "EMBEDDING_MODEL", "sentence-transformers/all-MiniLM-L6-v2"
-    )
+    """Every field may be given, or set as ``PASSAGELAKE_<FIELD>``."""
+
     # layout: how many directories postings (by term) and chunks (by document) are
-    # spread over. Raise both with the corpus; 4096 suits tens of terabytes.
-    term_buckets: int = _from_env(env_int, "TERM_BUCKETS", 16)
-    doc_buckets: int = _from_env(env_int, "DOC_BUCKETS", 16)
+    # spread over. Raise both with the corpus; 4096 suits tens of terabytes. An index keeps
+    # the numbers it was written with until it is compacted.
+    term_buckets: int | None = None
+    doc_buckets: int | None = None
     # the largest side, in rows and bytes, that may be sent to every executor
-    broadcast_rows: int = _from_env(env_int, "BROADCAST_ROWS", 500_000)
-    broadcast_mb: int = _from_env(env_int, "BROADCAST_MB", 64)
+    broadcast_rows: int | None = None
+    broadcast_mb: int | None = None
     # rows of one key that a single task takes; more are split
-    hot_rows: int = _from_env(env_int, "HOT_ROWS", 2_000_000)
+    hot_rows: int | None = None
     # copies made of the small side when it is too big to broadcast
-    salts: int = _from_env(env_int, "SALTS", 16)
+    salts: int | None = None
+    # retrieval
+    top_k: int | None = None
+    candidate_k: int | None = None
+    neighbour_window: int | None = None
+    mmr_lambda: float | None = None
+    embeddings: bool | None = None
+    embedding_model: str | None = None
+    # documents
+    chunk_words: int | None = None
+    chunk_overlap: int | None = None
+    max_upload_mb: int | None = None
+
+    def __post_init__(self) -> None:
+        for field in fields(self):
+            if getattr(self, field.name) is None:
+                text = os.environ.get(PREFIX + field.name.upper(), "")
+                object.__setattr__(self, field.name, _typed(text, DEFAULTS[field.name]))
 
     @property
     def max_upload_bytes(self) -> int:
         return self.max_upload_mb * 1024 * 1024
+
+
+DEFAULTS = {
+    "term_buckets": 16, "doc_buckets": 16, "broadcast_rows": 500_000, "broadcast_mb": 64,
+    "hot_rows": 2_000_000, "salts": 16, "top_k": 6, "candidate_k": 40, "neighbour_window": 1,
+    "mmr_lambda": 0.7, "embeddings": False,
+    "embedding_model": "sentence-transformers/all-MiniLM-L6-v2", "chunk_words": 180,
+    "chunk_overlap": 45, "max_upload_mb": 25,
+}

@@ -45,17 +45,29 @@ def load_model(model_name: str):
 
 
 def encode(texts: DataFrame, key: list[str], text: str, encoder: Encoder) -> DataFrame:
-    """``key..., vector`` for every text. A batch the encoder fails on has no vectors."""
+    """``key..., vector`` for every text but those the encoder fails on.
+
+    A batch that fails is encoded text by text, so that one bad text costs no other its
+    vector, however texts are batched.
+    """
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.select(key).schema)
 
+    def each(values: list[str]) -> list:
+        try:
+            vectors = list(encoder(values))
+            if len(vectors) == len(values):
+                return vectors
+        except Exception as problem:
+            if len(values) == 1:
+                logging.getLogger(__name__).warning("A text has no vector: %s", problem)
+        return [None] if len(values) == 1 else [v for value in values for v in each([value])]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                vectors = encoder(list(batch[text]))
-            except Exception:
-                continue
-            rows = batch[key].iloc[: len(vectors)].copy()
-            rows["vector"] = [np.asarray(v, dtype="float64") for v in vectors]
+            vectors = each(list(batch[text])) if len(batch) else []
+            has = [v is not None for v in vectors]
+            rows = batch[key][has].copy()
+            rows["vector"] = [np.asarray(v, dtype="float64") for v in vectors if v is not None]
             yield rows
 
     return texts.select(*key, text).mapInPandas(run, f"{fields}, vector array<double>")

@@ -57,7 +57,7 @@ class Engine:
         self.settings = settings or Settings()
         self.store = Store(spark, root, self.settings)
         self.encoder = encoder or build_encoder(
-            self.settings.embeddings_enabled, self.settings.embedding_model
+            self.settings.embeddings, self.settings.embedding_model
         )
         self.generator, self.model = generator, model
         self.condenser = condenser
@@ -115,7 +115,7 @@ class Engine:
         parsed = with_chunks(
             blocks.withColumn("pages", F.when(pages > 0, pages)),
             self.settings.chunk_words,
-            self.settings.chunk_overlap_words,
+            self.settings.chunk_overlap,
         )
         parsed = save(
             parsed.withColumn(
@@ -318,9 +318,12 @@ class Engine:
         store = self.store
         snapshot = store.snapshot()
         segment = f"{time.time_ns()}-{uuid.uuid4().hex[:8]}"
-        for table in ("documents", "chunks", "files", "vectors", "postings"):
-            store.write(table, store.read(table, snapshot), segment)
-        vocabulary = store.write("vocabulary", store.vocabulary(snapshot), segment)
+        live = {t: store.read(t, snapshot) for t in ("documents", "chunks", "files", "vectors", "postings")}
+        vocabulary = store.vocabulary(snapshot)
+        store.settings = store.configured  # everything is laid out anew
+        for table in live:
+            store.write(table, live[table], segment)
+        vocabulary = store.write("vocabulary", vocabulary, segment)
         order = store.write("gram_order", P.gram_order(vocabulary), segment)
         store.write("grams", P.by_prefix_gram(P.gram_prefixes(vocabulary, order)), segment)
         store.commit(
@@ -370,10 +373,11 @@ class Engine:
         return self.chunks().drop("doc_bucket").where(F.col("chunk_id").isin(*chunk_ids))
 
     def _of_document(self, doc_id: str) -> DataFrame:
-        mine = P.bucket("doc_id", self.settings.doc_buckets)
+        rows = self.chunks()  # which also says in how many buckets they lie
+        mine = P.bucket("doc_id", self.store.settings.doc_buckets)
         where = self.spark.range(1).select(F.lit(doc_id).alias("doc_id")).select(mine).first()[0]
         return (
-            self.chunks()
+            rows
             .where((F.col("doc_bucket") == where) & (F.col("doc_id") == doc_id))
             .drop("doc_bucket")
         )
@@ -450,7 +454,7 @@ class Engine:
             gram_order=store.read("gram_order", snapshot),
             n_chunks=snapshot.n_chunks,
             average_length=snapshot.average_length,
-            settings=self.settings,
+            settings=store.settings,
             vectors=store.read("vectors", snapshot) if snapshot.vectors else None,
         )
 

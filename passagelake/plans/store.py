@@ -3,12 +3,16 @@
 Every ingest writes one segment to each table and then a row to ``commits``. Readers
 look only at committed segments, so a job that dies half way leaves nothing behind
 that counts, and running it again under the same segment name overwrites its files.
-A deletion is a segment too: the document ids, and term counts to subtract.
+A deletion is a segment too: the document ids, and term counts to subtract. Commits are
+numbered, and a deletion hides only what was committed before it, so a document can be
+added again under its id. The row also keeps the number of buckets its tables were
+written in: readers prune by that, and a new setting takes effect when compacting.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import chain
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -48,7 +52,8 @@ SCHEMAS = {
     ),
     "commits": (
         "kind string, supersedes array<string>, documents long, words long, chunks long, "
-        "n_chunks long, total_len long, vectors long, created_at string"
+        "n_chunks long, total_len long, vectors long, created_at string, number long, "
+        "term_buckets int, doc_buckets int"
     ),
 }
 BUCKET = {
@@ -65,6 +70,7 @@ class Snapshot:
     """What one reader sees: the active segments and their summed totals."""
 
     segments: tuple[str, ...]
+    numbers: tuple[int, ...]
     deletes: bool
     documents: int
     words: int
@@ -80,7 +86,9 @@ class Snapshot:
 
 class Store:
     def __init__(self, spark: SparkSession, root: str, settings: Settings) -> None:
-        self.spark, self.root, self.settings = spark, root.rstrip("/"), settings
+        self.spark, self.root = spark, root.rstrip("/")
+        # what was asked for, and what the tables at hand were written with
+        self.configured = self.settings = settings
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -109,13 +117,20 @@ class Store:
         return self._load("commits").where(F.col("segment") == segment).count() > 0
 
     def snapshot(self) -> Snapshot:
-        rows = self.commits()
+        rows = sorted(self.commits(), key=lambda r: r["segment"])
+        layouts = {(r["term_buckets"], r["doc_buckets"]) for r in rows if r["term_buckets"]}
+        if len(layouts) > 1:
+            raise ValueError(f"Segments are laid out in different numbers of buckets: {sorted(layouts)}.")
+        self.settings = self.configured
+        for terms, docs in layouts:
+            self.settings = replace(self.configured, term_buckets=terms, doc_buckets=docs)
 
         def total(column):
             return sum(r[column] for r in rows)
 
         return Snapshot(
-            segments=tuple(sorted(r["segment"] for r in rows)),
+            segments=tuple(r["segment"] for r in rows),
+            numbers=tuple(r["number"] or 0 for r in rows),
             deletes=any(r["kind"] == "delete" for r in rows),
             documents=total("documents"),
             words=total("words"),
@@ -127,7 +142,11 @@ class Store:
 
     def commit(self, segment: str, kind: str, created_at: str, supersedes=(), **totals) -> None:
         fields = ("documents", "words", "chunks", "n_chunks", "total_len", "vectors")
-        row = (kind, list(supersedes), *(int(totals.get(f) or 0) for f in fields), created_at)
+        number = self._load("commits").agg(F.max("number")).first()[0] or 0
+        row = (
+            kind, list(supersedes), *(int(totals.get(f) or 0) for f in fields), created_at,
+            number + 1, self.settings.term_buckets, self.settings.doc_buckets,
+        )
         frame = self.spark.createDataFrame([row], SCHEMAS["commits"]).coalesce(1)
         frame.write.mode("overwrite").parquet(f"{self.path('commits')}/segment={segment}")
 
@@ -171,10 +190,14 @@ class Store:
         has_documents = "doc_id" in rows.columns and table not in ("deletions", "outcomes")
         if snapshot.deletes and has_documents:
             gone = self._load("deletions").where(F.col("segment").isin(*snapshot.segments))
-            gone = gone.select("doc_id")
+            numbers = F.create_map(*chain.from_iterable(
+                (F.lit(s), F.lit(n)) for s, n in zip(snapshot.segments, snapshot.numbers)
+            ))
+            gone = gone.groupBy("doc_id").agg(F.max(numbers[F.col("segment")]).alias("_gone"))
             if fits_broadcast(gone, self.settings):
                 gone = F.broadcast(gone)
-            rows = rows.join(gone, "doc_id", "left_anti")
+            earlier = (rows["doc_id"] == gone["doc_id"]) & (numbers[rows["segment"]] < gone["_gone"])
+            rows = rows.join(gone, earlier, "left_anti")
         return rows.drop("segment")
 
     def vocabulary(self, snapshot: Snapshot) -> DataFrame:

@@ -19,6 +19,8 @@ import pandas as pd
 
 NO_PDF_TEXT = "No selectable text found. The PDF is probably a scan; OCR is out of scope."
 NO_DOCX_TEXT = "The document contains no readable text."
+LOCKED_PDF = "The PDF is password protected."
+COMPOSITE_PDF = "The PDF's text is drawn in composite fonts, which are not read."
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _OBJECT = re.compile(rb"(?<!\d)(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
@@ -36,6 +38,22 @@ _OPERATION = re.compile(
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
+#: what one stream or part may unpack to; more is refused, not read
+MAX_UNPACKED = 256 << 20
+
+
+def _inflate(data: bytes) -> bytes:
+    unpacking = zlib.decompressobj()
+    out = unpacking.decompress(data, MAX_UNPACKED)
+    if unpacking.unconsumed_tail:
+        raise TooLarge("A part of the file unpacks to more than is read.")
+    return out
+
+
+class TooLarge(Exception):
+    """The file is refused as a whole."""
+
+
 def _literal(raw: bytes) -> str:
     def plain(match):
         code = match.group(1)
@@ -80,19 +98,25 @@ def pdf_pages(data: bytes) -> list[str]:
     """Text of every page, in page order."""
     if not data.lstrip()[:5] == b"%PDF-":
         raise ValueError("Could not open the PDF: missing header")
-    if b"/Encrypt" in data:
-        raise ValueError("The PDF is password protected.")
     objects = {int(number): body for number, body in _OBJECT.findall(data)}
     for body in list(objects.values()):
         if b"/ObjStm" in body.split(b"stream")[0]:
             objects.update(_packed_objects(body))
+    heads = [body.split(b"stream")[0] for body in objects.values()]
+    trailers = [t.split(b"startxref")[0] for t in data.split(b"trailer")[1:]]
+    trailers += [h for h in heads if re.search(rb"/Type\s*/XRef\b", h)]
+    if any(b"/Encrypt" in t for t in trailers):
+        raise ValueError(LOCKED_PDF)
+    # codes of such fonts are glyph numbers; read as letters they would be junk
+    if any(re.search(rb"/Subtype\s*/Type0\b", h) for h in heads):
+        raise ValueError(COMPOSITE_PDF)
 
     def stream(number: int) -> bytes:
         found = _STREAM.search(objects.get(number, b""))
         if not found:
             return b""
         if b"/FlateDecode" in objects[number][: found.start()]:
-            return zlib.decompressobj().decompress(found.group(1))
+            return _inflate(found.group(1))
         return found.group(1)
 
     def leaves(number: int, seen: frozenset) -> Iterator[bytes]:
@@ -130,7 +154,7 @@ def _packed_objects(body: bytes) -> dict[int, bytes]:
     if not (found and count and first):
         return {}
     try:
-        data = zlib.decompressobj().decompress(found.group(1))
+        data = _inflate(found.group(1))
     except zlib.error:
         return {}
     header = [int(n) for n in data[: int(first.group(1))].split()]
@@ -154,6 +178,8 @@ def docx_parts(data: bytes) -> tuple[list[str], list[list[str]]]:
     """Body paragraphs, then table rows as lists of cell texts."""
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as archive:
+            if archive.getinfo("word/document.xml").file_size > MAX_UNPACKED:
+                raise TooLarge("A part of the file unpacks to more than is read.")
             body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{_W}body")
     except Exception as problem:
         raise ValueError(f"Could not open the DOCX: {problem}") from problem

@@ -29,9 +29,14 @@ def _as_uploads(files: DataFrame, max_bytes: int) -> DataFrame:
     return fits.unionByName(large)
 
 
+def _any_case(extension: str) -> str:
+    """A glob for an extension in capitals, small letters or both."""
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in extension)
+
+
 def read_uploads(spark: SparkSession, folder: str, max_bytes: int = 25 << 20) -> DataFrame:
     """All supported files below ``folder``; file by file failures surface at ingest."""
-    names = ",".join(f"*{e},*{e.upper()}" for e in lx.SUPPORTED_EXTENSIONS)
+    names = ",".join("*" + _any_case(e) for e in lx.SUPPORTED_EXTENSIONS)
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "{" + names + "}")

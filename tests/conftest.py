@@ -50,24 +50,24 @@ def uploads(spark, files: dict[str, bytes]):
     return spark.createDataFrame(rows, "filename string, content binary, position int")
 
 
-HANDBOOK = b"""Field Notes for New Beekeepers
+DOME = b"""Dome Log of the Hillside Observatory
 
-Every keeper must inspect each hive weekly and record the queen status in the apiary log.
-Keepers report to the yard supervisor and are paired with a senior colleague for one season.
+The mirror cover stays shut until humidity drops under seventy percent for one hour.
+Assistants write the seeing estimate on a slate before the first exposure begins.
 
-Swarm incidents must be reported to the yard supervisor within two hours of being seen.
-A captured swarm is housed in a spare nucleus box until the supervisor decides where it goes.
+Lightning within ten kilometres closes the shutter at once and the mount is parked.
+Visitors wait in the lower gallery until a night assistant calls them up the stairs.
 """
-KITCHEN = b"""Kitchen Rota and Hygiene
+BAKERY = b"""Notes from the Village Bakery
 
-Knives must be at least sharpened monthly and stored in the locked rack by the door.
-The dishwasher is emptied by whoever finishes the evening shift before closing time.
+Sourdough proves overnight in willow baskets beside the cold flour store.
+Rye loaves rest for a day, because the crumb is gummy when it is still warm.
 
-Annual deep cleaning takes place in January and lasts for three full working days.
+The stone oven is swept with a wet broom every Tuesday after the last batch.
 """
-GARAGE = b"""Garage Equipment Sheet
+PIANO = b"""Piano Workshop Bench Card
 
-Hoist operators hold a licence valid for four years and renew it with the depot manager.
-Tyres are replaced when the tread falls below three millimetres on any axle.
+A tuner checks the pitch fork against the wall clock and then sets the middle octave.
+Felt hammers are needled softly; a stool with three legs never rocks on old boards.
 """
-CORPUS = {"bees.txt": HANDBOOK, "kitchen.md": KITCHEN, "garage.txt": GARAGE}
+CORPUS = {"dome.txt": DOME, "bakery.md": BAKERY, "piano.txt": PIANO}

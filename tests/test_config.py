@@ -6,8 +6,8 @@ from passagelake.operators.dense import build_encoder
 
 def test_defaults():
     s = Settings()
-    assert (s.chunk_words, s.chunk_overlap_words, s.candidate_k, s.top_k) == (180, 45, 40, 6)
-    assert (s.mmr_lambda, s.neighbour_window, s.embeddings_enabled) == (0.7, 1, False)
+    assert (s.chunk_words, s.chunk_overlap, s.candidate_k, s.top_k) == (180, 45, 40, 6)
+    assert (s.mmr_lambda, s.neighbour_window, s.embeddings) == (0.7, 1, False)
     assert s.max_upload_bytes == 25 * 1024 * 1024
 
 
@@ -17,7 +17,7 @@ def test_environment(monkeypatch):
     monkeypatch.setenv("PASSAGELAKE_EMBEDDINGS", " Yes ")
     monkeypatch.setenv("PASSAGELAKE_EMBEDDING_MODEL", "")
     s = Settings()
-    assert (s.top_k, s.chunk_words, s.embeddings_enabled) == (9, 180, True)
+    assert (s.top_k, s.chunk_words, s.embeddings) == (9, 180, True)
     assert s.embedding_model == "sentence-transformers/all-MiniLM-L6-v2"
 
 

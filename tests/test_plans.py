@@ -24,7 +24,7 @@ def index(spark, small, tmp_path_factory):
 
 
 def questions(spark):
-    return spark.createDataFrame([("q", "swarm incidents")], "query_id string, question string")
+    return spark.createDataFrame([("q", "lightning shutters")], "query_id string, question string")
 
 
 def test_chunking_is_one_map_over_the_text_column(spark):

@@ -30,16 +30,16 @@ def index_of(spark, engine, chunks: dict[str, list[str]], segment="s"):
     return engine.index()
 
 
-BEES = {
-    "d1": [
-        "Keepers must inspect, feed and document colonies before any harvest.",
-        "Every keeper reports to a yard supervisor and is assigned a colleague.",
+NIGHTS = {
+    "n1": [
+        "Clouds rolled over the ridge, so the shutter stayed closed and nobody opened the log.",
+        "Each visitor signs the guest log beside the stairs before climbing to the dome.",
     ],
-    "d2": [
-        "Swarm incidents must be reported to the apiary team within one hour.",
-        "Smokers must be at least refilled daily and labelled for each yard.",
+    "n2": [
+        "Meteor counts go to the survey office before breakfast on the following morning.",
+        "Filters are rinsed in alcohol, dried with lint and boxed beside the dome door.",
     ],
-    "d3": ["Hoist operators hold a licence valid for four years."],
+    "n3": ["Tuners adjust nineteen strings of the old harp under lamplight."],
 }
 
 
@@ -51,60 +51,54 @@ def ask(spark, index, question, scope=None, limit=40):
 
 
 @pytest.fixture(scope="module")
-def bees(spark, small, tmp_path_factory):
+def nights(spark, small, tmp_path_factory):
     from passagelake.plans.engine import Engine
 
-    engine = Engine(spark, str(tmp_path_factory.mktemp("bees")), small)
-    return index_of(spark, engine, BEES)
+    engine = Engine(spark, str(tmp_path_factory.mktemp("nights")), small)
+    return index_of(spark, engine, NIGHTS)
 
 
-def test_relevant_chunk_first(spark, bees):
-    assert ask(spark, bees, "how quickly must a swarm incident be reported")[0]["chunk_id"] == "d2:0"
+def test_relevant_chunk_first(spark, nights):
+    assert ask(spark, nights, "where do the meteor counts go after the survey")[0]["chunk_id"] == "n2:0"
+    assert ask(spark, nights, "who signs the log by the stairs")[0]["chunk_id"] == "n1:1"
 
 
-def test_typos_and_plurals(spark, bees):
-    assert ask(spark, bees, "smokers refilled")[0]["chunk_id"] == "d2:1"
-    assert ask(spark, bees, "hoists")[0]["doc_id"] == "d3"
-    assert ask(spark, bees, "swrm incidents")[0]["doc_id"] == "d2"
+def test_misspelt_and_inflected_words_still_match(spark, nights):
+    assert ask(spark, nights, "filtr alcohool")[0]["chunk_id"] == "n2:1"
+    assert ask(spark, nights, "harps")[0]["doc_id"] == "n3"
+    assert ask(spark, nights, "visitrs climbing")[0]["chunk_id"] == "n1:1"
 
 
-def test_unknown_words_find_nothing(spark, bees):
-    assert ask(spark, bees, "photosynthesis chlorophyll") == []
-    assert ask(spark, bees, "of the and") == []
+def test_unknown_words_find_nothing(spark, nights):
+    assert ask(spark, nights, "xylophone quicksand") == []
+    assert ask(spark, nights, "over the and under") == []
 
 
-def test_scope_limits_hits_but_not_statistics(spark, bees):
-    free = {r["chunk_id"]: r["score"] for r in ask(spark, bees, "report yard")}
-    scoped = ask(spark, bees, "report yard", ["d1"])
-    assert {r["doc_id"] for r in scoped} == {"d1"}
+def test_scope_limits_hits_but_not_statistics(spark, nights):
+    free = {r["chunk_id"]: r["score"] for r in ask(spark, nights, "dome beside")}
+    scoped = ask(spark, nights, "dome beside", ["n2"])
+    assert {r["doc_id"] for r in scoped} == {"n2"} and len(free) > len(scoped)
     assert all(r["score"] == free[r["chunk_id"]] for r in scoped)
-    assert ask(spark, bees, "report yard", ["nobody"]) == []
-    assert len(ask(spark, bees, "report yard", [])) == len(free)
+    assert ask(spark, nights, "dome beside", ["nobody"]) == []
+    assert len(ask(spark, nights, "dome beside", [])) == len(free)
 
 
-def test_two_words_must_match_when_three_are_known(spark, bees):
-    found = ask(spark, bees, "licence harvest smokers incidents")
-    assert found == []
-    assert [r["chunk_id"] for r in ask(spark, bees, "licence harvest")] != []
+def test_two_words_must_match_when_three_are_known(spark, nights):
+    assert ask(spark, nights, "harp meteor ridge alcohol") == []
+    assert {r["doc_id"] for r in ask(spark, nights, "harp meteor")} == {"n2", "n3"}
 
 
-def test_scores_match_the_formula(spark, bees):
+def test_scores_match_the_formula(spark, nights):
     """Exact scores for a single known word, worked out from the counts."""
-    chunks = [t for texts in BEES.values() for t in texts]
-    rows = spark.createDataFrame([(t,) for t in chunks], "text string")
     from passagelake.functions import text as T
 
+    rows = spark.createDataFrame([(t,) for texts in NIGHTS.values() for t in texts], "text string")
     tokens = [r[0] for r in rows.select(T.tokens(F.col("text"))).collect()]
     average = sum(map(len, tokens)) / len(tokens)
-    df = sum("yard" in t for t in tokens)
-    idf = np.log(1 + (len(tokens) - df + 0.5) / (df + 0.5))
-    got = {r["score"] for r in ask(spark, bees, "yard")}
-    want = {
-        round(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len(t) / average)), 6)
-        for t in tokens
-        if "yard" in t
-    }
-    assert {round(s, 6) for s in got} == want
+    holders = [t for t in tokens if "dome" in t]
+    idf = np.log(1 + (len(tokens) - len(holders) + 0.5) / (len(holders) + 0.5))
+    want = {round(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len(t) / average)), 6) for t in holders}
+    assert {round(r["score"], 6) for r in ask(spark, nights, "dome")} == want
 
 
 def test_ties_by_document_then_ordinal(spark, make_engine):
@@ -134,7 +128,7 @@ def test_fuzzy_neighbours_are_complete(spark, small):
     import random
 
     rng = random.Random(3)
-    stems = ["incident", "licence", "report", "yard", "ab", "a", "aaaa", "swarming", "colon"]
+    stems = ["meteor", "shutter", "visitor", "dome", "ab", "a", "aaaa", "needling", "colon"]
     vocabulary = set(stems)
     for word in stems * 30:
         letters = list(word)
@@ -162,12 +156,12 @@ def test_salted_join_equals_broadcast_join(spark, small):
     assert got[0] == got[1] and len(got[0]) == 400
 
 
-def test_search_is_the_same_without_broadcasts(spark, bees):
+def test_search_is_the_same_without_broadcasts(spark, nights):
     from dataclasses import replace
 
-    question = "how quickly must a swarm incident be reported to the yard"
-    salted = replace(bees, settings=TINY)
-    assert ask(spark, salted, question) == ask(spark, bees, question)
+    question = "who signs the guest log beside the dome, and where do filtrs go"
+    salted = replace(nights, settings=TINY)
+    assert ask(spark, salted, question) == ask(spark, nights, question)
 
 
 def test_dense_matches_brute_force(spark, small):
@@ -241,11 +235,11 @@ def test_spreading_over_documents(spark):
 def test_retrieval_over_files(spark, make_engine):
     engine = make_engine(CORPUS)
     cases = {
-        "Who do keepers report to?": "bees.txt",
-        "How quickly must a swarm incident be reported?": "bees.txt",
-        "How often are knives sharpened?": "kitchen.md",
-        "When does annual deep cleaning take place?": "kitchen.md",
-        "How long is the licence of hoist operators valid?": "garage.txt",
+        "Where do visitors wait?": "dome.txt",
+        "What closes the shutter at once?": "dome.txt",
+        "Where does sourdough prove overnight?": "bakery.md",
+        "When is the stone oven swept?": "bakery.md",
+        "How are felt hammers needled?": "piano.txt",
     }
     asked = spark.createDataFrame(list(zip(cases, cases)), "query_id string, question string")
     got = {r["query_id"]: r["blocks"] for r in engine.index().retrieve(asked).collect()}

@@ -173,3 +173,24 @@ def test_reads_a_folder(spark, tmp_path):
     (tmp_path / "c.exe").write_bytes(b"three")
     got = read_uploads(spark, str(tmp_path)).collect()
     assert sorted(r["filename"] for r in got) == ["a.txt", "b.PDF"]
+
+
+def test_names_are_matched_in_any_case(spark, tmp_path):
+    names = ["a.Txt", "b.MD", "c.txt", "d.pDf", "e.Docx", "f.png"]
+    for name in names:
+        (tmp_path / name).write_bytes(b"x")
+    assert sorted(r["filename"] for r in read_uploads(spark, str(tmp_path)).collect()) == names[:5]
+
+
+def test_pdf_refuses_what_it_cannot_read():
+    from passagelake.sources import containers as C
+
+    page = (
+        b"%PDF-1.4\n1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj\n2 0 obj <</Kids [3 0 R]>> endobj\n"
+        b"3 0 obj <</Type /Page /Contents 4 0 R>> endobj\n4 0 obj <<>> stream\n(see /Encrypt) Tj\nendstream endobj\n"
+    )
+    assert C.pdf_pages(page) == ["see /Encrypt"]
+    with pytest.raises(ValueError, match="password"):
+        C.pdf_pages(page + b"trailer <</Encrypt 9 0 R /Root 1 0 R>>\nstartxref 0")
+    with pytest.raises(ValueError, match="composite"):
+        C.pdf_pages(page + b"5 0 obj <</Type /Font /Subtype /Type0 /Encoding /Identity-H>> endobj\n")
