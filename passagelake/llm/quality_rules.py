@@ -124,7 +124,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _value(rule: Rule) -> Column:
-    return F.col(rule.over).cast("double") / F.col(rule.under)
+    return F.try_divide(F.col(rule.over).cast("double"), F.col(rule.under))
 
 
 def sketches(features: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
