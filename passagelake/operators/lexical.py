@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import lexicon as lx
 from ..functions import text as T
-from ..workspace import fits_broadcast, join_small, save
-from .postings import by_prefix_gram, gram_prefixes
+from ..workspace import fits_broadcast, join_small, prune_buckets, save
+from .postings import bucket, by_prefix_gram, gram_prefixes
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -23,8 +23,12 @@ def question_terms(questions: DataFrame) -> DataFrame:
 def fuzzy_neighbours(
     terms: DataFrame, grams: DataFrame, order: DataFrame, settings: Settings
 ) -> DataFrame:
-    """``q_term, term, similarity``: every vocabulary term similar enough to a query term."""
-    wanted = by_prefix_gram(gram_prefixes(terms, order)).select(
+    """``q_term, term, similarity``: every vocabulary term similar enough to a query term.
+
+    Of grams that lie in buckets only the buckets are read that the terms' grams fall into.
+    """
+    prefixes = by_prefix_gram(gram_prefixes(terms, order))
+    wanted = prefixes.select(
         "gram",
         F.col("term").alias("q_term"),
         F.col("n_grams").alias("q_n"),
@@ -32,6 +36,10 @@ def fuzzy_neighbours(
         F.col("prefix").alias("q_prefix"),
         F.col("signature").alias("q_signature"),
     )
+    if "gram_bucket" in grams.columns:
+        wanted = save(wanted, "wanted-grams")
+        buckets = settings.term_buckets
+        grams = prune_buckets(grams, "gram_bucket", wanted, bucket("gram", buckets), buckets)
     n, q_n = F.col("n_grams"), F.col("q_n")
     # Two signatures share a bit for each shared gram, short of the bits that collide
     # inside one of the terms. Most pairs fall here, on integers alone.
@@ -68,6 +76,19 @@ def best_neighbours(neighbours: DataFrame) -> DataFrame:
     )
 
 
+def known_terms(vocabulary: DataFrame, terms: DataFrame, settings: Settings) -> DataFrame:
+    """``terms`` (written, no row twice) with the ``df`` of those the corpus holds.
+
+    ``vocabulary`` may have a row of a term for each segment, also to subtract. Only the buckets
+    of the terms are read, and only their rows are summed.
+    """
+    if "term_bucket" in vocabulary.columns:
+        buckets = settings.term_buckets
+        vocabulary = prune_buckets(vocabulary, "term_bucket", terms, bucket("term", buckets), buckets)
+    met = join_small(vocabulary.select("term", "df"), terms, ["term"], "term", settings)
+    return met.groupBy(*terms.columns).agg(F.sum("df").alias("df")).where("df > 0")
+
+
 def expand_terms(
     terms: DataFrame,
     vocabulary: DataFrame,
@@ -77,11 +98,11 @@ def expand_terms(
 ) -> DataFrame:
     """``q_term, term, weight, df`` for distinct query ``terms``: the term itself where
     the corpus has it, and always its nearest neighbours in spelling."""
-    exact = join_small(vocabulary, terms, ["term"], "term", settings).select(
+    exact = known_terms(vocabulary, terms, settings).select(
         F.col("term").alias("q_term"), "term", F.lit(1.0).alias("weight"), "df"
     )
     similar = save(fuzzy_neighbours(terms, grams, order, settings), "neighbours")
-    near = best_neighbours(join_small(vocabulary, similar, ["term"], "term", settings)).select(
+    near = best_neighbours(known_terms(vocabulary, similar, settings)).select(
         "q_term", "term", (F.lit(lx.FUZZY_WEIGHT) * F.col("similarity")).alias("weight"), "df"
     )
     return exact.unionByName(near)

@@ -450,6 +450,7 @@ class Engine:
             chunks=store.read("chunks", snapshot),
             postings=store.read("postings", snapshot),
             vocabulary=store.vocabulary(snapshot),
+            term_rows=store.read("vocabulary", snapshot),
             grams=store.read("grams", snapshot),
             gram_order=store.read("gram_order", snapshot),
             n_chunks=snapshot.n_chunks,

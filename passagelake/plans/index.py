@@ -24,6 +24,8 @@ class Index:
     chunks: DataFrame
     postings: DataFrame
     vocabulary: DataFrame
+    # the same before it is summed over the segments, for lookups of a few terms
+    term_rows: DataFrame
     grams: DataFrame
     gram_order: DataFrame
     n_chunks: int
@@ -35,7 +37,7 @@ class Index:
 
     def expansions(self, terms: DataFrame) -> DataFrame:
         return lexical.expand_terms(
-            terms, self.vocabulary, self.grams, self.gram_order, self.settings
+            terms, self.term_rows, self.grams, self.gram_order, self.settings
         )
 
     def weights(self, questions: DataFrame) -> DataFrame:

@@ -51,8 +51,19 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
+#: how much wider rows may be in memory than in a file, and the narrowest row
+_UNPACKED, _NARROW = 16, 16
+
+
 def fits_broadcast(df: DataFrame, settings: Settings) -> bool:
-    """Whether a written table is small enough, in rows and in bytes, to broadcast."""
+    """Whether a written table is small enough, in rows and in bytes, to broadcast.
+
+    The optimizer knows the size of the files. Where that is far below the limits nothing
+    is counted; otherwise the rows are.
+    """
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) * _UNPACKED
+    if known <= min(settings.broadcast_mb << 20, settings.broadcast_rows * _NARROW):
+        return True
     width = F.octet_length(F.to_json(F.struct(*df.columns)))
     size = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
     return size["n"] <= settings.broadcast_rows and size["b"] <= settings.broadcast_mb << 20

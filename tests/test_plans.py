@@ -61,13 +61,36 @@ def test_beyond_the_size_limit_the_join_is_salted(spark, index):
 
 
 def test_neighbours_join_on_grams_only(spark, index):
-    terms = spark.createDataFrame([("swrm",)], "term string")
+    terms = spark.createDataFrame([("lightnin",)], "term string")
     plan = plan_of(
         lexical.fuzzy_neighbours(terms, index.grams, index.gram_order, index.settings)
     )
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "bit_count" in plan
 
 
+def test_lookups_of_terms_read_their_buckets_only(spark, index):
+    from passagelake.workspace import save
+
+    terms = save(spark.createDataFrame([("lightnin",)], "term string"), "terms")
+    plan = plan_of(index.expansions(terms))
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "/vocabulary" in line]
+    assert scans and all("term_bucket" in line.split("PartitionFilters")[1].split("]")[0] for line in scans)
+    near = plan_of(lexical.fuzzy_neighbours(terms, index.grams, index.gram_order, index.settings))
+    scan = next(line for line in near.splitlines() if "FileScan" in line and "/grams" in line)
+    assert "gram_bucket" in scan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_jobs_of_one_question(spark, index):
+    """Each saved table is a job, and its size is known without another."""
+    context = spark.sparkContext
+    context.setJobGroup("one question", "retrieval")
+    index.retrieve(questions(spark)).collect()
+    context.setJobGroup("other", "")
+    jobs = len(context.statusTracker().getJobIdsForGroup("one question"))
+    assert 0 < jobs <= 50, jobs
+    print("jobs of one question:", jobs)
+
+
 def test_first_copies_are_combined_before_the_shuffle(spark):
     rows = spark.range(10).select(F.lit("same").alias("sha256"), F.col("id").alias("position"), F.col("id").cast("string").alias("doc_id"))
     plan = plan_of(first_of_each(rows, ["sha256"], "position", "doc_id"))
