@@ -58,6 +58,9 @@ MAX_ERROR_CHARS = 2000
 MAX_NAME_CHARS = 200
 MAX_QUESTION_CHARS = 2000
 MAX_TURN_CHARS = 8000
+TOO_LONG_QUESTION = "question is too long"
+TOO_LONG_TURN = "content is too long"
+WRONG_TOP_K = "top_k is out of range"
 MAX_TOP_K = 20
 OVERLAP_SEARCH = (5, 60)
 HISTORY_TURNS = 6

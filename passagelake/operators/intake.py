@@ -74,11 +74,11 @@ def question_problem(question: Column, top_k: Column | None = None) -> Column:
     """Why a question is refused before it is looked at, or null."""
     problem = (
         F.when(F.coalesce(F.length(question), F.lit(0)) == 0, F.lit("question is missing"))
-        .when(F.length(question) > lx.MAX_QUESTION_CHARS, F.lit("question is too long"))
+        .when(F.length(question) > lx.MAX_QUESTION_CHARS, F.lit(lx.TOO_LONG_QUESTION))
         .when(T.strip(question) == "", F.lit("Question must not be empty."))
     )
     if top_k is not None:
-        problem = problem.when(~top_k.between(1, lx.MAX_TOP_K), F.lit("top_k is out of range"))
+        problem = problem.when(~top_k.between(1, lx.MAX_TOP_K), F.lit(lx.WRONG_TOP_K))
     return problem
 
 
@@ -86,4 +86,4 @@ def turn_problem(role: Column, content: Column) -> Column:
     """Why a conversation turn is refused, or null."""
     return F.when(
         ~F.coalesce(role, F.lit("")).isin("user", "assistant"), F.lit("role is unknown")
-    ).when(F.length(content) > lx.MAX_TURN_CHARS, F.lit("content is too long"))
+    ).when(F.length(content) > lx.MAX_TURN_CHARS, F.lit(lx.TOO_LONG_TURN))

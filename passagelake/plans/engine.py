@@ -339,6 +339,10 @@ class Engine:
             vectors=snapshot.vectors,
         )
 
+    def vacuum(self) -> list[str]:
+        """Delete what compactions have replaced, deleted documents with it."""
+        return self.store.vacuum()
+
     # -- tables -----------------------------------------------------------------------
 
     def documents(self) -> DataFrame:
@@ -501,23 +505,43 @@ class Engine:
         """Answer a table of questions in one plan.
 
         ``questions``: query_id, question and optionally history. One row per question:
-        answer, mode, model, warning, query_used, cited, blocks, sources, error.
+        answer, mode, model, warning, query_used, cited, blocks, sources, error. A question or
+        a turn of its history over the limits is not looked at and has the error only.
         """
+        return self.answered(self.found(questions, top_k, scope, query_vectors))
+
+    def found(
+        self,
+        questions: DataFrame,
+        top_k: int | None = None,
+        scope: DataFrame | None = None,
+        query_vectors: DataFrame | None = None,
+    ) -> DataFrame:
+        """The first half of an answer: every question with its context ``blocks``."""
+        if top_k is not None and not 1 <= top_k <= lx.MAX_TOP_K:
+            raise ValueError(lx.WRONG_TOP_K)
         asked = questions.withColumn("question", T.strip(F.coalesce("question", F.lit(""))))
         if "history" not in asked.columns:
             asked = asked.withColumn("history", F.array().cast(HISTORY))
-        asked = asked.select("query_id", "question", "history")
+        long_turn = F.exists("history", lambda t: F.length(t["content"]) > lx.MAX_TURN_CHARS)
+        refused = F.when(
+            F.length("question") > lx.MAX_QUESTION_CHARS, F.lit(lx.TOO_LONG_QUESTION)
+        ).when(F.coalesce(long_turn, F.lit(False)), F.lit(lx.TOO_LONG_TURN))
+        asked = asked.select("query_id", "question", "history", refused.alias("refused"))
         asked = save(self._condensed(asked), "asked")
-        valid = asked.where("question != ''").select(
+        valid = asked.where("question != '' and refused is null").select(
             "query_id", F.col("query_used").alias("question")
         )
         index = self.index()
         if query_vectors is None:
             query_vectors = index.encoded(valid, self.encoder)
         blocks = index.retrieve(valid, top_k, scope, query_vectors)
-        found = asked.join(blocks, "query_id", "left").withColumn(
+        return asked.join(blocks, "query_id", "left").withColumn(
             "blocks", F.coalesce("blocks", F.array().cast(f"array<{BLOCK}>"))
         )
+
+    def answered(self, found: DataFrame) -> DataFrame:
+        """The second half: answers from the blocks, generated or quoted."""
         if self.generator is not None:
             found = self._generated(save(found, "found"))
         else:
@@ -526,14 +550,14 @@ class Engine:
                 F.lit(None).cast("string").alias("generated"),
                 F.lit(None).cast("string").alias("problem"),
             )
-        return self._answers(found)
+        return self.finished(found)
 
     def _condensed(self, asked: DataFrame) -> DataFrame:
         """Add ``query_used``: a follow-up rewritten to stand alone, where that works."""
         condenser = self.condenser
         if condenser is None:
             return asked.withColumn("query_used", F.col("question"))
-        follow_ups = asked.where(F.size("history") > 0).select(
+        follow_ups = asked.where((F.size("history") > 0) & F.col("refused").isNull()).select(
             "query_id", "question", A.recent_turns(F.col("history")).alias("turns")
         )
 
@@ -551,7 +575,7 @@ class Engine:
         length = F.length("rewritten")
         usable = (length > 0) & (length <= lx.MAX_REWRITE_CHARS)
         return asked.join(rewrites, "query_id", "left").select(
-            "query_id", "question", "history",
+            "query_id", "question", "history", "refused",
             F.when(usable, F.col("rewritten")).otherwise(F.col("question")).alias("query_used"),
         )
 
@@ -581,14 +605,15 @@ class Engine:
         answers = messages.mapInPandas(run, "query_id string, generated string, problem string")
         return found.join(answers, "query_id", "left")
 
-    def _answers(self, found: DataFrame) -> DataFrame:
+    def finished(self, found: DataFrame) -> DataFrame:
+        """Answers from questions with ``blocks``, ``generated`` text and ``problem``."""
         quoted = spread(found, "query_id").withColumn(
             "_quoted", A.extractive_answer(F.col("question"), F.col("blocks"))
         )
         empty = F.col("question") == ""
         no_match = F.size("blocks") == 0
         generated = F.coalesce(F.col("generated") != "", F.lit(False))
-        failed = F.col("problem").isNotNull()
+        failed = F.col("problem").isNotNull() | F.col("refused").isNotNull()
         mode = (
             F.when(empty | failed, F.lit(None))
             .when(no_match, "no_match")
@@ -618,7 +643,7 @@ class Engine:
             cited.alias("cited"),
             "blocks",
             F.coalesce(
-                F.when(empty, F.lit("Question must not be empty.")), F.col("problem")
+                F.when(empty, F.lit("Question must not be empty.")), F.col("refused"), F.col("problem")
             ).alias("error"),
         )
         return answered.select(
@@ -638,31 +663,41 @@ class Engine:
         """Answer one question."""
         if not (question or "").strip():
             raise ValueError("Question must not be empty.")
+        if len(question.strip()) > lx.MAX_QUESTION_CHARS:
+            raise ValueError(lx.TOO_LONG_QUESTION)
+        if any(len(t.get("content") or "") > lx.MAX_TURN_CHARS for t in history or []):
+            raise ValueError(lx.TOO_LONG_TURN)
         started = time.perf_counter()
-        row = self.ask_row(question, doc_ids, history, top_k)
+        found = self.found_one(question, doc_ids, history, top_k)
+        retrieved = time.perf_counter()
+        row = self.answered(found).first()
         if row["error"]:
             raise RuntimeError(row["error"])
-        elapsed = round((time.perf_counter() - started) * 1000, 1)
+        finished = time.perf_counter()
         result = {
             "answer": row["answer"],
             "sources": [s.asDict() for s in row["sources"]],
             "mode": row["mode"],
             "model": row["model"],
             "query_used": row["query_used"],
-            "timing_ms": {"total": elapsed},
+            "timing_ms": {
+                "retrieval": round((retrieved - started) * 1000, 1),
+                "generation": round((finished - retrieved) * 1000, 1),
+                "total": round((finished - started) * 1000, 1),
+            },
         }
         return result if row["mode"] == "no_match" else {**result, "warning": row["warning"]}
 
-    def ask_row(
+    def found_one(
         self,
         question: str,
         doc_ids: list[str] | None = None,
         history: list[dict] | None = None,
         top_k: int | None = None,
-    ):
-        """The row :meth:`ask_many` gives for one question."""
+    ) -> DataFrame:
+        """One question with its context, as a written table of one row."""
         turns = [(t.get("role"), t.get("content")) for t in history or []]
         asked = self.spark.createDataFrame(
             [("q", question, turns)], f"query_id string, question string, history {HISTORY}"
         )
-        return self.ask_many(asked, top_k, self._scope("q", doc_ids)).first()
+        return save(self.found(asked, top_k, self._scope("q", doc_ids)), "found")

@@ -150,6 +150,21 @@ class Store:
         frame = self.spark.createDataFrame([row], SCHEMAS["commits"]).coalesce(1)
         frame.write.mode("overwrite").parquet(f"{self.path('commits')}/segment={segment}")
 
+    def vacuum(self) -> list[str]:
+        """Delete the files of segments that a compaction replaced; returns their names.
+
+        Their commit rows go last, so a vacuum that was cut short can be run again. Readers
+        that still hold a snapshot from before the compaction lose their files.
+        """
+        rows = self._load("commits").collect()
+        replaced = sorted({s for r in rows for s in (r["supersedes"] or [])})
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for table in [*(t for t in SCHEMAS if t != "commits"), "commits"]:
+            for segment in replaced:
+                path = jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/segment={segment}")
+                path.getFileSystem(conf).delete(path, True)
+        return replaced
+
     # -- tables -------------------------------------------------------------------
 
     def write(self, table: str, df: DataFrame, segment: str) -> DataFrame:

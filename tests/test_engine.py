@@ -333,6 +333,51 @@ def test_generator_and_condenser(spark, make_engine):
         engine.ask("sourdough")
 
 
+def test_requests_over_the_limits_are_refused(library, spark):
+    long = "sourdough " * 300
+    for refused in (
+        lambda: library.ask(long), lambda: library.ask("sourdough", top_k=21), lambda: library.ask("sourdough", top_k=0),
+        lambda: library.ask("sourdough", history=[{"role": "user", "content": "x" * 8_001}]),
+    ):
+        with pytest.raises(ValueError):
+            refused()
+    rows = [("a", long, []), ("b", "sourdough overnight", [("user", "y" * 8_001)]), ("c", "sourdough overnight", [])]
+    asked = spark.createDataFrame(rows, "query_id string, question string, history array<struct<role:string,content:string>>")
+    got = {r["query_id"]: (r["error"], r["answer"]) for r in library.ask_many(asked).collect()}
+    assert got["a"] == (lx.TOO_LONG_QUESTION, None) and got["b"] == (lx.TOO_LONG_TURN, None) and got["c"][0] is None
+    assert [e["type"] for e in ask_stream(library, long)] == ["error"]
+
+
+def test_pieces_are_passed_on_as_they_come(spark, library, small):
+    made = []
+
+    def slow(messages):
+        for piece in ("Willow ", "baskets [1]."):
+            made.append(piece)
+            yield piece
+
+    engine = Engine(spark, library.store.root, small, generator=slow, model="m")
+    events = ask_stream(engine, "Where does sourdough prove overnight?")
+    assert next(events)["type"] == "sources" and not made
+    assert next(events) == {"type": "delta", "text": "Willow "} and made == ["Willow "]
+    assert next(events)["text"] == "baskets [1]."
+    done = next(events)
+    assert done["mode"] == "generated" and done["sources"][0]["cited"] and set(done["timing_ms"]) == {"retrieval", "generation", "total"}
+
+
+def test_vacuum_removes_what_was_replaced(spark, make_engine, tmp_path):
+    engine = make_engine({"dome.txt": DOME})
+    engine.ingest(uploads(spark, {"bakery.md": BAKERY}))
+    engine.delete_documents([engine.documents().where("filename = 'dome.txt'").first()["doc_id"]])
+    engine.compact()
+    before = engine.stats()
+    assert len(engine.vacuum()) == 3 and engine.stats() == before
+    assert engine.search("sourdough overnight").count() == 1 and len(engine.store._load("commits").collect()) == 1
+    left = [p for p in (tmp_path / "index" / "files").rglob("*.parquet")]
+    assert left and spark.read.parquet(str(tmp_path / "index" / "files")).count() == 1
+    assert engine.vacuum() == [] or len(engine.vacuum()) == 3
+
+
 def test_folder_and_stream(spark, make_engine, tmp_path):
     inbox = tmp_path / "inbox"
     inbox.mkdir()
