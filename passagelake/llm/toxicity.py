@@ -28,24 +28,12 @@ from .common import keyed
 from .records import slices_of
 from .wordhash import Words, mix
 
-ROWS, CHARACTERS = 6_000, 24_000_000
+ROWS, CHARACTERS = 5_000, 20_000_000
 BUCKETS, WIDTH, SIZES = 1 << 18, 8, (3, 4, 5, 6)
-STRETCH = 16
+STRETCH = 12
 #: labelled texts that a word must be in to be learned from
 MIN_TEXTS = 3
-STEPS, RATE, DECAY, SHARPNESS, SEED = 300, 0.1, 1e-6, 1.0, 5
-
-
-@dataclass
-class Bag:
-    """Texts as stretches of words, and the words as n-grams."""
-
-    grams: np.ndarray  # bucket of each n-gram, word by word
-    gram_bounds: np.ndarray
-    words: np.ndarray  # of each text in turn, as rows of ``gram_bounds``
-    stretch_starts: np.ndarray  # positions in ``words``
-    stretch_bounds: np.ndarray  # stretches of each text
-    hashes: np.ndarray  # of the different words
+STEPS, RATE, DECAY, SHARPNESS, SEED = 220, 0.1, 2e-6, 1.0, 5
 
 
 def word_grams(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,23 +62,22 @@ def word_grams(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return np.concatenate(found)[order], np.concatenate(([0], np.cumsum(counts)))
 
 
-def bag_of(texts: list[str]) -> Bag:
-    """A word said several times in a row counts once."""
-    words = Words(texts)
+def spoken_words(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the words of some texts, and the bounds of each text's: a word said
+    several times in a row counts once."""
     head = np.zeros(len(words) + 1, bool)
     head[words.bounds[:-1]] = True
     said = head[:-1].copy()
     said[1:] |= words.hashes[1:] != words.hashes[:-1]
-    bounds = np.concatenate(([0], np.cumsum(said)))[words.bounds]
-    spoken = np.flatnonzero(said)
-    hashes, first, which = np.unique(words.hashes[spoken], return_index=True, return_inverse=True)
-    first = spoken[first]
-    grams, gram_bounds = word_grams(words.bytes, words.starts[first], words.ends[first])
+    return np.flatnonzero(said), np.concatenate(([0], np.cumsum(said)))[words.bounds]
+
+
+def stretches(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each stretch of words begins, and the bounds of each text's stretches."""
     pieces = -(-np.diff(bounds) // STRETCH)
-    stretch_bounds = np.concatenate(([0], np.cumsum(pieces)))
-    within = np.arange(int(stretch_bounds[-1])) - np.repeat(stretch_bounds[:-1], pieces)
-    starts = np.repeat(bounds[:-1], pieces) + within * STRETCH
-    return Bag(grams, gram_bounds, which, starts, stretch_bounds, hashes)
+    ends = np.concatenate(([0], np.cumsum(pieces)))
+    within = np.arange(int(ends[-1])) - np.repeat(ends[:-1], pieces)
+    return np.repeat(bounds[:-1], pieces) + within * STRETCH, ends
 
 
 def _mean(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -98,38 +85,64 @@ def _mean(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return (total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(np.diff(bounds), 1)
 
 
-def gathered(grams: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Some rows of a ragged array, as a ragged array."""
-    counts = bounds[rows + 1] - bounds[rows]
-    ends = np.cumsum(counts)
-    where = np.repeat(bounds[rows] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
-    return grams[where], np.concatenate(([0], ends))
-
-
-def joined(bags: list[Bag]) -> Bag:
-    """Several bags as one, each different word once."""
-    grams, rows, words, starts, bounds = [], [], [], [], [np.zeros(1, np.int64)]
-    n_grams = n_words = n_rows = n_stretches = 0
-    for b in bags:
-        grams.append(b.grams)
-        rows.append(np.diff(b.gram_bounds))
-        words.append(b.words + n_rows)
-        starts.append(b.stretch_starts + n_words)
-        bounds.append(b.stretch_bounds[1:] + n_stretches)
-        n_rows, n_words, n_stretches = n_rows + len(b.hashes), n_words + len(b.words), n_stretches + len(b.stretch_starts)
-    hashes, first, which = np.unique(
-        np.concatenate([b.hashes for b in bags]), return_index=True, return_inverse=True
-    )
-    flat, edges = gathered(np.concatenate(grams), np.concatenate(([0], np.cumsum(np.concatenate(rows)))), first)
-    return Bag(flat, edges, which[np.concatenate(words)], np.concatenate(starts), np.concatenate(bounds), hashes)
+@dataclass
+class Lesson:
+    """Texts to learn from: stretches of words, and the n-grams of the words they share."""
 
+    grams: np.ndarray  # bucket of each n-gram, word by word
+    gram_bounds: np.ndarray
+    words: np.ndarray  # of each text in turn: a row of ``gram_bounds``, or -1
+    stretch_starts: np.ndarray  # positions in ``words``
+    stretch_bounds: np.ndarray  # stretches of each text
 
-def common_words(bag: Bag, least: int) -> np.ndarray:
-    """Whether each word is in so many texts or more."""
-    ends = np.append(bag.stretch_starts, len(bag.words))
-    of_text = np.repeat(np.arange(len(bag.stretch_bounds) - 1), np.diff(ends[bag.stretch_bounds]))
-    pairs = np.unique(of_text * len(bag.hashes) + bag.words)
-    return np.bincount(pairs % len(bag.hashes), minlength=len(bag.hashes)) >= least
+
+def lesson_of(texts: list[str], at_once: int = 200) -> Lesson:
+    """Word hashes first; n-grams are made only of words in ``MIN_TEXTS`` texts or more.
+
+    A word of one or two texts teaches nothing but these texts: it counts as a zero vector.
+    """
+    hashes, bounds = [], [np.zeros(1, np.int64)]
+    for at in range(0, len(texts), at_once):
+        words = Words(texts[at : at + at_once])
+        spoken, edges = spoken_words(words)
+        hashes.append(words.hashes[spoken])
+        bounds.append(edges[1:] + bounds[-1][-1])
+    said, edges = np.concatenate(hashes), np.concatenate(bounds)
+    del hashes
+    names, which = np.unique(said, return_inverse=True)
+    which = which.astype(np.int32)
+    text_of = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(edges))
+    pairs = np.unique(text_of * max(len(names), 1) + which)
+    common = np.bincount(pairs % max(len(names), 1), minlength=len(names)) >= MIN_TEXTS
+    row = np.where(common, np.cumsum(common) - 1, -1).astype(np.int32)
+    del said, text_of, pairs
+    wanted, missing = names[common], np.ones(int(common.sum()), bool)
+    found, counts = [], np.zeros(len(wanted), np.int64)
+    order = []
+    for at in range(0, len(texts), at_once):
+        words = Words(texts[at : at + at_once])
+        here, first = np.unique(words.hashes, return_index=True)
+        place = np.minimum(np.searchsorted(wanted, here), max(len(wanted) - 1, 0))
+        new = np.flatnonzero((wanted[place] == here) & missing[place]) if len(wanted) else np.empty(0, np.int64)
+        if len(new):
+            grams, ends = word_grams(words.bytes, words.starts[first[new]], words.ends[first[new]])
+            found.append(grams.astype(np.int32))
+            order.append(place[new])
+            counts[place[new]] = np.diff(ends)
+            missing[place[new]] = False
+    # words came in the order of the texts; put their n-grams in the order of their rows
+    if found:
+        came = np.concatenate(order)
+        flat = np.concatenate(found)
+        starts = np.concatenate(([0], np.cumsum(counts[came])))[:-1]
+        begin = np.empty(len(wanted), np.int64)
+        begin[came] = starts
+        ends = np.cumsum(counts)
+        flat = flat[np.repeat(begin - (ends - counts), counts) + np.arange(int(ends[-1]))]
+    else:
+        flat, ends = np.empty(0, np.int32), np.empty(0, np.int64)
+    starts, stretch_bounds = stretches(edges)
+    return Lesson(flat, np.concatenate(([0], ends)).astype(np.int64), row[which], starts, stretch_bounds)
 
 
 @dataclass
@@ -141,42 +154,42 @@ class Model:
     share: float
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        bag = bag_of(texts)
         out = np.full(len(texts), self.share)
-        if not len(self.logits) or not len(bag.words):
+        words = Words(texts)
+        if not len(self.logits) or not len(words):
             return out
-        words = _mean(self.logits[bag.grams], bag.gram_bounds)[bag.words]
-        stretches = _mean(words, np.append(bag.stretch_starts, len(words))) + self.bias
-        some = np.diff(bag.stretch_bounds) > 0
-        worst = np.maximum.reduceat(stretches, bag.stretch_bounds[:-1][some])
+        spoken, bounds = spoken_words(words)
+        _, first, which = np.unique(words.hashes[spoken], return_index=True, return_inverse=True)
+        first = spoken[first]
+        grams, gram_bounds = word_grams(words.bytes, words.starts[first], words.ends[first])
+        each = _mean(self.logits[grams], gram_bounds)[which]
+        starts, stretch_bounds = stretches(bounds)
+        level = _mean(each, np.append(starts, len(each))) + self.bias
+        some = np.diff(stretch_bounds) > 0
+        worst = np.maximum.reduceat(level, stretch_bounds[:-1][some])
         out[some] = 1 / (1 + np.exp(-np.clip(worst, -40, 40)))
         return out
 
 
-def fit_bag(bag: Bag, toxic: np.ndarray, steps: int = STEPS) -> Model:
+def fit_lesson(lesson: Lesson, toxic: np.ndarray, steps: int = STEPS) -> Model:
     """Train embeddings and softmax together, all rows in every step (Adam)."""
     share = float(toxic.mean()) if len(toxic) else 0.0
-    if share in (0.0, 1.0):
+    if share in (0.0, 1.0) or len(lesson.gram_bounds) < 2:
         return Model(np.empty(0, np.float32), 0.0, share)
     rng = np.random.default_rng(SEED)
-    # a word of one or two texts teaches nothing but these texts: it counts as a zero vector
-    common = np.flatnonzero(common_words(bag, MIN_TEXTS))
-    if not len(common):
-        return Model(np.empty(0, np.float32), 0.0, share)
-    row = np.full(len(bag.hashes), -1)
-    row[common] = np.arange(len(common))
-    all_words = row[bag.words]
-    kept = np.flatnonzero(all_words >= 0)
-    own = all_words[kept]
-    flat, gram_bounds = gathered(bag.grams, bag.gram_bounds, common)
-    used, grams = np.unique(flat, return_inverse=True)
-    word_ends = np.append(bag.stretch_starts, len(bag.words))
+    kept = np.flatnonzero(lesson.words >= 0)
+    own = lesson.words[kept]
+    gram_bounds = lesson.gram_bounds
+    used, grams = np.unique(lesson.grams, return_inverse=True)
+    grams = grams.astype(np.int32)
+    word_ends = np.append(lesson.stretch_starts, len(lesson.words))
     stretch_n = np.maximum(np.diff(word_ends), 1)
-    stretch_of = np.repeat(np.arange(len(stretch_n)), np.diff(word_ends))[kept]
+    stretch_of = np.repeat(np.arange(len(stretch_n), dtype=np.int32), np.diff(word_ends))[kept]
+    del kept
     gram_n = np.maximum(np.diff(gram_bounds), 1)
-    texts = np.repeat(np.arange(len(toxic)), np.diff(bag.stretch_bounds))
-    some = np.flatnonzero(np.diff(bag.stretch_bounds) > 0)
-    heads = bag.stretch_bounds[:-1][some]
+    texts = np.repeat(np.arange(len(toxic)), np.diff(lesson.stretch_bounds))
+    some = np.flatnonzero(np.diff(lesson.stretch_bounds) > 0)
+    heads = lesson.stretch_bounds[:-1][some]
     values = [
         rng.normal(0, 0.1, (len(used), WIDTH)).astype(np.float32),  # embeddings
         rng.normal(0, 0.5, (2, WIDTH)).astype(np.float32),  # softmax
@@ -201,14 +214,20 @@ def fit_bag(bag: Bag, toxic: np.ndarray, steps: int = STEPS) -> Model:
         on_grams = np.bincount(grams, weights=np.repeat(on_words / gram_n, gram_n), minlength=len(used))
         g_slope = on_grams @ embedding
         gradients = [
-            np.outer(on_grams, slope) + DECAY * embedding,
-            np.stack((-g_slope, g_slope)),
-            np.array([-gz.sum(), gz.sum()]),
+            np.outer(on_grams.astype(np.float32), slope) + np.float32(DECAY) * embedding,
+            np.stack((-g_slope, g_slope)).astype(np.float32),
+            np.array([-gz.sum(), gz.sum()], np.float32),
         ]
         for x, g, (m, v) in zip(values, gradients, moments):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            x -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            g *= g
+            v *= np.float32(0.99)
+            v += np.float32(0.01) * g
+            np.sqrt(v, out=g)
+            g *= np.float32(1 / np.sqrt(1 - 0.99**step))
+            g += np.float32(1e-8)
+            x -= np.float32(RATE / (1 - 0.9**step)) * m / g
     logits = np.zeros(BUCKETS, np.float32)
     logits[used] = values[0] @ (values[1][1] - values[1][0])
     return Model(logits, float(values[2][1] - values[2][0]), share)
@@ -232,14 +251,12 @@ def fit(
     if not picked:
         return Model(np.empty(0, np.float32), 0.0, 0.0)
     few = docs.sparkSession.createDataFrame([(x,) for x in sorted(picked)], labelled.select("id").schema)
-    bags, labels, texts = [], [], []
+    labels, texts = [], []
     taken = labelled.join(F.broadcast(few), "id", "left_semi").select("id", "_tie", "_text", "label")
     for r in sorted(taken.collect(), key=lambda r: (r["id"], r["_tie"])):  # at most ``characters``
         texts.append(r["_text"])
         labels.append(r["label"])
-    for at in range(0, len(texts), 200):
-        bags.append(bag_of(texts[at : at + 200]))
-    return fit_bag(joined(bags), np.array(labels, float))
+    return fit_lesson(lesson_of(texts), np.array(labels, float))
 
 
 def toxic_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
