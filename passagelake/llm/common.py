@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,6 +88,18 @@ def attach(
     return large.join(small, on, how)
 
 
-def worker_cache() -> dict:
-    """What a Python worker keeps from one task to the next (tokenizers, tables)."""
-    return sys.__dict__.setdefault("_worker_cache", {})
+def worker_cache(purpose: str) -> dict:
+    """What a Python worker keeps from one task to the next (tokenizers, tables).
+
+    A worker serves one purpose after another; what it kept for the last one is given back.
+    """
+    cache = sys.__dict__.setdefault("_worker_cache", {})
+    if cache.get("purpose") != purpose:
+        cache.clear()
+        cache["purpose"] = purpose
+        gc.collect()
+        try:  # glibc keeps freed memory unless it is asked
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass
+    return cache

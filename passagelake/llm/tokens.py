@@ -156,7 +156,7 @@ class PieceEncoder:
 
 def encoder(path: str, cut) -> PieceEncoder:
     """The worker's encoder for a vocabulary file."""
-    cache = worker_cache()
+    cache = worker_cache("tokens")
     key = ("encoder", path, cut.__name__)
     if key not in cache:
         cache[key] = PieceEncoder(path, cut)

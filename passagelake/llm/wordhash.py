@@ -22,9 +22,9 @@ FOLD[65:91] += 32
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first powers of the base and of its inverse, modulo 2**64."""
-    cache = worker_cache()
+    cache = worker_cache("words")
     if len(cache.get("powers", ((),))[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, (1 << 20) + (1 << 17))
         up = np.full(size, BASE & _MASK, np.uint64)
         down = np.full(size, pow(BASE, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
