@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, save, worker_cache
 from .records import slices_of
+from .tokens import encoder, space_led
 
 #: the marks of the template: before the role, between role and text, behind the text
 OPEN, BODY, CLOSE = "### ", ": ", "</turn>\n"
@@ -50,7 +51,7 @@ def unescape(text: str) -> str:
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    cache = worker_cache()
+    cache = worker_cache("tokens")
     if ("tokenizer", path) not in cache:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -86,10 +87,11 @@ def format_turns(conversations: DataFrame, vocabulary: str, learn: tuple[str, ..
         tokenizer = _tokenizer(vocabulary)
         base = tokenizer.get_vocab_size(with_added_tokens=True)
 
+        look_up = encoder(vocabulary, space_led).encode
+
         def ids_of(texts):
-            return [
-                np.array(e.ids, np.int64) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            ]
+            flat, bounds = look_up(texts)
+            return [flat[bounds[k] : bounds[k + 1]] for k in range(len(texts))]
 
         schema = pa.schema([
             ("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()),
@@ -135,7 +137,7 @@ def read_turn(ids: np.ndarray, mask: np.ndarray, tokenizer, base: int) -> tuple[
         raise ValueError("not a turn")
 
     def decoded(part):
-        return unescape(tokenizer.decode(part.tolist(), skip_special_tokens=False))
+        return unescape(tokenizer.decode(part.tolist(), skip_special_tokens=False)) if len(part) else ""
 
     return decoded(ids[1:body]), decoded(ids[body + 1 : -1]), decoded(ids[(mask != 0) & (ids < base)])
 
