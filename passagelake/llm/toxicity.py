@@ -239,24 +239,22 @@ def fit(
 ) -> Model:
     """The model from the documents that ``toxic`` (``id``, ``label``) names."""
     known = keyed(docs, id_col, text_col).select(F.col(f"_row.{id_col}").alias("id"), "_tie", "_text")
-    labelled = known.join(toxic, "id")
+    # chosen by narrow rows; texts are then read where they lie, for the chosen rows alone
+    labelled = known.select("id", "_tie", F.length("_text").alias("n")).join(toxic, "id").distinct()
     order = [F.xxhash64(F.col("id").cast("string"), F.lit(7)), F.col("id"), F.col("_tie")]
-    chosen = labelled.select("id", "_tie", F.length("_text").alias("n")).orderBy(*order).limit(rows).collect()
-    picked, size = set(), 0
-    for r in chosen:
+    picked, size = [], 0
+    for r in labelled.orderBy(*order).limit(rows).collect():
         size += r["n"]
         if size > characters and picked:
             break
-        picked.add(r["id"])
+        picked.append((r["id"], r["_tie"], r["label"]))
     if not picked:
         return Model(np.empty(0, np.float32), 0.0, 0.0)
-    few = docs.sparkSession.createDataFrame([(x,) for x in sorted(picked)], labelled.select("id").schema)
-    labels, texts = [], []
-    taken = labelled.join(F.broadcast(few), "id", "left_semi").select("id", "_tie", "_text", "label")
-    for r in sorted(taken.collect(), key=lambda r: (r["id"], r["_tie"])):  # at most ``characters``
-        texts.append(r["_text"])
-        labels.append(r["label"])
-    return fit_lesson(lesson_of(texts), np.array(labels, float))
+    few = docs.sparkSession.createDataFrame(picked, labelled.select("id", "_tie", "label").schema)
+    taken = known.join(F.broadcast(few), ["id", "_tie"]).select("id", "_tie", "_text", "label")
+    texts = {(r["id"], r["_tie"]): (r["_text"], r["label"]) for r in taken.collect()}  # at most ``characters``
+    chosen = [texts[k] for k in sorted(texts)]
+    return fit_lesson(lesson_of([t for t, _ in chosen]), np.array([y for _, y in chosen], float))
 
 
 def toxic_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
