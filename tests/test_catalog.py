@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from passagelake.catalog.oracles import ORACLES
+from passagelake.catalog.queries import QUERIES
 from scripts.check_oracles import TABLES, rows
 
 DATA = "/root/testdata/sf0.001"
@@ -20,7 +22,8 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
 @pytest.mark.parametrize(
