@@ -88,7 +88,7 @@ def brute_counts(text):
 
 def test_quality_counts_equal_plain_python(spark):
     prose = " ".join(f"word{k}" for k in range(60))
-    texts = [(i, f"{prose} {i}\n{prose[:80]}\n{prose[:80]}") for i in range(30)] + [
+    texts = [(i, f"{prose} {i}\n{prose[:40]}\n{prose[:40]}") for i in range(30)] + [
         (50, None), (51, ""), (52, " \x0b\f "), (53, "a b c d e f g h " * 4), (54, "a b c d e f g h a b c d e f g h i"),
         (55, "x " * 500), (56, prose.replace(" ", "### ")), (57, prose + "\n" + prose), (None, prose), (58, prose), (58, prose),
         (59, "日本 語\u00a0x é# " * 3), (60, "y" * 40_000),
