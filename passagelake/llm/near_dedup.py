@@ -10,12 +10,15 @@
    same words are one node from here on, copies are never compared.
 3. In each bucket of a band every node meets the bucket's first one; those found
    similar are joined. A second round, among nodes of a bucket that are still apart, meets the one
-   with the most links and the neighbours in the order of the next band. Buckets
-   are reduced before they are joined back, and dealt out in bounded slices, so no group
-   is ever held by one task, and pairs grow with the nodes, not with the square of a bucket.
-4. Pairs whose samples agree enough are verified on their texts. A pair is linked
-   if its weighted similarity reaches the threshold, or the plain one does: rare edits of a text
-   with very many copies weigh more than what they share.
+   with the most links and the neighbours in the order of the next band. These two leave few
+   classes in a bucket. In the third, all nodes of a bucket that are in different classes are
+   held against one another, block by block, so that no pair that shares a bucket is left out.
+   Blocks are of bounded size and those of one class are not paired, so the work grows with
+   the square only of what is unlike in a bucket.
+4. Pairs are verified on their texts but for those that cannot be similar: how many
+   shingles, and of which weight, fall into each of ``BINS`` bins bounds what two texts share. A
+   pair is linked if its weighted similarity reaches the threshold, or the plain one does: rare
+   edits of a text with very many copies weigh more than what they share.
 5. Links become classes by passing on the smallest label and jumping to the label's label.
 
 Words are runs of other characters than space and U+0009 to U+000D, with A-Z lower-cased;
@@ -45,10 +48,12 @@ HASHES = BANDS * ROWS
 COUNTERS, BLOCK = 1 << 20, 1 << 12
 #: rows of the table of random draws; a shingle's hash picks its row
 DRAWS, SEED = 1 << 14, 99
-#: share of equal samples below which a pair is not looked at again. In a family of very
-#: many copies, a plain similarity of 0.8 is a weighted one of about 0.7; this is three
-#: deviations of 64 draws below that
-LEAST_AGREEMENT = 0.5
+#: bins of a text's shingles, for the bound of a pair's similarity
+BINS = 64
+#: nodes of a block, and how many blocks of a bucket meet all the others in one task
+BLOCK, BLOCKS = 256, 16
+#: pairs whose bounds are computed at a time
+BOUNDS_AT_ONCE = 4_096
 #: power of the inverse document frequency in a weight
 DAMPING = 0.5
 #: nodes of a bucket that are put in order together, and how many neighbours each meets
@@ -167,6 +172,27 @@ def samples(values: np.ndarray, log_weights: np.ndarray, bounds: np.ndarray) ->
     return mix(drawn)
 
 
+def binned(values: np.ndarray, weights: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many shingles of each text fall into each bin, and after these their weights."""
+    n = len(bounds) - 1
+    at = np.repeat(np.arange(n), np.diff(bounds)) * BINS + (values >> np.uint64(58)).astype(np.int64)
+    parts = [np.bincount(at, w, n * BINS).reshape(n, BINS) for w in (None, weights)]
+    return np.concatenate(parts, axis=1).astype("<f4")
+
+
+def may_link(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of ``binned`` rows can reach the threshold: two texts share no more of a
+    bin than the one that has less of it."""
+    found = np.zeros(len(a), bool)
+    for at in range(0, len(a), BOUNDS_AT_ONCE):
+        x, y = (part[at : at + BOUNDS_AT_ONCE].reshape(-1, 2, BINS) for part in (a, b))
+        low = np.minimum(x, y).sum(axis=2)
+        total = x.sum(axis=2) + y.sum(axis=2)
+        # a little less is asked for than the threshold, as sums are rounded
+        found[at : at + BOUNDS_AT_ONCE] = ((1 + threshold) * low >= (1 - 1e-4) * threshold * total).any(axis=1)
+    return found
+
+
 def similarities(a: tuple, b: tuple) -> tuple[float, float]:
     """Weighted and plain Jaccard similarity of two texts' ``(shingles, weights)``."""
     common, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -177,10 +203,10 @@ def similarities(a: tuple, b: tuple) -> tuple[float, float]:
 
 
 def signatures(documents: DataFrame, log_idf) -> DataFrame:
-    """A written table: ``_id, _tie, node, bands, agreed`` of every row.
+    """A written table: ``_id, _tie, node, bands, bins`` of every row.
 
-    ``node`` is a digest of the words, ``bands`` the bucket of each band, ``agreed`` one byte of
-    each sample.
+    ``node`` is a digest of the words, ``bands`` the bucket of each band,
+    ``bins`` what ``may_link`` needs.
     """
     id_type = documents.schema["_id"].dataType.simpleString()
 
@@ -194,6 +220,7 @@ def signatures(documents: DataFrame, log_idf) -> DataFrame:
                 values, counts, bounds, words = weighted_shingles(texts.slice(start, stop - start).to_pylist())
                 logs = np.log(counts).astype(np.float32) + log_idf.value[_counter(values)]
                 drawn = samples(values, logs, bounds)
+                bins = binned(values, np.exp(logs), bounds)
                 bands = names[None, :] * np.ones((len(drawn), 1), np.uint64)
                 for k in range(ROWS):
                     bands = mix(bands + drawn[:, k::ROWS])
@@ -207,14 +234,14 @@ def signatures(documents: DataFrame, log_idf) -> DataFrame:
                     [
                         head.column(0), head.column(1), pa.array(nodes, pa.binary()),
                         pa.array([bands[k].astype(np.int64) if s else [] for k, s in enumerate(some)], pa.list_(pa.int64())),
-                        pa.array([drawn[k].astype(np.uint8).tobytes() for k in range(len(drawn))], pa.binary()),
+                        pa.array([row.tobytes() for row in bins], pa.binary()),
                     ],
-                    names=["_id", "_tie", "node", "bands", "agreed"],
+                    names=["_id", "_tie", "node", "bands", "bins"],
                 )
 
     return save(
         documents.select(*KEY, "_text").mapInArrow(
-            run, f"_id {id_type}, _tie int, node binary, bands array<long>, agreed binary"
+            run, f"_id {id_type}, _tie int, node binary, bands array<long>, bins binary"
         ),
         "signatures",
     )
@@ -228,7 +255,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def bucket_rows(nodes: DataFrame) -> DataFrame:
     """``key, node, rep, next``: each node in each of its buckets that hold others too."""
     rows = nodes.select("node", "rep", "bands", F.posexplode("bands").alias("k", "key")).select(
-        "key", "node", "rep", F.get("bands", (F.col("k") + 1) % BANDS).alias("next")
+        "key", "node", "rep", F.get("bands", (F.col("k") + 1) % F.size("bands")).alias("next")
     )
     return save(rows, "buckets")
 
@@ -241,26 +268,102 @@ def with_leaders(rows: DataFrame, order: list) -> DataFrame:
     return rows.join(heads, "key")
 
 
-def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose samples agree often enough to be verified."""
+def _rows_of(bins: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(bins), "<f4").reshape(-1, 2 * BINS)
+
+
+def bounded(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that can be similar enough."""
 
     def keep(batches):
         import pyarrow as pa
 
         for batch in batches:
-            a, b = (
-                np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, HASHES) for i in (2, 3)
-            )
-            close = (a == b).mean(axis=1) >= LEAST_AGREEMENT
+            close = may_link(*(_rows_of(batch.column(i).to_pylist()) for i in (2, 3)), threshold)
             yield batch.filter(pa.array(close)).select(["a", "b"])
 
-    own = nodes.select("node", "agreed")
-    both = pairs.join(own.select(F.col("node").alias("a"), F.col("agreed").alias("sa")), "a").join(
-        own.select(F.col("node").alias("b"), F.col("agreed").alias("sb")), "b"
+    own = nodes.select("node", "bins")
+    both = pairs.join(own.select(F.col("node").alias("a"), F.col("bins").alias("sa")), "a").join(
+        own.select(F.col("node").alias("b"), F.col("bins").alias("sb")), "b"
     )
     return both.select("a", "b", "sa", "sb").mapInArrow(keep, "a binary, b binary")
 
 
+def open_buckets(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """A written table: the rows of buckets that hold several classes, with ``class`` and ``links``."""
+    again = rows.join(known, "node", "left").select(
+        "key", "node", "next", "rep", F.coalesce("class", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links")
+    )
+    apart = again.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high")
+    return save(again.join(apart.select("key"), "key"), "open-buckets")
+
+
+def blocks_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A written table: ``key, label, block, blocks, nodes, classes, bins``, the nodes of open buckets in blocks.
+
+    A class that fills a block has blocks of its own and is their ``label``; the others of a
+    bucket share blocks without one. ``blocks`` is how many the bucket has.
+    """
+    own = rows.groupBy("key", "class").agg(F.count("*").alias("n")).withColumn(
+        "label", F.when(F.col("n") >= BLOCK, F.col("class")).otherwise(F.lit(b""))
+    )
+    own = save(own, "class-sizes")
+    parts = own.groupBy("key", "label").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("parts"))
+    whole = parts.groupBy("key").agg(F.sum("parts").cast("int").alias("blocks"))
+    sizes = own.select("key", "class", "label").join(parts, ["key", "label"]).join(whole, "key")
+    placed = rows.select("key", "node", "class").join(sizes, ["key", "class"]).join(nodes.select("node", "bins"), "node")
+    item = F.collect_list(F.struct("node", "class", "bins")).alias("items")
+    return save(
+        placed.groupBy("key", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("parts")).alias("block")).agg(item)
+        .select("key", "label", "block", "blocks", *(F.col(f"items.{c}").alias(a) for c, a in (("node", "nodes"), ("class", "classes"), ("bins", "bins")))),
+        "blocks",
+    )
+
+
+def across(blocks: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``x, y`` of one bucket and different classes that can be similar enough."""
+
+    def compare(batches):
+        import pyarrow as pa
+
+        def side(batch, at, i):
+            names, classes, bins = (batch.column(at + k)[i].as_py() for k in range(3))
+            return names, np.frombuffer(b"".join(classes), np.uint64).reshape(-1, 2), _rows_of(bins)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (left, ca, a), (right, cb, b) = side(batch, 0, i), side(batch, 3, i)
+                apart = (ca[:, None, 0] != cb[None, :, 0]) | (ca[:, None, 1] != cb[None, :, 1])
+                if batch.column(6)[i].as_py():
+                    apart = np.triu(apart)
+                fits = np.zeros(apart.shape, bool)
+                for part in (slice(0, BINS), slice(BINS, None)):  # the smaller one must be large enough
+                    u, v = a[:, part].sum(axis=1)[:, None], b[:, part].sum(axis=1)[None, :]
+                    fits |= np.minimum(u, v) >= (1 - 1e-4) * threshold * np.maximum(u, v)
+                x, y = np.nonzero(apart & fits)
+                for at in range(0, len(x), BOUNDS_AT_ONCE):
+                    p, q = x[at : at + BOUNDS_AT_ONCE], y[at : at + BOUNDS_AT_ONCE]
+                    close = np.flatnonzero(may_link(a[p], b[q], threshold))
+                    if len(close):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([left[k] for k in p[close]], pa.binary()), pa.array([right[k] for k in q[close]], pa.binary())],
+                            names=["x", "y"],
+                        )
+
+    # each block meets those after it; a bucket of many blocks is dealt out by the first of the two
+    turns = F.ceil(F.col("blocks") / F.lit(BLOCKS)).cast("int")
+    one = blocks.withColumn("turn", F.pmod(F.xxhash64("label", "block"), turns).cast("int")).drop("blocks").alias("l")
+    two = blocks.withColumn("turn", F.explode(F.sequence(F.lit(0), turns - 1))).drop("blocks").alias("r")
+    same = (F.col("l.label") == F.col("r.label")) & (F.col("l.block") == F.col("r.block"))
+    alike = (F.col("l.label") == F.col("r.label")) & (F.col("l.label") != F.lit(b""))
+    met = one.join(two, ["key", "turn"]).where(
+        ~alike & (F.struct("l.label", "l.block") <= F.struct("r.label", "r.block"))
+    )
+    return met.select(
+        *(F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "lr" for c in ("nodes", "classes", "bins")), same.alias("same")
+    ).mapInArrow(compare, "x binary, y binary")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, log_idf, threshold: float) -> DataFrame:
     """A written table of the pairs whose texts are similar enough."""
     pairs = save(pairs, "pairs")
@@ -269,35 +372,47 @@ def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, log_idf,
         .join(nodes.select("node", "rep"), "node").select("node", "rep._id", "rep._tie"),
         "wanted",
     )
-    texts = save(
-        attach(documents.select(*KEY, "_text"), wanted, KEY, "inner", F.lit(80)).select("node", "_text")
-        .dropDuplicates(["node"]),
-        "pair-texts",
-    )
+    texts = attach(documents.select(*KEY, "_text"), wanted, KEY, "inner", F.lit(80)).select("node", "_text")
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for start, stop in slices_of(batch.column(1)):
+                values, counts, bounds, _ = weighted_shingles(batch.column(1).slice(start, stop - start).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, stop - start)]
+                    + [pa.array([x[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], pa.binary()) for x in (values, counts.astype("<i4"))],
+                    names=["node", "values", "counts"],
+                )
+
+    # cut once for each text, not for each of its pairs; rows equal in id and text come more than once
+    parts_of = save(texts.mapInArrow(cut, "node binary, values binary, counts binary").dropDuplicates(["node"]), "pair-shingles")
 
     def keep(batches):
         import pyarrow as pa
 
+        parts: dict[bytes, tuple] = {}
         for batch in batches:
-            parts, linked = {}, []
+            linked = []
             for i in range(batch.num_rows):
                 sides = []
-                for name, text in ((0, 2), (1, 3)):
-                    node = batch.column(name)[i].as_py()
+                for at in (0, 1):
+                    node = batch.column(at)[i].as_py()
                     if node not in parts:
                         if len(parts) > 200:
                             parts.clear()
-                        values, counts, _, _ = weighted_shingles([batch.column(text)[i].as_py()])
+                        values = np.frombuffer(batch.column(2 + at)[i].as_py(), np.uint64)
+                        counts = np.frombuffer(batch.column(4 + at)[i].as_py(), "<i4")
                         parts[node] = values, counts * np.exp(log_idf.value[_counter(values)])
                     sides.append(parts[node])
                 linked.append(max(similarities(*sides)) >= threshold)
             yield batch.filter(pa.array(linked, pa.bool_())).select(["a", "b"])
 
-    both = (
-        pairs.join(texts.select(F.col("node").alias("a"), F.col("_text").alias("ta")), "a")
-        .join(texts.select(F.col("node").alias("b"), F.col("_text").alias("tb")), "b")
-        .select("a", "b", "ta", "tb")
-    )
+    def side(name):
+        return parts_of.select(F.col("node").alias(name), F.col("values").alias(f"v{name}"), F.col("counts").alias(f"c{name}"))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "va", "vb", "ca", "cb")
     return save(both.mapInArrow(keep, "a binary, b binary"), "links")
 
 
@@ -330,23 +445,19 @@ def classes(
     members = signatures(documents, log_idf)
     nodes = save(
         members.groupBy("node").agg(
-            F.min(F.struct(*KEY)).alias("rep"), F.first("bands").alias("bands"), F.first("agreed").alias("agreed")
+            F.min(F.struct(*KEY)).alias("rep"), F.first("bands").alias("bands"), F.first("bins").alias("bins")
         ),
         "nodes",
     )
     rows = bucket_rows(nodes)
     stars = with_leaders(rows, ["rep"]).select(F.col("node").alias("x"), F.col("leader").alias("y"))
-    links = verified(agreeing(_ordered(stars), nodes), nodes, documents, log_idf, threshold)
+    links = verified(bounded(_ordered(stars), nodes, threshold), nodes, documents, log_idf, threshold)
 
     # what is still apart meets the best linked node of each bucket, and its neighbours
     found = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     known = save(found.join(degree, "node"), "linked")
-    again = rows.join(known, "node", "left").select(
-        "key", "node", "next", "rep", F.coalesce("class", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links")
-    )
-    apart = again.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high")
-    open_rows = save(again.join(apart.select("key"), "key"), "open-buckets")
+    open_rows = open_buckets(rows, known)
     hubs = with_leaders(open_rows, [(-F.col("links")).alias("l"), F.col("rep")])
     slices = F.ceil(F.col("n") / F.lit(SLICE)).cast("int")
     line = Window.partitionBy("key", "slice").orderBy("next", "node")
@@ -361,9 +472,15 @@ def classes(
         .join(own.select(F.col("node").alias("b"), F.col("class").alias("cb")), "b", "left")
         .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     )
-    more = verified(agreeing(pairs, nodes), nodes, documents, log_idf, threshold)
+    more = verified(bounded(pairs, nodes, threshold), nodes, documents, log_idf, threshold)
+
+    # then every two of a bucket that are in different classes even now
+    links = links.union(more)
+    found = save(components(links).withColumn("links", F.lit(0)), "linked")
+    left = across(blocks_of(open_buckets(rows, found), nodes), threshold)
+    links = links.union(verified(_ordered(left), nodes, documents, log_idf, threshold))
 
-    grouped = components(links.union(more))
+    grouped = components(links)
     firsts = nodes.select("node", "rep").join(grouped, "node", "left").withColumn("class", F.coalesce("class", "node"))
     best = firsts.groupBy("class").agg(F.min("rep").alias("best"))
     named = save(firsts.join(best, "class").select("node", F.col("best._id").alias("first"), F.col("best._tie").alias("first_tie")), "classes")

@@ -103,6 +103,38 @@ def test_near_duplicate_classes_equal_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values()))
 
 
+def test_like_nodes_of_a_large_bucket_meet_behind_an_unlike_leader(spark):
+    rng = np.random.default_rng(5)
+    n = 3_000
+    hashes = rng.integers(0, 1 << 63, (n, 60), dtype=np.uint64)
+    hashes[2_000] = hashes[1_000]
+    hashes[2_000, :3] = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
+    bins = near_dedup.binned(hashes.ravel(), np.ones(n * 60), np.arange(n + 1) * 60)
+    names = [k.to_bytes(16, "big") for k in range(n)]
+    # one bucket; the first 600 are a class, the others are alone
+    rows = [(1, names[k], names[0] if k < 600 else names[k]) for k in range(n)]
+    nodes = spark.createDataFrame([(x, bytearray(b.tobytes())) for x, b in zip(names, bins)], "node binary, bins binary")
+    blocks = near_dedup.blocks_of(spark.createDataFrame(rows, "key long, node binary, class binary"), nodes)
+    assert blocks.selectExpr("sum(size(nodes))", "max(size(nodes))").first()[0] == n
+    found = {frozenset((bytes(r["x"]), bytes(r["y"]))) for r in near_dedup.across(blocks, 0.8).collect()}
+    assert frozenset((names[1_000], names[2_000])) in found and len(found) < n
+    assert not any(max(int.from_bytes(x, "big") for x in pair) < 600 for pair in found)
+
+
+def test_bounds_leave_out_no_similar_pair():
+    rng = np.random.default_rng(6)
+    for n in (5, 60, 3_000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        for share in (0.0, 0.05, 0.1, 0.3, 0.9):
+            b = np.unique(np.where(rng.random(len(a)) < share, rng.integers(0, 1 << 63, len(a), dtype=np.uint64), a))
+            sides = [(x, 1.0 + x % np.uint64(7)) for x in (a, b)]
+            x, y = (near_dedup.binned(v, w, np.array([0, len(v)])) for v, w in sides)
+            if max(near_dedup.similarities(*sides)) >= 0.8:
+                assert near_dedup.may_link(x, y, 0.8)[0]
+            if share == 0.9 and n == 60:
+                assert not near_dedup.may_link(x, y, 0.8)[0]
+
+
 def test_repeated_rows_and_null_ids(spark):
     same = " ".join(f"w{k}" for k in range(30))
     rows = [(1, same), (1, same), (2, same), (None, same + " end"), (5, "else where"), (5, "else where")]
