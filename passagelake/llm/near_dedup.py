@@ -6,8 +6,9 @@
    full frequency, rare edits of a text with very many copies outweigh what they share.
 2. A second pass draws ``HASHES`` samples of each document's weights by improved consistent
    weighted sampling (Ioffe, 2010): two documents draw the same sample with the probability of
-   their weighted Jaccard similarity. Four samples make a band. Documents of the
-   same words are one node from here on, copies are never compared.
+   their weighted Jaccard similarity. Four samples make a band. As many unweighted samples (the
+   smallest hashes) make further bands, for pairs whose plain similarity is the higher one.
+   Documents of the same words are one node from here on, copies are never compared.
 3. In each bucket of a band every node meets the bucket's first one; those found
    similar are joined. A second round, among nodes of a bucket that are still apart, meets the one
    with the most links and the neighbours in the order of the next band. These two leave few
@@ -172,6 +173,22 @@ def samples(values: np.ndarray, log_weights: np.ndarray, bounds: np.ndarray) ->
     return mix(drawn)
 
 
+def smallest(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """``HASHES`` unweighted samples of each text: the smallest of its shingles' hashes."""
+    seeds = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+    best = np.full((len(bounds) - 1, HASHES), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(values), AT_ONCE):
+        stop = min(at + AT_ONCE, len(values))
+        hashed = mix(values[at:stop, None] ^ seeds)
+        first = int(np.searchsorted(bounds, at, side="right")) - 1
+        last = int(np.searchsorted(bounds, stop, side="left"))
+        texts = np.arange(first, last)
+        texts = texts[bounds[texts + 1] > np.maximum(bounds[texts], at)]
+        low = np.minimum.reduceat(hashed, np.maximum(bounds[texts] - at, 0), axis=0)
+        best[texts] = np.minimum(best[texts], low)
+    return best
+
+
 def binned(values: np.ndarray, weights: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """How many shingles of each text fall into each bin, and after these their weights."""
     n = len(bounds) - 1
@@ -205,7 +222,7 @@ def similarities(a: tuple, b: tuple) -> tuple[float, float]:
 def signatures(documents: DataFrame, log_idf) -> DataFrame:
     """A written table: ``_id, _tie, node, bands, bins`` of every row.
 
-    ``node`` is a digest of the words, ``bands`` the bucket of each band,
+    ``node`` is a digest of the words, ``bands`` the bucket of each band (weighted ones first),
     ``bins`` what ``may_link`` needs.
     """
     id_type = documents.schema["_id"].dataType.simpleString()
@@ -213,13 +230,13 @@ def signatures(documents: DataFrame, log_idf) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        names = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        names = np.arange(2 * BANDS, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
         for batch in batches:
             texts = batch.column(2)
             for start, stop in slices_of(texts):
                 values, counts, bounds, words = weighted_shingles(texts.slice(start, stop - start).to_pylist())
                 logs = np.log(counts).astype(np.float32) + log_idf.value[_counter(values)]
-                drawn = samples(values, logs, bounds)
+                drawn = np.concatenate((samples(values, logs, bounds), smallest(values, bounds)), axis=1)
                 bins = binned(values, np.exp(logs), bounds)
                 bands = names[None, :] * np.ones((len(drawn), 1), np.uint64)
                 for k in range(ROWS):

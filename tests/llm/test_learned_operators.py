@@ -135,6 +135,33 @@ def test_bounds_leave_out_no_similar_pair():
                 assert not near_dedup.may_link(x, y, 0.8)[0]
 
 
+@pytest.mark.parametrize("kind", ["repeated", "family"])
+def test_plain_similarity_links_what_weights_hold_apart(spark, kind):
+    rng = random.Random(8)
+
+    def prose(n):
+        return ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+
+    if kind == "repeated":
+        texts = []
+        for _ in range(30):
+            own = prose(120)
+            texts += [" ".join(own), " ".join(own * 3)]
+    else:  # a third of the rows, each with rare edits
+        hub = prose(100)
+        texts = []
+        for _ in range(60):
+            own = list(hub)
+            for at in rng.sample(range(5, 95), 2):
+                own[at] = prose(1)[0]
+            texts += [" ".join(own), " ".join(prose(100)), " ".join(prose(100))]
+    want = brute_classes(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    for i, first in enumerate(want):
+        assert got[i] == got[first], (i, first)
+
+
 def test_repeated_rows_and_null_ids(spark):
     same = " ".join(f"w{k}" for k in range(30))
     rows = [(1, same), (1, same), (2, same), (None, same + " end"), (5, "else where"), (5, "else where")]
