@@ -85,7 +85,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col
         for batch in batches:
             texts = batch.column(3)
             for start, stop in slices_of(texts):
-                flat, bounds = look_up(texts.slice(start, stop - start).to_pylist())
+                flat, bounds = look_up(texts.slice(start, stop - start))
                 if len(flat) and int(flat.max()) >= 1 << 16:
                     raise ValueError("ids of more than 2 bytes")
                 ids = [

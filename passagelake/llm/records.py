@@ -91,9 +91,10 @@ def write_records(
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for start, stop in slices_of(texts):
-                some = texts.slice(start, stop - start).to_pylist()
-                flat, bounds = encode(some)
-                for k in range(len(some)):
+                flat, bounds = encode(texts.slice(start, stop - start))
+                if not wide and len(flat) and int(flat.max()) >= 1 << 16:
+                    raise ValueError("ids of more than 2 bytes: write them wide")
+                for k in range(stop - start):
                     if out is None:
                         out, index = (Staged(folder, x) for x in _names(part))
                         first = ids[start + k].as_py()
