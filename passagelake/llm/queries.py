@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import quality_pu, toxicity
+from . import bpe, quality_pu, toxicity
 from .chat import read_digests, written_turns
 from .common import table
 from .decontaminate import contaminated, scan
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack
+from .phrases import collocations
 from .quality_rules import judge
 from .records import read_records, record_folder, write_records
 from .warc import archive_folder, read_archives, write_archives
+from .whitening import whiten
 
 
 def op1_line_dedup(spark, sf_dir) -> DataFrame:
@@ -119,7 +121,25 @@ def op10_decontamination(spark, sf_dir) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op1_line_dedup, op2_chat, op3_packing, op4_quality_rules, op5_warc, op6_near_dedup, op7_toxicity, op8_token_records, op9_quality_classifier, op10_decontamination)}
+def op11_whitening(spark, sf_dir) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
+def op12_bpe(spark, sf_dir) -> DataFrame:
+    path = vocabulary("byte_bpe_50k.json")
+    return bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_phrases(spark, sf_dir) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), max_words=3, min_count=10, covered=50, top=2000)
+
+
+QUERIES = {q.__name__: q for q in (op1_line_dedup, op2_chat, op3_packing, op4_quality_rules, op5_warc, op6_near_dedup, op7_toxicity, op8_token_records, op9_quality_classifier, op10_decontamination,
+    op11_whitening, op12_bpe, op13_phrases)}
 
 ORACLES = {
     "op1_line_dedup": r"""
@@ -262,5 +282,49 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
     CASE WHEN first_id <> page_id OR (page_id IS NULL AND first_id IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
     CASE WHEN first_id <> page_id OR (page_id IS NULL AND first_id IS NOT NULL) THEN first_id END AS refers_to
 FROM h LEFT JOIN first USING (payload_digest)
+""",
+    "op13_phrases": r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), parts AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS MATERIALIZED (
+    SELECT lang, k, phrase, count(*) AS f FROM (
+        SELECT lang, 1 AS k, unnest(w) AS phrase FROM parts
+        UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda p: array_to_string(w[p : p + 1], ' '))) FROM parts
+        UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda p: array_to_string(w[p : p + 2], ' '))) FROM parts
+    ) GROUP BY ALL
+), totals AS (
+    SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang
+), counts AS MATERIALIZED (
+    SELECT lang || chr(9) || phrase AS key, f FROM grams WHERE f >= 10
+), candidates AS MATERIALIZED (
+    SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE k > 1 AND f >= 10
+), cuts AS (
+    SELECT lang, phrase, a, 1 AS c, lang || chr(9) || w[1] AS first, lang || chr(9) || array_to_string(w[2 :], ' ') AS rest
+    FROM candidates
+    UNION ALL SELECT lang, phrase, a, 2, lang || chr(9) || array_to_string(w[: 2], ' '), lang || chr(9) || w[3]
+    FROM candidates WHERE k = 3
+), lefts AS MATERIALIZED (
+    SELECT cuts.*, f AS l FROM cuts JOIN counts ON key = first
+), scored AS MATERIALIZED (
+    SELECT lang, phrase, a, c, l, f AS r, ((1000000::HUGEINT * a * a) // (l::HUGEINT * f))::BIGINT AS score
+    FROM lefts JOIN counts ON key = rest
+), lowest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), longer AS (
+    SELECT key, max(a) AS a FROM (
+        SELECT a, unnest([lang || chr(9) || array_to_string(w[1 : 2], ' '), lang || chr(9) || array_to_string(w[2 : 3], ' ')]) AS key
+        FROM candidates WHERE k = 3
+    ) GROUP BY key
+), kept AS (
+    SELECT lowest.* FROM lowest LEFT JOIN longer ON key = lang || chr(9) || phrase
+    WHERE longer.a IS NULL OR 100 * longer.a < 50 * lowest.a
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """,
 }

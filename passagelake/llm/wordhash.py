@@ -39,6 +39,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def hashed_words(data: np.ndarray, gap: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The hash of every word of some bytes, given where the gaps are and where words begin."""
+    up, down = _powers(len(data))
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    terms = np.where(gap, np.uint64(0), _BYTES[data]) * up[: len(data)]
+    return mix(np.add.reduceat(terms, starts) * down[starts])
+
+
 class Words:
     """The words of some texts: ``hashes``, byte ``starts``, and the ``bounds`` of each text's words."""
 
@@ -54,10 +63,7 @@ class Words:
         self.starts = begins
         self.ends = np.flatnonzero(~self.space[:-1] & self.space[1:]) + 1
         self.bounds = np.searchsorted(begins, self.text_starts)
-        up, down = _powers(len(self.bytes))
-        terms = np.where(self.space, np.uint64(0), _BYTES[self.bytes]) * up[: len(self.bytes)]
-        sums = np.add.reduceat(terms, begins) if len(begins) else np.empty(0, np.uint64)
-        self.hashes = mix(sums * down[begins])
+        self.hashes = hashed_words(self.bytes, self.space, begins)
 
     def __len__(self) -> int:
         return len(self.hashes)
