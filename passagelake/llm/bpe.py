@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of, worker_cache
-from .flat import flat, gather, strings
+from .flat import gather, strings
 from .records import slices_of
 from .tokens import PieceEncoder, space_led
 
@@ -38,7 +38,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: bytes of a run whose matches are held at a time, and how many such blocks
 BLOCK, BLOCKS = 4096, 4
 #: pairs and words that are remembered before the table starts anew
-KEPT_PAIRS, KEPT_WORDS = 2_000_000, 500_000
+KEPT_PAIRS, KEPT_WORDS = 250_000, 50_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -254,11 +254,13 @@ def _pieces(path: str, special: bool) -> PieceEncoder:
     return cache[key]
 
 
-def _vocabulary(path: str) -> Vocabulary:
+def offset_table(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all tokens, and where each token's begin; the merges are not kept."""
     cache = worker_cache("tokens")
-    if ("vocabulary", path) not in cache:
-        cache["vocabulary", path] = Vocabulary(path)
-    return cache["vocabulary", path]
+    if ("offsets", path) not in cache:
+        vocabulary = Vocabulary(path)
+        cache["offsets", path] = vocabulary.data, vocabulary.offsets
+    return cache["offsets", path]
 
 
 def encode(
@@ -282,11 +284,6 @@ def encode(
     return rows.mapInArrow(run, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
 
 
-def decode_ids(ids: np.ndarray, vocabulary: Vocabulary) -> bytes:
-    """The bytes of all ids, one token after the other."""
-    return gather(vocabulary.data, vocabulary.offsets, ids)[1].tobytes()
-
-
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """The frame with ``text``, which its ``ids`` stand for; null ids give the empty text.
 
@@ -298,7 +295,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        table = _vocabulary(vocabulary)
+        table = offset_table(vocabulary)
         for batch in batches:
             lists = batch.column(place)
             for start, stop in _runs(lists):
@@ -306,7 +303,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
                 column = some.column(place)
                 counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 which = column.flatten().to_numpy(zero_copy_only=False)
-                sizes, data = gather(table.data, table.offsets, which)
+                sizes, data = gather(*table, which)
                 ends = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))]
                 texts = strings(data, ends)
                 try:
