@@ -121,7 +121,7 @@ def write_records(
 NO_ID = -(2**63)
 
 
-def slices_of(texts, characters: int = 1 << 20):
+def slices_of(texts, characters: int = 2 << 20):
     """Ranges of an Arrow text column of about so many bytes, or one text."""
     import pyarrow.compute as pc
 
