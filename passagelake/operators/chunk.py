@@ -155,14 +155,15 @@ def with_chunks(df: DataFrame, target_words: int = 180, overlap_words: int = 45)
     return cuts.select(*others, chunk.alias("chunks"))
 
 
-def chunk_rows(df: DataFrame) -> DataFrame:
-    """One row per chunk of a frame with ``doc_id`` and ``chunks``.
+def chunk_rows(df: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """One row per chunk of a frame with ``doc_id`` and ``chunks``; ``carry`` names columns to keep.
 
     The outer form keeps the optimizer from inferring ``size(chunks) > 0``, a filter it
     would push below the chunking and so run the whole computation a second time.
     """
-    rows = df.select("doc_id", F.inline_outer("chunks")).where(F.col("ordinal").isNotNull())
+    kept = carry or []
+    rows = df.select("doc_id", *kept, F.inline_outer("chunks")).where(F.col("ordinal").isNotNull())
     return rows.select(
         F.concat_ws(":", "doc_id", F.col("ordinal").cast("string")).alias("chunk_id"),
-        "doc_id", "ordinal", "page", "text", "n_words",
+        "doc_id", *kept, "ordinal", "page", "text", "n_words",
     )

@@ -67,7 +67,9 @@ def encode(texts: DataFrame, key: list[str], text: str, encoder: Encoder) -> Dat
             vectors = each(list(batch[text])) if len(batch) else []
             has = [v is not None for v in vectors]
             rows = batch[key][has].copy()
-            rows["vector"] = [np.asarray(v, dtype="float64") for v in vectors if v is not None]
+            # of objects, also where no text has a vector: an empty list would be a column of numbers
+            kept = [np.asarray(v, dtype="float64") for v in vectors if v is not None]
+            rows["vector"] = pd.Series(kept, index=rows.index, dtype="object")
             yield rows
 
     return texts.select(*key, text).mapInPandas(run, f"{fields}, vector array<double>")

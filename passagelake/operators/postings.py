@@ -23,17 +23,9 @@ def analysed(chunks: DataFrame) -> DataFrame:
     )
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """One row per (term, chunk), carrying what scoring needs so that no join follows."""
-    return (
-        chunks.where("length > 0")
-        .select("chunk_id", "doc_id", "ordinal", "length", F.inline_outer("counts"))
-        .select("term", "chunk_id", "doc_id", "ordinal", "tf", "length")
-    )
-
-
-def document_frequency(postings_: DataFrame) -> DataFrame:
-    return postings_.groupBy("term").agg(F.count("*").alias("df"))
+def document_frequency(postings_: DataFrame, rows: Column | None = None) -> DataFrame:
+    """``term, df`` from one row a posting, or from blocks of ``rows`` postings each."""
+    return postings_.groupBy("term").agg((F.count("*") if rows is None else rows).alias("df"))
 
 
 def corpus_totals(chunks: DataFrame) -> DataFrame:

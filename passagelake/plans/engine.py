@@ -15,6 +15,7 @@ from ..config import Settings
 from ..functions import lexicon as lx
 from ..functions import text as T
 from ..operators import answer as A
+from ..operators import blockmax
 from ..operators import postings as P
 from ..operators.chunk import chunk_rows, with_chunks
 from ..operators.context import BLOCK, sources
@@ -24,13 +25,16 @@ from ..operators.intake import checked_uploads, first_of_each
 from ..sources.files import read_uploads
 from ..workspace import lookup, save, spread
 from .index import Index
-from .store import SCHEMAS, Store
+from .log import Conflict
+from .store import INLINE_WORDS, SCHEMAS, TOTALS, Store
 
 # A generator gets the messages (role, content) of one question and returns the answer.
 Generator = Callable[[list[dict]], str]
 # A condenser gets a question and its recent turns and returns a standalone question.
 Condenser = Callable[[str, list[dict]], str]
 
+#: how often a commit that met another is tried
+ATTEMPTS = 5
 HISTORY = "array<struct<role:string,content:string>>"
 
 
@@ -121,11 +125,12 @@ class Engine:
             parsed.withColumn(
                 "error",
                 F.coalesce("error", F.when(F.size("chunks") == 0, F.lit(NO_TEXT))),
-            ),
+            ).withColumn("number", F.monotonically_increasing_id()),  # as saved, within this segment
             "parsed",
         )
         summary = parsed.select(
             "doc_id",
+            "number",
             F.left("error", F.lit(lx.MAX_ERROR_CHARS)).alias("problem"),
             "pages",
             F.size("chunks").alias("n_chunks"),
@@ -157,14 +162,14 @@ class Engine:
 
         inline = outcomes.where((F.col("status") == "indexed") & F.col("stored_path").isNull())
         if not inline.isEmpty():
-            kept_bytes = checked.select("doc_id", "content").join(
-                inline.select("doc_id"), "doc_id", "left_semi"
-            )
+            kept_bytes = checked.select("doc_id", "content").join(inline.select("doc_id", "number"), "doc_id")
             store.write("files", kept_bytes, segment)
         documents = (
             outcomes.where(F.col("status").isin("indexed", "failed"))
             .dropDuplicates(["doc_id"])
             .withColumn("uploaded_at", F.lit(uploaded_at))
+            # failed ones have numbers of their own, below zero
+            .withColumn("number", F.coalesce("number", -1 - F.monotonically_increasing_id()))
         )
         store.write("documents", documents, segment)
         store.write("outcomes", outcomes, segment)
@@ -174,7 +179,15 @@ class Engine:
             .agg(F.count("*").alias("documents"), F.sum("n_words").alias("words"))
             .first()
         )
-        store.commit(segment, "ingest", uploaded_at, **indexed.asDict(), **totals)
+        for _ in range(ATTEMPTS):
+            try:
+                store.commit(segment, "ingest", uploaded_at, **indexed.asDict(), **totals)
+                break
+            except Conflict:
+                # another first ingest has fixed the order of grams; this one takes it over
+                self._write_grams(segment, store.snapshot())
+        else:
+            raise Conflict(f"Segment {segment} could not be committed.")
         return store.segment("outcomes", segment).drop("segment")
 
     def _identified(self, checked: DataFrame, segment: str) -> DataFrame:
@@ -200,7 +213,7 @@ class Engine:
             with_known = lookup(register, known, ["sha256"], "doc_id", self.settings)
         # what is known about each (hash, kind), so that one lookup brings everything
         tries = tried.select(
-            "sha256", "extension", "problem", "pages", "n_chunks", "n_words"
+            "sha256", "extension", "problem", "number", "pages", "n_chunks", "n_words"
         ).join(survivors, "sha256", "left")
         joined = lookup(
             with_known,
@@ -225,6 +238,7 @@ class Engine:
             status.alias("status"),
             (status == "duplicate").alias("duplicate"),
             F.coalesce("rejected", F.when(status == "failed", F.col("problem"))).alias("error"),
+            F.when(indexed, F.col("number")).alias("number"),
             F.when(indexed, F.col("pages")).alias("pages"),
             F.when(indexed, F.col("n_chunks")).otherwise(0).alias("n_chunks"),
             F.when(indexed, F.col("n_words")).otherwise(0).alias("n_words"),
@@ -233,22 +247,24 @@ class Engine:
     def _write_index(self, parsed: DataFrame, segment: str, vectors: DataFrame | None) -> dict:
         """Chunks, postings, vocabulary, gram prefixes and vectors of one segment."""
         store = self.store
-        chunks = store.write("chunks", P.analysed(chunk_rows(parsed)), segment)
-        postings = store.write("postings", P.postings(chunks), segment)
-        vocabulary = store.write("vocabulary", P.document_frequency(postings), segment)
-        order = store.read("gram_order", store.snapshot())
-        if order.isEmpty():
-            order = store.write("gram_order", P.gram_order(vocabulary), segment)
-        store.write("grams", P.by_prefix_gram(P.gram_prefixes(vocabulary, order)), segment)
+        snapshot = store.snapshot()
+        if "number" not in parsed.columns:
+            parsed = parsed.withColumn("number", F.monotonically_increasing_id())
+        chunks = store.write("chunks", P.analysed(chunk_rows(parsed, ["number"])), segment)
+        postings = store.write("postings", blockmax.blocks(chunks, store.settings.doc_buckets), segment)
+        store.write("vocabulary", P.document_frequency(postings, F.sum("n")), segment)
+        self._write_grams(segment, snapshot)
         encoded = None
         indexed = chunks.where("length > 0")
+        key = ["chunk_id", "doc_id", "number"]
         if vectors is not None:
-            encoded = indexed.select("chunk_id", "doc_id").join(vectors, "doc_id")
+            encoded = indexed.select(key).join(vectors, "doc_id")
         elif self.encoder is not None:
-            encoded = encode(indexed, ["chunk_id", "doc_id"], "text", self.encoder)
+            encoded = encode(indexed, key, "text", self.encoder)
         n_vectors = 0
         if encoded is not None:
-            n_vectors = store.write("vectors", encoded, segment).count()
+            store.write("vectors", encoded, segment)
+            n_vectors = store.written("vectors", segment)
         sizes = chunks.agg(
             F.count("*").alias("chunks"),
             F.count_if(F.col("length") > 0).alias("n_chunks"),
@@ -256,88 +272,149 @@ class Engine:
         ).first()
         return {**sizes.asDict(), "vectors": n_vectors}
 
+    def _write_grams(self, segment: str, snapshot) -> None:
+        """Gram prefixes of a written vocabulary, in the order that holds or else a new one."""
+        store = self.store
+        vocabulary = store.segment("vocabulary", segment)
+        order = store.read("gram_order", snapshot)
+        if not snapshot.rows("gram_order"):
+            order = store.write("gram_order", P.gram_order(vocabulary), segment)
+        elif ("gram_order", segment) in store._written:
+            store.write("gram_order", order.limit(0), segment)
+        store.write("grams", P.by_prefix_gram(P.gram_prefixes(vocabulary, order)), segment)
+
     # -- deletion and compaction -----------------------------------------------------
 
     def delete_documents(self, doc_ids: list[str] | DataFrame) -> int:
-        """Remove documents from every answer. Returns how many were known."""
-        store = self.store
-        snapshot = store.snapshot()
+        """Remove documents from every answer. Returns how many were known.
+
+        A deletion that meets a compaction of the same segments starts anew.
+        """
         wanted = doc_ids
         if not isinstance(doc_ids, DataFrame):
             wanted = self.spark.createDataFrame([(d,) for d in doc_ids], "doc_id string")
+        wanted = wanted.select("doc_id").distinct()
+        for _ in range(ATTEMPTS):
+            try:
+                return self._delete(wanted)
+            except Conflict as problem:
+                last = problem
+        raise last
+
+    def _delete(self, wanted: DataFrame) -> int:
+        store = self.store
+        snapshot = store.snapshot()
         gone = save(
-            store.read("documents", snapshot)
-            .join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-            .select("doc_id", "status", "n_words"),
+            store.read("documents", snapshot, keep=True)
+            .join(wanted, "doc_id", "left_semi")
+            .select("segment", "doc_id", "number", "status", "n_words"),
             "gone",
         )
-        counted = gone.agg(
-            F.count("*").alias("all"),
-            F.count_if(F.col("status") == "indexed").alias("documents"),
-            F.sum(F.when(F.col("status") == "indexed", F.col("n_words"))).alias("words"),
-        ).first()
-        if not counted["all"]:
+        indexed = F.col("status") == "indexed"
+        counted = gone.groupBy("segment").agg(  # one row a segment
+            F.count("*").alias("all"), F.count_if(indexed).alias("documents"),
+            F.sum(F.when(indexed, F.col("n_words"))).alias("words"),
+        ).collect()
+        if not counted:
             return 0
-        segment = f"{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+        mine = ["segment", "doc_id"]
         chunks = save(
-            store.read("chunks", snapshot)
-            .join(gone.select("doc_id"), "doc_id", "left_semi")
-            .select("chunk_id", "doc_id", "ordinal", "length", "counts"),
+            store.read("chunks", snapshot, keep=True)
+            .join(gone.select(*mine), mine, "left_semi")
+            .select("segment", "length", F.col("counts.term").alias("terms")),
             "gone-chunks",
         )
-        sizes = chunks.agg(
-            F.count("*").alias("chunks"),
-            F.count_if(F.col("length") > 0).alias("n_chunks"),
-            F.sum("length").alias("total_len"),
-        ).first()
-        n_vectors = 0
+        sizes = {
+            r["segment"]: r.asDict()
+            for r in chunks.groupBy("segment").agg(
+                F.count("*").alias("chunks"), F.count_if(F.col("length") > 0).alias("n_chunks"),
+                F.sum("length").alias("total_len"),
+            ).collect()
+        }
+        n_vectors = {}
         if snapshot.vectors:
-            n_vectors = (
-                store.read("vectors", snapshot)
-                .join(gone.select("doc_id"), "doc_id", "left_semi")
-                .count()
-            )
-        taken = P.document_frequency(P.postings(chunks)).withColumn("df", -F.col("df"))
-        store.write("vocabulary", taken, segment)
-        store.write("deletions", gone, segment)
-        store.commit(
-            segment,
-            "delete",
-            utc_now(),
-            documents=-(counted["documents"] or 0),
-            words=-(counted["words"] or 0),
-            chunks=-sizes["chunks"],
-            n_chunks=-sizes["n_chunks"],
-            total_len=-(sizes["total_len"] or 0),
-            vectors=-n_vectors,
-        )
-        return counted["all"]
+            vectors = store.read("vectors", snapshot, keep=True).join(gone.select(*mine), mine, "left_semi")
+            n_vectors = {r["segment"]: r["count"] for r in vectors.groupBy("segment").count().collect()}
+        bitmaps = save(
+            gone.groupBy(
+                "segment", P.bucket("doc_id", store.settings.doc_buckets).alias("doc_bucket"),
+                F.shiftright("number", 6).alias("word"),
+            ).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(number, 64) as int))")).alias("bits")),
+            "gone-bitmaps",
+        )
+        words = {r["segment"]: r["count"] for r in bitmaps.groupBy("segment").count().collect()}
+        name, now, entries = f"{time.time_ns()}-{uuid.uuid4().hex[:8]}", utc_now(), []
+        for k, row in enumerate(counted):
+            target, part = row["segment"], f"{name}-{k}"
+            held = chunks.where(F.col("segment") == target)
+            taken = held.select(F.explode("terms").alias("term")).groupBy("term").agg((-F.count("*")).alias("df"))
+            store.write("vocabulary", taken, part)
+            totals = {"documents": row["documents"], "words": row["words"], "vectors": n_vectors.get(target), **sizes.get(target, {})}
+            entry = store.entry(part, "delete", now, **{t: -(totals.get(t) or 0) for t in TOTALS})
+            entry |= {"target": target, "gone_words": words[target]}
+            bits = bitmaps.where(F.col("segment") == target)
+            if words[target] <= INLINE_WORDS:
+                lists: dict[int, list] = {}
+                for r in bits.collect():
+                    lists.setdefault(r["doc_bucket"], []).append([r["word"], r["bits"]])
+                entry["gone"] = lists
+            else:
+                store.write("deletions", bits.withColumnRenamed("segment", "target"), part)
+            entries.append(entry)
+        store.commit_deletion(entries, snapshot.state)
+        return sum(r["all"] for r in counted)
 
     def compact(self) -> None:
         """Rewrite all live rows as one segment; older ones are no longer read."""
+        state = self.store.snapshot().state
+        self._merge([s for s, e in state.entries.items() if "target" not in e], anew=True)
+
+    def merge(self, fanout: int = 4) -> list[list[str]]:
+        """Merge segments of about one size wherever ``fanout`` or more have gathered.
+
+        Only those segments are read and written; a large one stays as it is until others
+        have grown to its size, so a row is rewritten once for each power of ``fanout``. Returns what was merged.
+        """
+        merged = []
+        while groups := self.store.merge_candidates(fanout):
+            self._merge(groups[0])
+            merged.append(groups[0])
+        return merged
+
+    def _merge(self, segments: list[str], anew: bool = False) -> None:
         store = self.store
         snapshot = store.snapshot()
+        entries = snapshot.state.entries
+        own = [s for s in entries if s in segments or entries[s].get("target") in segments]
         segment = f"{time.time_ns()}-{uuid.uuid4().hex[:8]}"
-        live = {t: store.read(t, snapshot) for t in ("documents", "chunks", "files", "vectors", "postings")}
-        vocabulary = store.vocabulary(snapshot)
-        store.settings = store.configured  # everything is laid out anew
+        # numbers stay apart: each segment's are moved beyond those of the ones before
+        moved, upto = [], 0
+        for s in segments:
+            moved += [F.lit(s), F.lit(upto).cast("long")]
+            upto += entries[s]["span"]
+        offset = F.create_map(*moved)[F.col("segment")] if moved else F.lit(0).cast("long")
+        number = F.when(F.col("number") < 0, F.col("number") - offset).otherwise(F.col("number") + offset)
+        live = {
+            t: store.read(t, snapshot, segments, keep=True).withColumn("number", number).drop("segment")
+            for t in ("documents", "chunks", "files", "vectors")
+        }
+        vocabulary = store.vocabulary(snapshot, own)
+        holds_order = any(entries[s]["rows"].get("gram_order") for s in segments)
+        order = store.read("gram_order", snapshot)
+        if anew:
+            store.settings = store.configured  # everything is laid out anew
         for table in live:
             store.write(table, live[table], segment)
+        chunks = store.segment("chunks", segment)
+        store.write("postings", blockmax.blocks(chunks, store.settings.doc_buckets), segment)
         vocabulary = store.write("vocabulary", vocabulary, segment)
-        order = store.write("gram_order", P.gram_order(vocabulary), segment)
+        if anew:
+            order = store.write("gram_order", P.gram_order(vocabulary), segment)
+        elif holds_order:
+            store.write("gram_order", order, segment)
         store.write("grams", P.by_prefix_gram(P.gram_prefixes(vocabulary, order)), segment)
-        store.commit(
-            segment,
-            "compact",
-            utc_now(),
-            supersedes=snapshot.segments,
-            documents=snapshot.documents,
-            words=snapshot.words,
-            chunks=snapshot.chunks,
-            n_chunks=snapshot.n_chunks,
-            total_len=snapshot.total_len,
-            vectors=snapshot.vectors,
-        )
+        totals = {t: sum(entries[s][t] for s in own) for t in TOTALS}
+        store.commit(segment, "compact", utc_now(), supersedes=segments, base=snapshot.state, **totals)
 
     def vacuum(self) -> list[str]:
         """Delete what compactions have replaced, deleted documents with it."""
@@ -452,7 +529,8 @@ class Engine:
         return Index(
             documents=store.read("documents", snapshot),
             chunks=store.read("chunks", snapshot),
-            postings=store.read("postings", snapshot),
+            postings=blockmax.entries(store.read("postings", snapshot)),
+            blocks=store.blocks(snapshot),
             vocabulary=store.vocabulary(snapshot),
             term_rows=store.read("vocabulary", snapshot),
             grams=store.read("grams", snapshot),
@@ -460,6 +538,7 @@ class Engine:
             n_chunks=snapshot.n_chunks,
             average_length=snapshot.average_length,
             settings=store.settings,
+            gone=store.gone_in_memory(snapshot),
             vectors=store.read("vectors", snapshot) if snapshot.vectors else None,
         )
 

@@ -9,20 +9,22 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.text import tokens
-from ..operators import lexical
+from ..operators import blockmax, lexical
 from ..operators.context import context_blocks
 from ..operators.dense import Encoder, dense_topk, encode
 from ..operators.diversify import diversify
 from ..operators.fusion import fuse
 from ..operators.postings import bucket
-from ..workspace import join_small, prune_buckets, save
+from ..workspace import fits_broadcast, join_small, prune_buckets, save
 
 
 @dataclass(frozen=True)
 class Index:
     documents: DataFrame
     chunks: DataFrame
+    # one row a posting, and the blocks they lie in
     postings: DataFrame
+    blocks: DataFrame
     vocabulary: DataFrame
     # the same before it is summed over the segments, for lookups of a few terms
     term_rows: DataFrame
@@ -31,6 +33,8 @@ class Index:
     n_chunks: int
     average_length: float
     settings: Settings
+    # bitmaps of deleted documents by segment and bucket; None if they are too large to hold
+    gone: dict | None = None
     vectors: DataFrame | None = None
 
     # -- lexical --------------------------------------------------------------------
@@ -50,14 +54,19 @@ class Index:
     def lexical(
         self, questions: DataFrame, limit: int, scope: DataFrame | None = None
     ) -> DataFrame:
+        """The best chunks of every question. Weights and scope of checked size go to where the
+        postings lie; larger ones are joined with them and shuffled."""
         weights = self.weights(questions)
-        buckets = self.settings.term_buckets
-        postings = prune_buckets(
-            self.postings, "term_bucket", weights, bucket("term", buckets), buckets
-        )
-        scores = lexical.bm25_scores(
-            weights, postings, self.average_length, self.settings, scope
+        if scope is not None:
+            scope = save(scope.select("query_id", "doc_id").distinct(), "scope")
+        fits = self.gone is not None and all(
+            fits_broadcast(side, self.settings) for side in (weights, scope) if side is not None
         )
+        if fits:
+            wanted = blockmax.asked(weights.collect(), scope.collect() if scope is not None else None)
+            scores = blockmax.best_in_buckets(self.blocks, wanted, self.average_length, limit, self.gone)
+        else:
+            scores = lexical.bm25_scores(weights, self.postings, self.average_length, self.settings, scope)
         return lexical.top_chunks(scores, limit)
 
     # -- dense and hybrid ---------------------------------------------------------
