@@ -126,6 +126,9 @@ CHANGED = """kept AS (
       PARTITION BY sha256(text) ORDER BY CASE WHEN lang = 'en' THEN 0 ELSE 1 END, doc_id) = 1)
   WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"""
 
+# English in four parts, everything after it, toxic ones deleted
+COMPACTED = CHANGED.replace("WHEN lang = 'en' THEN 0 ELSE 1 END", "WHEN lang = 'en' THEN doc_id % 4 ELSE 4 END")
+
 
 def units(source: str, limit: int) -> str:
     return f"""paras AS (
@@ -570,6 +573,12 @@ QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) <= {lx.PREVIEW_
     "bm25_after_changes": with_(CHANGED, chunks("kept"), POSTINGS, QTERMS, EXPAND, bm25())
     + _RANKED
     + "lexical",
+    "bm25_after_compaction": with_(COMPACTED, chunks("kept"), POSTINGS, QTERMS, EXPAND, bm25())
+    + _RANKED
+    + "lexical",
+    # what was deleted and added again is there once, whatever was first
+    "readded_documents": with_(KEPT, chunks("kept"), _DOCS_INDEXED)
+    + "SELECT doc_id, n_chunks::INTEGER AS n_chunks, n_chunks::BIGINT AS n_rows FROM indexed",
     "dense_ranking": with_(
         VECTORS,
         """cells AS (

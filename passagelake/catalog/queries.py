@@ -119,6 +119,36 @@ def changed_corpus(spark, sf_dir) -> Engine:
     return _engine(spark, sf_dir, "changed", build)
 
 
+def readded_corpus(spark, sf_dir) -> Engine:
+    """Everything, then the documents labelled toxic deleted and added again under their ids."""
+    def build(engine):
+        everything = uploads(spark, sf_dir).drop("lang")
+        engine.ingest(everything, segment="first", uploaded_at=UPLOADED_AT)
+        toxic = table(spark, sf_dir, "labels").where("toxic = 1")
+        ids = toxic.select(F.col("doc_id").cast("string").alias("doc_id"))
+        engine.delete_documents(ids)
+        engine.ingest(everything.join(ids, "doc_id", "left_semi"), segment="again", uploaded_at=UPLOADED_AT)
+
+    return _engine(spark, sf_dir, "readded", build)
+
+
+def compacted_corpus(spark, sf_dir) -> Engine:
+    """Like the changed corpus, but English in four parts, which are merged before the rest comes;
+    last, everything is compacted."""
+    def build(engine):
+        everything = uploads(spark, sf_dir)
+        for k in range(4):
+            part = everything.where((F.col("lang") == "en") & (F.col("position") % 4 == k)).drop("lang")
+            engine.ingest(part, segment=f"english-{k}", uploaded_at=UPLOADED_AT)
+        engine.merge(fanout=4)
+        engine.ingest(everything.drop("lang"), segment="everything", uploaded_at=UPLOADED_AT)
+        toxic = table(spark, sf_dir, "labels").where("toxic = 1")
+        engine.delete_documents(toxic.select(F.col("doc_id").cast("string").alias("doc_id")))
+        engine.compact()
+
+    return _engine(spark, sf_dir, "compacted", build)
+
+
 def _page():
     """Page numbers with 0 for none, as an integer column without nulls compares best."""
     return F.coalesce("page", F.lit(0)).alias("page")
@@ -466,6 +496,18 @@ def bm25_after_changes(spark, sf_dir):
     return _ranked(index.lexical(questions(spark, sf_dir), SETTINGS.candidate_k))
 
 
+def bm25_after_compaction(spark, sf_dir):
+    index = compacted_corpus(spark, sf_dir).index()
+    return _ranked(index.lexical(questions(spark, sf_dir), SETTINGS.candidate_k))
+
+
+def readded_documents(spark, sf_dir):
+    """Documents deleted and added again are found once, by their new rows."""
+    engine = readded_corpus(spark, sf_dir)
+    chunks = engine.chunks().groupBy("doc_id").agg(F.count("*").alias("n_rows"))
+    return engine.documents().where("status = 'indexed'").join(chunks, "doc_id").select("doc_id", "n_chunks", "n_rows")
+
+
 def label_queries(spark, sf_dir):
     """One query vector per label: the unit vector along the mean of its members."""
     cells = table(spark, sf_dir, "embeddings").select(
@@ -702,6 +744,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bm25_topk,
         bm25_scoped,
         bm25_after_changes,
+        bm25_after_compaction,
+        readded_documents,
         dense_ranking,
         dense_chunks,
         dense_scoped,

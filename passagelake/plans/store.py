@@ -278,9 +278,17 @@ class Store:
 
     def blocks(self, snapshot: Snapshot) -> DataFrame:
         """All blocks of postings as they lie, deleted documents among them, with the size of their file."""
-        rows = self._load("postings").where(F.col("segment").isin(*snapshot.segments) if snapshot.segments else F.lit(False))
+        rows = self._rows("postings", snapshot, snapshot.segments)
         return rows.withColumn("_size", F.col("_metadata.file_size") if snapshot.rows("postings") else F.lit(0).cast("long"))
 
+    def _rows(self, table: str, snapshot: Snapshot, segments) -> DataFrame:
+        """All rows of some segments. Segments without any are known from the log."""
+        entries = snapshot.state.entries
+        holding = [s for s in segments if s in entries and entries[s]["rows"].get(table)]
+        if not holding:
+            return self.spark.createDataFrame([], self._schema(table))
+        return self._load(table).where(F.col("segment").isin(*holding))
+
     def gone_in_memory(self, snapshot: Snapshot) -> dict | None:
         """The bitmaps of deletions by segment and bucket; None if they are too large to hold."""
         if snapshot.gone_words * 16 > self.settings.broadcast_mb << 20:
@@ -312,7 +320,7 @@ class Store:
     def read(self, table: str, snapshot: Snapshot, segments=None, keep: bool = False) -> DataFrame:
         """The live rows of a table (of some ``segments``), with their segment if told to ``keep`` it."""
         wanted = snapshot.segments if segments is None else tuple(segments)
-        rows = self._load(table).where(F.col("segment").isin(*wanted) if wanted else F.lit(False))
+        rows = self._rows(table, snapshot, wanted)
         if snapshot.deletes and table in BY_DOCUMENT:
             rows = self._without(rows, self.gone(snapshot), snapshot)
         return rows if keep else rows.drop("segment")
