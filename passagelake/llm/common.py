@@ -38,7 +38,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """``_row`` (the whole input row), ``_id``, ``_tie`` and ``_text``.
 
     ``_id`` and ``_tie`` name a row: the id (an integer, or else text; null is the smallest)
-    and a hash of its text that tells rows of one id apart. Rows equal in both are copies of
+    and a 64-bit hash of its text that tells rows of one id apart. Rows equal in both are copies of
     one another and always share their result, so a join on the two loses and adds none.
     The input's own columns sit in ``_row``, where no name of theirs can clash with an
     operator's.
@@ -52,7 +52,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ).select(
         "_row",
         F.coalesce(F.col("_id").cast(kind), least).alias("_id"),
-        F.hash("_text", F.isnull("_id")).alias("_tie"),
+        F.xxhash64("_text", F.isnull("_id")).alias("_tie"),
         "_text",
     )
 

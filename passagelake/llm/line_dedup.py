@@ -11,7 +11,9 @@ as one count each.
 
 Cases: a null text is empty, and an empty text is one empty line. Lines whose key is
 shorter than ``min_chars`` always stay. Every row is a document, also if its id is null or repeated; rows equal
-in id and text get the same result, once each. An empty table gives an empty result.
+in id and text count as often as they stand there and get the same result, once each. Texts of any length
+are split whole. The input's own columns come back in ``_row``, where their names clash with none. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -50,10 +52,9 @@ def frequent_lines(lines: DataFrame, min_docs: int) -> DataFrame:
         partitions(lines.sparkSession), *HASH, "_slice"
     )
     # the ranges already keep each (hash, slice) together: the window sorts, it does not shuffle
-    run = Window.partitionBy(*HASH, "_slice").orderBy(*KEY, "_pos")
-    heads = ranged.withColumn(
-        "_head", ~(F.lag("_id").over(run).eqNullSafe(F.col("_id")) & F.lag("_tie").over(run).eqNullSafe(F.col("_tie")))
-    ).where("_head")
+    run = Window.partitionBy(*HASH, "_slice", *KEY).orderBy("_pos")
+    # equal rows hold the line at the same first place, once for each row
+    heads = ranged.withColumn("_start", F.min("_pos").over(run)).where(F.col("_pos") == F.col("_start"))
     return (
         heads.groupBy(*HASH)
         .agg(F.count("*").alias("_docs"), F.min(F.struct(*KEY, "_pos")).alias("_first"))

@@ -258,7 +258,7 @@ def signatures(documents: DataFrame, log_idf) -> DataFrame:
 
     return save(
         documents.select(*KEY, "_text").mapInArrow(
-            run, f"_id {id_type}, _tie int, node binary, bands array<long>, bins binary"
+            run, f"_id {id_type}, _tie long, node binary, bands array<long>, bins binary"
         ),
         "signatures",
     )

@@ -99,7 +99,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col
                     names=["_id", "_tie", "doc_id", "n_tokens", "curve", "ids"],
                 )
 
-    schema = f"_id {id_type}, _tie int, doc_id long, n_tokens long, curve long, ids binary"
+    schema = f"_id {id_type}, _tie long, doc_id long, n_tokens long, curve long, ids binary"
     return save(
         rows.mapInArrow(encode, schema).withColumn("_n", F.monotonically_increasing_id()), "encoded"
     )

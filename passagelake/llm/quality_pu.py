@@ -111,7 +111,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     [*(head.column(i) for i in range(3)), lists], names=["_id", "_tie", "id", "features"]
                 )
 
-    schema = f"_id {kinds[0]}, _tie int, id {kinds[1]}, features array<float>"
+    schema = f"_id {kinds[0]}, _tie long, id {kinds[1]}, features array<float>"
     return save(rows.mapInArrow(run, schema), "quality-features")
 
 
@@ -200,7 +200,7 @@ def scored(table: DataFrame, model: Model) -> DataFrame:
                 names=["_id", "_tie", "id", "score"],
             )
 
-    return table.mapInArrow(run, f"_id {kinds['_id']}, _tie int, id {kinds['id']}, score double")
+    return table.mapInArrow(run, f"_id {kinds['_id']}, _tie long, id {kinds['id']}, score double")
 
 
 def estimate_prior(table: DataFrame, plain: Model, positive: np.ndarray) -> float:

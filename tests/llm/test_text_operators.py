@@ -54,6 +54,15 @@ def test_line_dedup_equals_plain_python(spark):
     assert sorted(got, key=str) == sorted(brute_lines(TEXTS), key=str)
 
 
+@pytest.mark.parametrize("own", [1, None])
+def test_equal_rows_are_documents(spark, own):
+    """Ten and more equal rows share all their lines, with ids and without."""
+    texts = [(own, "same line\nown\nown")] * 12 + [(5, "rare")] * 9
+    found = dedup_lines(docs_of(spark, texts), min_docs=10)
+    got = [(r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"]) for r in found.select("_row.doc_id", "n_lines", "n_dropped", "kept").collect()]
+    assert sorted(got, key=str) == sorted(brute_lines(texts), key=str) and (own, 3, 3, "") in got
+
+
 def test_first_occurrence_is_kept(spark):
     texts = [(i, "same\nsame\nx") for i in range(3)]
     found = dedup_lines(docs_of(spark, texts), min_docs=2, keep="first").select("_row.doc_id", "kept")
