@@ -30,9 +30,19 @@ _SPACED = np.zeros(256, bool)
 _SPACED[[0x20, 9, 10, 13]] = True
 
 
+def _sign_behind_letter(data: np.ndarray) -> np.ndarray:
+    """Full stops and commas right behind a letter of ASCII, where both tokenizers end a token.
+    (Behind the last letter of the text before, there is a bound anyway.)"""
+    small = data | 0x20
+    sign = (data == 0x2E) | (data == 0x2C)
+    sign[1:] &= (small[:-1] >= 0x61) & (small[:-1] <= 0x7A)
+    sign[:1] = False
+    return sign
+
+
 def space_led(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cut before every single space and around every single line break: byte-level BPE
-    joins a space to the word behind it. Nothing is cut beside other or unsure white space.
+    """Cut before every single space, around every single line break and before a sign behind a
+    word: byte-level BPE joins a space to the word behind it. Nothing is cut beside other or unsure white space.
 
     Returns bytes, the bounds of the pieces in them, and how many pieces each text has.
     """
@@ -53,6 +63,7 @@ def space_led(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     cut = edge
     cut[:-1] |= alone & ((data == 0x20) | (data == 0x0A))
     cut[1:] |= alone & (data == 0x0A)
+    cut[:-1] |= _sign_behind_letter(data)
     cut[n] = True
     starts = np.flatnonzero(cut)
     return data, starts, np.diff(np.searchsorted(starts, bounds))
@@ -66,6 +77,7 @@ def spaced(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     edge[bounds] = True
     begins = word.copy()
     begins[1:] &= ~word[:-1] | edge[1:-1]
+    begins |= _sign_behind_letter(data)
     starts = np.flatnonzero(begins)
     kept = np.cumsum(word)
     places = kept[starts] - 1 if n else starts
