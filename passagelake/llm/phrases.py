@@ -10,7 +10,7 @@ is counted in the next chunk.
 
 *Counting, level by level.* A phrase can be frequent only if the phrases of one word less in
 it are. For each length the hashes of phrases that may still be frequent are added up: a task
-sorts its own and packs them, 56 bits of hash and a small count in 8 bytes, by range of hash; one task a range adds
+sorts its own and packs them, 40 bits of hash and a small count in 6 bytes, by range of hash; one task a range adds
 them up. The frequent ones become a bitmap, which only ever lets too much through. In the end the
 phrases that passed are counted as text, exactly.
 
@@ -37,7 +37,7 @@ from .records import slices_of
 from .wordhash import FOLD, hashed_words, mix
 
 #: one window in so many ends a chunk, and no chunk owns more words than this
-MODULUS, LONGEST = 16, 256
+MODULUS, LONGEST = 32, 256
 #: bytes of text that are looked at together, and packed counts that a task holds
 AT_ONCE, HELD = 2 << 20, 2_000_000
 #: bits of a bitmap for each frequent phrase, and the most bits it has
@@ -240,6 +240,23 @@ def _passing(counted: Counted, size: int, bitmaps: list[Bitmap]) -> tuple[np.nda
     return h, there
 
 
+def _packed(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The upper 40 bits of hashes, and counts below 256, as one number of 48 bits each."""
+    return (hashes >> np.uint64(24) << np.uint64(8)) | counts.astype(np.uint64)
+
+
+def _six_bytes(entries: np.ndarray) -> bytes:
+    return entries.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(data) -> np.ndarray:
+    """Numbers from 6 bytes each."""
+    short = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    whole = np.zeros((len(short), 8), np.uint8)
+    whole[:, :6] = short
+    return whole.view("<u8").ravel().astype(np.uint64)
+
+
 def _add_up(entries: np.ndarray, top: int) -> np.ndarray:
     """Packed counts with one entry a hash; counts go no higher than ``top``."""
     entries = np.sort(entries)
@@ -252,7 +269,7 @@ def _add_up(entries: np.ndarray, top: int) -> np.ndarray:
 
 
 def frequent_hashes(chunks: DataFrame, size: int, min_count: int, bitmaps, overlap: int) -> DataFrame:
-    """``hashes``: packed 8-byte hashes of all phrases of ``size`` words that may have the count."""
+    """``hashes``: packed hashes of all phrases of ``size`` words that may have the count."""
     top, ranges = min(min_count, 255), partitions(chunks.sparkSession)
 
     def pack(batches):
@@ -264,11 +281,11 @@ def frequent_hashes(chunks: DataFrame, size: int, min_count: int, bitmaps, overl
         def out():
             entries = _add_up(np.concatenate(held), top)
             # ranges of the hash's upper 32 bits
-            upper = (entries >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+            upper = (entries >> np.uint64(16)) * np.uint64(ranges) >> np.uint64(32)
             cuts = np.searchsorted(upper, np.arange(ranges + 1))
             some = np.flatnonzero(np.diff(cuts))
             return pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), pa.array([entries[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary())],
+                [pa.array(some, pa.int32()), pa.array([_six_bytes(entries[cuts[k] : cuts[k + 1]]) for k in some], pa.binary())],
                 ["range", "entries"],
             )
 
@@ -276,8 +293,7 @@ def frequent_hashes(chunks: DataFrame, size: int, min_count: int, bitmaps, overl
             for counted in _counted(batch, overlap):
                 h, there = _passing(counted, size, maps)
                 there = there & counted.owned
-                part = (h[there] & ~_LOW) | np.minimum(counted.weight[there], top).astype(np.uint64)
-                held.append(_add_up(part, top))
+                held.append(_add_up(_packed(h[there], np.minimum(counted.weight[there], top)), top))
                 n += len(held[-1])
                 if n > HELD:
                     yield out()
@@ -294,7 +310,7 @@ def frequent_hashes(chunks: DataFrame, size: int, min_count: int, bitmaps, overl
             entries = _add_up(np.concatenate(held), top)
             frequent = entries[(entries & _LOW) >= top]
             return pa.RecordBatch.from_arrays(
-                [pa.array([len(frequent)]), pa.array([(frequent & ~_LOW).tobytes()], pa.binary())], ["n", "hashes"]
+                [pa.array([len(frequent)]), pa.array([_six_bytes(frequent)], pa.binary())], ["n", "hashes"]
             )
 
         for batch in batches:
@@ -303,7 +319,7 @@ def frequent_hashes(chunks: DataFrame, size: int, min_count: int, bitmaps, overl
                     yield out()
                     held = []
                 own = k
-                held.append(np.frombuffer(entries.as_buffer(), np.uint64))
+                held.append(_unpacked(entries.as_buffer()))
                 if len(held) >= 64:
                     held = [_add_up(np.concatenate(held), top)]
         if held:
@@ -319,7 +335,7 @@ def bitmap_of(hashes: DataFrame):
     spark = hashes.sparkSession
     n = hashes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(max(1 << (BITS_EACH * n).bit_length(), 1 << 16), MOST_BITS)
-    shift = np.uint64(64 - bits.bit_length() + 1)
+    shift = np.uint64(48 - bits.bit_length() + 1)
     slices = 16
 
     def mark(batches):
@@ -327,7 +343,7 @@ def bitmap_of(hashes: DataFrame):
 
         for batch in batches:
             for value in batch.column(0):
-                at = np.unique(np.frombuffer(value.as_buffer(), np.uint64) >> shift)
+                at = np.unique(_unpacked(value.as_buffer()) >> shift)
                 own = at // np.uint64(bits // slices)
                 for k in np.unique(own):
                     part = np.zeros(bits // slices, bool)
