@@ -179,13 +179,16 @@ class Engine:
             .agg(F.count("*").alias("documents"), F.sum("n_words").alias("words"))
             .first()
         )
+        base = snapshot.state
         for _ in range(ATTEMPTS):
             try:
-                store.commit(segment, "ingest", uploaded_at, **indexed.asDict(), **totals)
+                store.commit(segment, "ingest", uploaded_at, base=base, **indexed.asDict(), **totals)
                 break
             except Conflict:
                 # another first ingest has fixed the order of grams; this one takes it over
-                self._write_grams(segment, store.snapshot())
+                now = store.snapshot()
+                self._write_grams(segment, now)
+                base = now.state
         else:
             raise Conflict(f"Segment {segment} could not be committed.")
         return store.segment("outcomes", segment).drop("segment")
