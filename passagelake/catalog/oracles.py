@@ -579,6 +579,10 @@ QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) <= {lx.PREVIEW_
     # what was deleted and added again is there once, whatever was first
     "readded_documents": with_(KEPT, chunks("kept"), _DOCS_INDEXED)
     + "SELECT doc_id, n_chunks::INTEGER AS n_chunks, n_chunks::BIGINT AS n_rows FROM indexed",
+    "event_value_ranks": """WITH v AS (
+  SELECT event_type, list_sort(list(value)) AS sorted, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY event_type)
+SELECT event_type, share::DOUBLE AS share, n, sorted[least(floor(share::DOUBLE * n)::BIGINT, n - 1) + 1] AS value
+FROM v, (VALUES (0.0), (0.5), (0.95), (0.99), (1.0)) t(share)""",
     "dense_ranking": with_(
         VECTORS,
         """cells AS (

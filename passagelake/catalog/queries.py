@@ -24,6 +24,7 @@ from ..operators.intake import (
     turn_problem,
 )
 from ..operators.lexical import question_terms
+from ..operators.ranks import nearest_ranks
 from ..plans.engine import Engine
 from ..workspace import save, shared_folder
 
@@ -508,6 +509,12 @@ def readded_documents(spark, sf_dir):
     return engine.documents().where("status = 'indexed'").join(chunks, "doc_id").select("doc_id", "n_chunks", "n_rows")
 
 
+def event_value_ranks(spark, sf_dir):
+    """Nearest ranks of the values of every type of event, as latencies are reported."""
+    events = table(spark, sf_dir, "events")
+    return nearest_ranks(events, "event_type", "value", [0.0, 0.5, 0.95, 0.99, 1.0])
+
+
 def label_queries(spark, sf_dir):
     """One query vector per label: the unit vector along the mean of its members."""
     cells = table(spark, sf_dir, "embeddings").select(
@@ -746,6 +753,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bm25_after_changes,
         bm25_after_compaction,
         readded_documents,
+        event_value_ranks,
         dense_ranking,
         dense_chunks,
         dense_scoped,
