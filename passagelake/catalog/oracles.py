@@ -624,6 +624,8 @@ means AS (SELECT label::VARCHAR AS query_id, list(x ORDER BY i) AS m FROM cells
     + f"""SELECT query_id, n::INTEGER AS n, doc_id AS document_id, filename, coalesce(page, 0) AS page,
   {snippet('text')} AS snippet, list_contains(a.cited, n) AS cited
 FROM numbered JOIN answers a USING (query_id)""",
+    "source_scores": with_(*CONTEXT)
+    + "SELECT query_id, n::INTEGER AS n, doc_id AS document_id, round(score, 4) AS score FROM numbered",
     "history_messages": f"""WITH recent AS (
   SELECT conv_id, turn, role, {strip('text')} AS content FROM conversations
   QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= {lx.HISTORY_TURNS}),

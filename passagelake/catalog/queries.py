@@ -664,6 +664,12 @@ def answer_sources(spark, sf_dir):
     )
 
 
+def source_scores(spark, sf_dir):
+    """The score that each source card shows."""
+    cards = _asked(spark, sf_dir).select("query_id", F.inline_outer("sources"))
+    return cards.where(F.col("n").isNotNull()).select("query_id", "n", "document_id", "score")
+
+
 def history_messages(spark, sf_dir):
     # only the last turns can matter, so no more than those are brought together
     latest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
@@ -767,6 +773,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         formatted_context,
         extractive_answers,
         answer_sources,
+        source_scores,
         history_messages,
         retrieval_accuracy,
     )
