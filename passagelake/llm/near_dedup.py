@@ -6,17 +6,17 @@
    full frequency, rare edits of a text with very many copies outweigh what they share.
 2. A second pass draws ``HASHES`` samples of each document's weights by improved consistent
    weighted sampling (Ioffe, 2010): two documents draw the same sample with the probability of
-   their weighted Jaccard similarity. Four samples make a band. As many unweighted samples (the
+   their weighted Jaccard similarity. Five samples make a band. As many unweighted samples (the
    smallest hashes) make further bands, for pairs whose plain similarity is the higher one.
    Documents of the same words are one node from here on, copies are never compared.
-3. In each bucket of a band every node meets the bucket's first one; those found
-   similar are joined. A second round, among nodes of a bucket that are still apart, meets the one
-   with the most links and the neighbours in the order of the next band. These two leave few
-   classes in a bucket. In the third, all nodes of a bucket that are in different classes are
-   held against one another, block by block, so that no pair that shares a bucket is left out.
-   Blocks are of bounded size and those of one class are not paired, so the work grows with
-   the square only of what is unlike in a bucket.
-4. Pairs are verified on their texts but for those that cannot be similar: how many
+3. Each node meets the least of its buckets' first nodes, and once those links are classes, the
+   first node of every bucket that is in another class. So a family of any size costs a few pairs a node.
+4. Buckets that hold several classes even then are not paired out. Two texts whose similarity, weighted
+   or plain, reaches the threshold share one of their rarest shingles (``rare_shingles``, an exact prefix
+   filter). All nodes of open buckets are grouped by those, and in a group of several classes
+   the nodes outside its largest class meet those of other classes, a pair once.
+   What only shares a frequent passage shares no rare shingle and is not compared.
+   Pairs are verified on their shingles but for those that cannot be similar: how many
    shingles, and of which weight, fall into each of ``BINS`` bins bounds what two texts share. A
    pair is linked if its weighted similarity reaches the threshold, or the plain one does: rare
    edits of a text with very many copies weigh more than what they share.
@@ -31,10 +31,9 @@ in id and text are both in the result. An empty table gives none.
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, keyed, partitions, save, worker_cache
@@ -43,7 +42,7 @@ from .wordhash import Words, mix, shingles
 
 KEY = ["_id", "_tie"]
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 13, 5
 HASHES = BANDS * ROWS
 #: counters of the sketch, and how many are sent together
 COUNTERS, BLOCK = 1 << 20, 1 << 12
@@ -51,14 +50,10 @@ COUNTERS, BLOCK = 1 << 20, 1 << 12
 DRAWS, SEED = 1 << 14, 99
 #: bins of a text's shingles, for the bound of a pair's similarity
 BINS = 64
-#: nodes of a block, and how many blocks of a bucket meet all the others in one task
-BLOCK, BLOCKS = 256, 16
 #: pairs whose bounds are computed at a time
 BOUNDS_AT_ONCE = 4_096
 #: power of the inverse document frequency in a weight
 DAMPING = 0.5
-#: nodes of a bucket that are put in order together, and how many neighbours each meets
-SLICE, NEIGHBOURS = 1_000, 4
 #: shingles sampled at a time
 AT_ONCE = 8_192
 
@@ -264,25 +259,30 @@ def signatures(documents: DataFrame, log_idf) -> DataFrame:
     )
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """Pairs of different nodes, each once, the smaller node first."""
-    return pairs.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def rare_shingles(values: np.ndarray, weights: np.ndarray, log_idf: np.ndarray, threshold: float) -> np.ndarray:
+    """The shingles of a text of which every similar text has one among its own.
 
+    Shingles stand in one order for all texts, rarest first. What is left behind those returned is less than the threshold's
+    share of the text, by number and by weight, so a text that has none of them in front shares too little.
+    """
+    order = np.lexsort((values, -log_idf))
+    behind = np.cumsum(weights[order][::-1])[::-1]
+    # a little more is taken than needed, as sums are rounded
+    heavy = int((behind >= (1 - 1e-4) * threshold * behind[0]).sum()) if len(values) else 0
+    many = len(values) - int(np.ceil((1 - 1e-9) * threshold * len(values))) + 1
+    return values[order[: max(heavy, many)]]
 
-def bucket_rows(nodes: DataFrame) -> DataFrame:
-    """``key, node, rep, next``: each node in each of its buckets that hold others too."""
-    rows = nodes.select("node", "rep", "bands", F.posexplode("bands").alias("k", "key")).select(
-        "key", "node", "rep", F.get("bands", (F.col("k") + 1) % F.size("bands")).alias("next")
-    )
-    return save(rows, "buckets")
+
+def _named(pairs: DataFrame) -> DataFrame:
+    """Pairs of different numbers, each once, the smaller first."""
+    return pairs.where("x != y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
-def with_leaders(rows: DataFrame, order: list) -> DataFrame:
-    """Rows of buckets of two or more, with the size and the first node in an order."""
-    heads = rows.groupBy("key").agg(
-        F.count("*").alias("n"), F.min(F.struct(*order, F.col("node").alias("first"))).alias("head")
-    ).where("n > 1").select("key", "n", F.col("head.first").alias("leader"))
-    return rows.join(heads, "key")
+def shared_buckets(nodes: DataFrame) -> DataFrame:
+    """A written table: ``key, num, first``, each node in each of its buckets that hold others too."""
+    rows = nodes.select("num", F.explode("bands").alias("key"))
+    heads = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("num").alias("first")).where("n > 1")
+    return save(rows.join(heads.drop("n"), "key").select("key", "num", "first"), "buckets")
 
 
 def _rows_of(bins: list[bytes]) -> np.ndarray:
@@ -290,7 +290,7 @@ def _rows_of(bins: list[bytes]) -> np.ndarray:
 
 
 def bounded(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that can be similar enough."""
+    """``a, b``: the nodes of those pairs of numbers that can be similar enough."""
 
     def keep(batches):
         import pyarrow as pa
@@ -299,135 +299,115 @@ def bounded(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
             close = may_link(*(_rows_of(batch.column(i).to_pylist()) for i in (2, 3)), threshold)
             yield batch.filter(pa.array(close)).select(["a", "b"])
 
-    own = nodes.select("node", "bins")
-    both = pairs.join(own.select(F.col("node").alias("a"), F.col("bins").alias("sa")), "a").join(
-        own.select(F.col("node").alias("b"), F.col("bins").alias("sb")), "b"
-    )
+    def side(number, name):
+        return nodes.select(F.col("num").alias(number), F.col("node").alias(name), F.col("bins").alias(f"s{name}"))
+
+    both = pairs.join(side("x", "a"), "x").join(side("y", "b"), "y").where("a != b")
     return both.select("a", "b", "sa", "sb").mapInArrow(keep, "a binary, b binary")
 
 
-def open_buckets(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """A written table: the rows of buckets that hold several classes, with ``class`` and ``links``."""
-    again = rows.join(known, "node", "left").select(
-        "key", "node", "next", "rep", F.coalesce("class", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links")
+def node_shingles(shared: DataFrame, nodes: DataFrame, members: DataFrame, documents: DataFrame) -> DataFrame:
+    """A written table: ``node, num, values, counts``, the shingles of every node that shares a bucket."""
+    wanted = save(
+        nodes.join(shared.select("num").distinct(), "num").select("node", "num", "rep._id", "rep._tie"), "wanted"
     )
-    apart = again.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high")
-    return save(again.join(apart.select("key"), "key"), "open-buckets")
+    texts = attach(documents.select(*KEY, "_text"), wanted, KEY, "inner", F.lit(80)).select("node", "num", "_text")
 
+    def cut(batches):
+        import pyarrow as pa
 
-def blocks_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """A written table: ``key, label, block, blocks, nodes, classes, bins``, the nodes of open buckets in blocks.
+        for batch in batches:
+            for start, stop in slices_of(batch.column(2)):
+                values, counts, bounds, _ = weighted_shingles(batch.column(2).slice(start, stop - start).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(k).slice(start, stop - start) for k in (0, 1)]
+                    + [pa.array([x[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], pa.binary()) for x in (values, counts.astype("<i4"))],
+                    names=["node", "num", "values", "counts"],
+                )
 
-    A class that fills a block has blocks of its own and is their ``label``; the others of a
-    bucket share blocks without one. ``blocks`` is how many the bucket has.
-    """
-    own = rows.groupBy("key", "class").agg(F.count("*").alias("n")).withColumn(
-        "label", F.when(F.col("n") >= BLOCK, F.col("class")).otherwise(F.lit(b""))
-    )
-    own = save(own, "class-sizes")
-    parts = own.groupBy("key", "label").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("parts"))
-    whole = parts.groupBy("key").agg(F.sum("parts").cast("int").alias("blocks"))
-    sizes = own.select("key", "class", "label").join(parts, ["key", "label"]).join(whole, "key")
-    placed = rows.select("key", "node", "class").join(sizes, ["key", "class"]).join(nodes.select("node", "bins"), "node")
-    item = F.collect_list(F.struct("node", "class", "bins")).alias("items")
-    return save(
-        placed.groupBy("key", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("parts")).alias("block")).agg(item)
-        .select("key", "label", "block", "blocks", *(F.col(f"items.{c}").alias(a) for c, a in (("node", "nodes"), ("class", "classes"), ("bins", "bins")))),
-        "blocks",
-    )
+    found = texts.mapInArrow(cut, "node binary, num long, values binary, counts binary")
+    # rows equal in id and text come more than once; without such there is nothing to shuffle
+    if not members.groupBy(*KEY).count().where("count > 1").isEmpty():
+        found = found.dropDuplicates(["node"])
+    return save(found, "shingles")
 
 
-def across(blocks: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``x, y`` of one bucket and different classes that can be similar enough."""
+def with_classes(shared: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of shared buckets with the class of each node, ``cls``; a node without links is its own."""
+    linked = nodes.select("node", "num").join(found, "node").select("num", F.xxhash64("class").alias("cls"))
+    own = F.coalesce("cls", F.xxhash64("self"))
+    return shared.join(linked, "num", "left").join(
+        nodes.select("num", F.col("node").alias("self")), "num"
+    ).select("key", "num", "first", own.alias("cls"))
 
-    def compare(batches):
-        import pyarrow as pa
 
-        def side(batch, at, i):
-            names, classes, bins = (batch.column(at + k)[i].as_py() for k in range(3))
-            return names, np.frombuffer(b"".join(classes), np.uint64).reshape(-1, 2), _rows_of(bins)
+def across(open_nodes: DataFrame, parts: DataFrame, log_idf, threshold: float) -> DataFrame:
+    """Pairs ``x, y`` of open nodes (``num, cls``) in different classes that have a rare shingle in common."""
+
+    def cut(batches):
+        import pyarrow as pa
 
         for batch in batches:
+            tokens, sizes, totals = [], [], []
             for i in range(batch.num_rows):
-                (left, ca, a), (right, cb, b) = side(batch, 0, i), side(batch, 3, i)
-                apart = (ca[:, None, 0] != cb[None, :, 0]) | (ca[:, None, 1] != cb[None, :, 1])
-                if batch.column(6)[i].as_py():
-                    apart = np.triu(apart)
-                fits = np.zeros(apart.shape, bool)
-                for part in (slice(0, BINS), slice(BINS, None)):  # the smaller one must be large enough
-                    u, v = a[:, part].sum(axis=1)[:, None], b[:, part].sum(axis=1)[None, :]
-                    fits |= np.minimum(u, v) >= (1 - 1e-4) * threshold * np.maximum(u, v)
-                x, y = np.nonzero(apart & fits)
-                for at in range(0, len(x), BOUNDS_AT_ONCE):
-                    p, q = x[at : at + BOUNDS_AT_ONCE], y[at : at + BOUNDS_AT_ONCE]
-                    close = np.flatnonzero(may_link(a[p], b[q], threshold))
-                    if len(close):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([left[k] for k in p[close]], pa.binary()), pa.array([right[k] for k in q[close]], pa.binary())],
-                            names=["x", "y"],
-                        )
-
-    # each block meets those after it; a bucket of many blocks is dealt out by the first of the two
-    turns = F.ceil(F.col("blocks") / F.lit(BLOCKS)).cast("int")
-    one = blocks.withColumn("turn", F.pmod(F.xxhash64("label", "block"), turns).cast("int")).drop("blocks").alias("l")
-    two = blocks.withColumn("turn", F.explode(F.sequence(F.lit(0), turns - 1))).drop("blocks").alias("r")
-    same = (F.col("l.label") == F.col("r.label")) & (F.col("l.block") == F.col("r.block"))
-    alike = (F.col("l.label") == F.col("r.label")) & (F.col("l.label") != F.lit(b""))
-    met = one.join(two, ["key", "turn"]).where(
-        ~alike & (F.struct("l.label", "l.block") <= F.struct("r.label", "r.block"))
-    )
-    return met.select(
-        *(F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "lr" for c in ("nodes", "classes", "bins")), same.alias("same")
-    ).mapInArrow(compare, "x binary, y binary")
-
+                values = np.frombuffer(batch.column(2)[i].as_py(), np.uint64)
+                logs = log_idf.value[_counter(values)]
+                weights = np.frombuffer(batch.column(3)[i].as_py(), "<i4") * np.exp(logs)
+                tokens.append(rare_shingles(values, weights, logs, threshold).astype(np.int64))
+                sizes.append(len(values))
+                totals.append(float(weights.sum()))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(totals, pa.float64()),
+                    pa.array(tokens, pa.list_(pa.int64())),
+                ],
+                names=["num", "cls", "size", "total", "tokens"],
+            )
 
-def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, log_idf, threshold: float) -> DataFrame:
-    """A written table of the pairs whose texts are similar enough."""
-    pairs = save(pairs, "pairs")
-    wanted = save(
-        pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        .join(nodes.select("node", "rep"), "node").select("node", "rep._id", "rep._tie"),
-        "wanted",
+    rows = save(
+        parts.join(open_nodes, "num").select("num", "cls", "values", "counts")
+        .mapInArrow(cut, "num long, cls long, size int, total double, tokens array<long>")
+        .select("num", "cls", "size", "total", F.explode("tokens").alias("token")),
+        "rare-shingles",
     )
-    texts = attach(documents.select(*KEY, "_text"), wanted, KEY, "inner", F.lit(80)).select("node", "_text")
-
-    def cut(batches):
-        import pyarrow as pa
+    sizes = rows.groupBy("token", "cls").count()
+    groups = sizes.groupBy("token").agg(
+        F.count("*").alias("classes"), F.max(F.struct("count", "cls")).alias("main")
+    ).where("classes > 1").select("token", F.col("main.cls").alias("main"))
+    rows = save(rows.join(groups, "token"), "open-shingles")
+    left = rows.where("cls != main").select("token", *(F.col(c).alias(f"l_{c}") for c in ("num", "cls", "size", "total")))
+
+    def near(c):
+        return F.least(c, f"l_{c}") >= F.lit((1 - 1e-4) * threshold) * F.greatest(c, f"l_{c}")
+
+    # a pair within the largest class is never formed; outside of it the smaller number comes first
+    met = left.join(rows, "token").where(
+        (F.col("cls") != F.col("l_cls")) & ((F.col("cls") == F.col("main")) | (F.col("l_num") < F.col("num")))
+        & (near("size") | near("total"))
+    )
+    return _named(met.select(F.col("l_num").alias("x"), F.col("num").alias("y")))
 
-        for batch in batches:
-            for start, stop in slices_of(batch.column(1)):
-                values, counts, bounds, _ = weighted_shingles(batch.column(1).slice(start, stop - start).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, stop - start)]
-                    + [pa.array([x[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], pa.binary()) for x in (values, counts.astype("<i4"))],
-                    names=["node", "values", "counts"],
-                )
 
-    # cut once for each text, not for each of its pairs; rows equal in id and text come more than once
-    parts_of = save(texts.mapInArrow(cut, "node binary, values binary, counts binary").dropDuplicates(["node"]), "pair-shingles")
+def verified(pairs: DataFrame, parts: DataFrame, log_idf, threshold: float) -> DataFrame:
+    """A written table of the pairs whose texts are similar enough."""
+    pairs = save(pairs.distinct(), "pairs")
 
     def keep(batches):
         import pyarrow as pa
 
-        parts: dict[bytes, tuple] = {}
         for batch in batches:
             linked = []
             for i in range(batch.num_rows):
                 sides = []
-                for at in (0, 1):
-                    node = batch.column(at)[i].as_py()
-                    if node not in parts:
-                        if len(parts) > 200:
-                            parts.clear()
-                        values = np.frombuffer(batch.column(2 + at)[i].as_py(), np.uint64)
-                        counts = np.frombuffer(batch.column(4 + at)[i].as_py(), "<i4")
-                        parts[node] = values, counts * np.exp(log_idf.value[_counter(values)])
-                    sides.append(parts[node])
+                for at in (2, 3):
+                    values = np.frombuffer(batch.column(at)[i].as_py(), np.uint64)
+                    counts = np.frombuffer(batch.column(at + 2)[i].as_py(), "<i4")
+                    sides.append((values, counts * np.exp(log_idf.value[_counter(values)])))
                 linked.append(max(similarities(*sides)) >= threshold)
             yield batch.filter(pa.array(linked, pa.bool_())).select(["a", "b"])
 
     def side(name):
-        return parts_of.select(F.col("node").alias(name), F.col("values").alias(f"v{name}"), F.col("counts").alias(f"c{name}"))
+        return parts.select(F.col("node").alias(name), F.col("values").alias(f"v{name}"), F.col("counts").alias(f"c{name}"))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "va", "vb", "ca", "cb")
     return save(both.mapInArrow(keep, "a binary, b binary"), "links")
@@ -463,39 +443,28 @@ def classes(
     nodes = save(
         members.groupBy("node").agg(
             F.min(F.struct(*KEY)).alias("rep"), F.first("bands").alias("bands"), F.first("bins").alias("bins")
-        ),
+        ).withColumn("num", F.xxhash64("node")),
         "nodes",
     )
-    rows = bucket_rows(nodes)
-    stars = with_leaders(rows, ["rep"]).select(F.col("node").alias("x"), F.col("leader").alias("y"))
-    links = verified(bounded(_ordered(stars), nodes, threshold), nodes, documents, log_idf, threshold)
-
-    # what is still apart meets the best linked node of each bucket, and its neighbours
-    found = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    known = save(found.join(degree, "node"), "linked")
-    open_rows = open_buckets(rows, known)
-    hubs = with_leaders(open_rows, [(-F.col("links")).alias("l"), F.col("rep")])
-    slices = F.ceil(F.col("n") / F.lit(SLICE)).cast("int")
-    line = Window.partitionBy("key", "slice").orderBy("next", "node")
-    near = hubs.withColumn("slice", F.pmod(F.xxhash64("next"), slices))
-    met = [hubs.select(F.col("node").alias("x"), F.col("leader").alias("y"))]
-    for k in range(1, NEIGHBOURS + 1):
-        met.append(near.select(F.col("node").alias("x"), F.lag("node", k).over(line).alias("y")).where("y is not null"))
-    own = known.select("node", "class")
-    pairs = _ordered(reduce(DataFrame.unionByName, met))
-    pairs = (
-        pairs.join(own.select(F.col("node").alias("a"), F.col("class").alias("ca")), "a", "left")
-        .join(own.select(F.col("node").alias("b"), F.col("class").alias("cb")), "b", "left")
-        .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    )
-    more = verified(bounded(pairs, nodes, threshold), nodes, documents, log_idf, threshold)
-
-    # then every two of a bucket that are in different classes even now
-    links = links.union(more)
-    found = save(components(links).withColumn("links", F.lit(0)), "linked")
-    left = across(blocks_of(open_buckets(rows, found), nodes), threshold)
-    links = links.union(verified(_ordered(left), nodes, documents, log_idf, threshold))
+    shared = shared_buckets(nodes)
+    parts = node_shingles(shared, nodes, members, documents)
+
+    # each node meets the least of its buckets' first nodes
+    stars = shared.groupBy("num").agg(F.min("first").alias("first")).select(F.col("num").alias("x"), F.col("first").alias("y"))
+    links = verified(bounded(_named(stars), nodes, threshold), parts, log_idf, threshold)
+
+    # then the first node of every bucket that is in another class
+    rows = save(with_classes(shared, nodes, components(links)), "classed")
+    firsts = rows.where("num = first").groupBy("key").agg(F.min("cls").alias("first_cls"))
+    apart = rows.join(firsts, "key").where("cls != first_cls").select(F.col("num").alias("x"), F.col("first").alias("y"))
+    links = links.union(verified(bounded(_named(apart), nodes, threshold), parts, log_idf, threshold))
+
+    # then, of the buckets that hold several classes even now, whoever has a rare shingle in common
+    rows = save(with_classes(shared, nodes, components(links)), "classed")
+    still = rows.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low != high")
+    open_nodes = save(rows.join(still, "key", "left_semi").select("num", "cls").distinct(), "open-nodes")
+    left = across(open_nodes, parts, log_idf, threshold)
+    links = links.union(verified(bounded(left, nodes, threshold), parts, log_idf, threshold))
 
     grouped = components(links)
     firsts = nodes.select("node", "rep").join(grouped, "node", "left").withColumn("class", F.coalesce("class", "node"))

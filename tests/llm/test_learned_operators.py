@@ -106,19 +106,42 @@ def test_near_duplicate_classes_equal_brute_force(spark):
 def test_like_nodes_of_a_large_bucket_meet_behind_an_unlike_leader(spark):
     rng = np.random.default_rng(5)
     n = 3_000
-    hashes = rng.integers(0, 1 << 63, (n, 60), dtype=np.uint64)
-    hashes[2_000] = hashes[1_000]
-    hashes[2_000, :3] = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
-    bins = near_dedup.binned(hashes.ravel(), np.ones(n * 60), np.arange(n + 1) * 60)
-    names = [k.to_bytes(16, "big") for k in range(n)]
-    # one bucket; the first 600 are a class, the others are alone
-    rows = [(1, names[k], names[0] if k < 600 else names[k]) for k in range(n)]
-    nodes = spark.createDataFrame([(x, bytearray(b.tobytes())) for x, b in zip(names, bins)], "node binary, bins binary")
-    blocks = near_dedup.blocks_of(spark.createDataFrame(rows, "key long, node binary, class binary"), nodes)
-    assert blocks.selectExpr("sum(size(nodes))", "max(size(nodes))").first()[0] == n
-    found = {frozenset((bytes(r["x"]), bytes(r["y"]))) for r in near_dedup.across(blocks, 0.8).collect()}
-    assert frozenset((names[1_000], names[2_000])) in found and len(found) < n
-    assert not any(max(int.from_bytes(x, "big") for x in pair) < 600 for pair in found)
+    shared = rng.integers(0, 1 << 63, 40, dtype=np.uint64)  # a passage that everybody has
+    own = rng.integers(0, 1 << 63, (n, 60), dtype=np.uint64)
+    own[2_000] = own[1_000]
+    own[2_000, :3] = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
+    own[:600] = own[0]  # a class that has more in common than with anybody else
+    own[:600, 0] = rng.integers(0, 1 << 63, 600, dtype=np.uint64)
+    values = [np.sort(np.concatenate((x, shared))) for x in own]
+    ones = np.ones(100, "<i4").tobytes()
+    parts = spark.createDataFrame([(k, bytearray(v.tobytes()), bytearray(ones)) for k, v in enumerate(values)], "num long, values binary, counts binary")
+    log_idf = np.full(near_dedup.COUNTERS, 1.0, np.float32)
+    log_idf[near_dedup._counter(shared)] = 0.0  # frequent
+    idf = spark.sparkContext.broadcast(log_idf)
+    nodes = spark.createDataFrame([(k, 0 if k < 600 else k) for k in range(n)], "num long, cls long")
+    found = {(r["x"], r["y"]) for r in near_dedup.across(nodes, parts, idf, 0.8).collect()}
+    assert found == {(1_000, 2_000)}
+
+
+def test_similar_texts_have_a_rare_shingle_in_common():
+    rng = np.random.default_rng(7)
+    met = 0
+    for n in (1, 2, 5, 60, 1_000):
+        for share in (0.0, 0.02, 0.05, 0.1, 0.2):
+            for _ in range(20):
+                a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+                b = np.unique(np.where(rng.random(len(a)) < share, rng.integers(0, 1 << 63, len(a), dtype=np.uint64), a))
+                sides = []
+                for x in (a, b):
+                    logs = (x % np.uint64(7)).astype(np.float32) / 3
+                    sides.append((x, (1 + x % np.uint64(3)) * np.exp(logs), logs))
+                rare = [near_dedup.rare_shingles(*side, 0.8) for side in sides]
+                assert all(len(r) <= len(s[0]) for r, s in zip(rare, sides))
+                if max(near_dedup.similarities(*(s[:2] for s in sides))) >= 0.8:
+                    met += 1
+                    assert len(np.intersect1d(*rare))
+    assert met > 150
+    assert len(near_dedup.rare_shingles(np.empty(0, np.uint64), np.empty(0), np.empty(0), 0.8)) == 0
 
 
 def test_bounds_leave_out_no_similar_pair():
