@@ -9,12 +9,14 @@
    their weighted Jaccard similarity. Five samples make a band. As many unweighted samples (the
    smallest hashes) make further bands, for pairs whose plain similarity is the higher one.
    Documents of the same words are one node from here on, copies are never compared.
-3. Each node meets the least of its buckets' first nodes, and once those links are classes, the
-   first node of every bucket that is in another class. So a family of any size costs a few pairs a node.
+3. Star rounds: each node meets the first node of one of its buckets, and when links have become
+   classes, that of one of its buckets whose first node is in another class. Rounds go on while a fifth of their pairs
+   is linked. A round costs at most one pair a node, so a family of any size costs a few.
 4. Buckets that hold several classes even then are not paired out. Two texts whose similarity, weighted
    or plain, reaches the threshold share one of their rarest shingles (``rare_shingles``, an exact prefix
-   filter). All nodes of open buckets are grouped by those, and in a group of several classes
-   the nodes outside its largest class meet those of other classes, a pair once.
+   filter). All nodes of open buckets are grouped by those. In a group of several classes
+   the nodes outside its largest class meet one node in it, again while that links one in a hundred; those
+   still in different classes then meet, a pair once, if this can be the first shingle they share.
    What only shares a frequent passage shares no rare shingle and is not compared.
    Pairs are verified on their shingles but for those that cannot be similar: how many
    shingles, and of which weight, fall into each of ``BINS`` bins bounds what two texts share. A
@@ -54,6 +56,12 @@ BINS = 64
 BOUNDS_AT_ONCE = 4_096
 #: power of the inverse document frequency in a weight
 DAMPING = 0.5
+#: star rounds in buckets go on while such a share of their pairs is linked; what is left is for the rare shingles
+WORTH = 0.2
+#: the same for rounds among nodes that share a rare shingle, after which every pair left is formed
+WORTH_RARE = 0.01
+#: rare shingles sent on together
+FLAT = 200_000
 #: shingles sampled at a time
 AT_ONCE = 8_192
 
@@ -259,18 +267,20 @@ def signatures(documents: DataFrame, log_idf) -> DataFrame:
     )
 
 
-def rare_shingles(values: np.ndarray, weights: np.ndarray, log_idf: np.ndarray, threshold: float) -> np.ndarray:
-    """The shingles of a text of which every similar text has one among its own.
+def rare_shingles(values: np.ndarray, weights: np.ndarray, log_idf: np.ndarray, threshold: float) -> tuple:
+    """The shingles of a text of which every similar text has one among its own: ``(places, rest, behind)``.
 
     Shingles stand in one order for all texts, rarest first. What is left behind those returned is less than the threshold's
     share of the text, by number and by weight, so a text that has none of them in front shares too little.
+    ``rest`` and ``behind`` are the number and the weight of the shingles from each one on.
     """
     order = np.lexsort((values, -log_idf))
     behind = np.cumsum(weights[order][::-1])[::-1]
     # a little more is taken than needed, as sums are rounded
     heavy = int((behind >= (1 - 1e-4) * threshold * behind[0]).sum()) if len(values) else 0
     many = len(values) - int(np.ceil((1 - 1e-9) * threshold * len(values))) + 1
-    return values[order[: max(heavy, many)]]
+    n = min(max(heavy, many), len(values))
+    return order[:n], len(values) - np.arange(n), behind[:n]
 
 
 def _named(pairs: DataFrame) -> DataFrame:
@@ -341,49 +351,85 @@ def with_classes(shared: DataFrame, nodes: DataFrame, found: DataFrame) -> DataF
     ).select("key", "num", "first", own.alias("cls"))
 
 
-def across(open_nodes: DataFrame, parts: DataFrame, log_idf, threshold: float) -> DataFrame:
-    """Pairs ``x, y`` of open nodes (``num, cls``) in different classes that have a rare shingle in common."""
+def rare_rows(open_nodes: DataFrame, parts: DataFrame, log_idf, threshold: float) -> DataFrame:
+    """A written table: ``num, size, total, token, log_idf, rest, behind``, the rare shingles of some nodes."""
 
     def cut(batches):
         import pyarrow as pa
 
+        names = ["num", "size", "total", "token", "log_idf", "rest", "behind"]
+
+        def flat(found):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=names)
+
         for batch in batches:
-            tokens, sizes, totals = [], [], []
+            found, held = [], 0
+            numbers = batch.column(0).to_numpy(zero_copy_only=False)
             for i in range(batch.num_rows):
-                values = np.frombuffer(batch.column(2)[i].as_py(), np.uint64)
+                values = np.frombuffer(batch.column(1)[i].as_py(), np.uint64)
                 logs = log_idf.value[_counter(values)]
-                weights = np.frombuffer(batch.column(3)[i].as_py(), "<i4") * np.exp(logs)
-                tokens.append(rare_shingles(values, weights, logs, threshold).astype(np.int64))
-                sizes.append(len(values))
-                totals.append(float(weights.sum()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(totals, pa.float64()),
-                    pa.array(tokens, pa.list_(pa.int64())),
-                ],
-                names=["num", "cls", "size", "total", "tokens"],
-            )
+                weights = np.frombuffer(batch.column(2)[i].as_py(), "<i4") * np.exp(logs).astype(np.float64)
+                at, rest, behind = rare_shingles(values, weights, logs, threshold)
+                own = (numbers[i], np.int32(len(values)), weights.sum())
+                found.append((
+                    *(np.repeat(x, len(at)) for x in own), values[at].astype(np.int64),
+                    logs[at].astype(np.float64), rest.astype(np.int32), behind,
+                ))
+                held += len(at)
+                if held > FLAT:
+                    yield flat(found)
+                    found, held = [], 0
+            if found:
+                yield flat(found)
 
-    rows = save(
-        parts.join(open_nodes, "num").select("num", "cls", "values", "counts")
-        .mapInArrow(cut, "num long, cls long, size int, total double, tokens array<long>")
-        .select("num", "cls", "size", "total", F.explode("tokens").alias("token")),
+    return save(
+        parts.join(open_nodes.select("num"), "num", "left_semi").select("num", "values", "counts").mapInArrow(
+            cut, "num long, size int, total double, token long, log_idf double, rest int, behind double"
+        ),
         "rare-shingles",
     )
-    sizes = rows.groupBy("token", "cls").count()
-    groups = sizes.groupBy("token").agg(
-        F.count("*").alias("classes"), F.max(F.struct("count", "cls")).alias("main")
-    ).where("classes > 1").select("token", F.col("main.cls").alias("main"))
-    rows = save(rows.join(groups, "token"), "open-shingles")
-    left = rows.where("cls != main").select("token", *(F.col(c).alias(f"l_{c}") for c in ("num", "cls", "size", "total")))
 
-    def near(c):
-        return F.least(c, f"l_{c}") >= F.lit((1 - 1e-4) * threshold) * F.greatest(c, f"l_{c}")
+
+def open_groups(rare: DataFrame, found: DataFrame) -> DataFrame:
+    """A written table: the rows of shingles that several classes have (``num, cls``), with ``main``, the largest of them."""
+    rows = rare.join(found, "num")
+    one, two = F.xxhash64("num"), F.xxhash64("num", F.lit(1))
+    sizes = rows.groupBy("token", "cls").agg(
+        F.count("*").alias("n"), F.bit_xor(one).alias("one"), F.bit_xor(two).alias("two"), F.max("log_idf").alias("log_idf")
+    )
+    groups = sizes.groupBy("token").agg(
+        F.count("*").alias("classes"), F.sum("n").alias("n"), F.bit_xor("one").alias("one"), F.bit_xor("two").alias("two"),
+        F.max("log_idf").alias("log_idf"), F.max(F.struct("n", "cls")).alias("main"),
+    ).where("classes > 1")
+    # of shingles that the same nodes have, the first in order stands for all
+    groups = groups.groupBy("one", "two", "n").agg(
+        F.min(F.struct(-F.col("log_idf"), F.col("token").alias("token"))).alias("least"), F.first("main.cls").alias("main")
+    ).select("least.token", "main")
+    return save(rows.drop("log_idf").join(groups, "token"), "open-shingles")
+
+
+def to_largest(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs ``x, y``: each node outside the largest class of a shingle with one node in it, for one of its shingles."""
+    hubs = rows.where("cls = main").groupBy("token").agg(F.min(F.struct(F.xxhash64("num", F.lit(turn)), "num")).alias("hub"))
+    return rows.where("cls != main").join(hubs, "token").groupBy("num").agg(
+        F.min(F.struct(F.xxhash64("token", F.lit(turn)), "hub.num")).alias("of")
+    ).select(F.col("num").alias("x"), F.col("of.num").alias("y"))
+
+
+def across(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``x, y`` of nodes in different classes that have a rare shingle in common."""
+    values = ("num", "cls", "size", "total", "rest", "behind")
+    left = rows.where("cls != main").select("token", *(F.col(c).alias(f"l_{c}") for c in values))
+    share = F.lit((1 - 1e-4) * threshold / (1 + threshold))
+
+    def enough(rest, whole):
+        """Whether two texts can be similar of which this is the first shingle in common."""
+        return F.least(rest, f"l_{rest}") >= share * (F.col(whole) + F.col(f"l_{whole}"))
 
     # a pair within the largest class is never formed; outside of it the smaller number comes first
     met = left.join(rows, "token").where(
         (F.col("cls") != F.col("l_cls")) & ((F.col("cls") == F.col("main")) | (F.col("l_num") < F.col("num")))
-        & (near("size") | near("total"))
+        & (enough("rest", "size") | enough("behind", "total"))
     )
     return _named(met.select(F.col("l_num").alias("x"), F.col("num").alias("y")))
 
@@ -449,22 +495,40 @@ def classes(
     shared = shared_buckets(nodes)
     parts = node_shingles(shared, nodes, members, documents)
 
-    # each node meets the least of its buckets' first nodes
-    stars = shared.groupBy("num").agg(F.min("first").alias("first")).select(F.col("num").alias("x"), F.col("first").alias("y"))
-    links = verified(bounded(_named(stars), nodes, threshold), parts, log_idf, threshold)
-
-    # then the first node of every bucket that is in another class
-    rows = save(with_classes(shared, nodes, components(links)), "classed")
-    firsts = rows.where("num = first").groupBy("key").agg(F.min("cls").alias("first_cls"))
-    apart = rows.join(firsts, "key").where("cls != first_cls").select(F.col("num").alias("x"), F.col("first").alias("y"))
-    links = links.union(verified(bounded(_named(apart), nodes, threshold), parts, log_idf, threshold))
+    # each node meets the first node of one of its buckets, then of one of those in another class
+    stars = shared.groupBy("num").agg(F.min("first").alias("y")).select(F.col("num").alias("x"), "y")
+    links, turn = None, 0
+    while True:
+        pairs = save(bounded(_named(stars), nodes, threshold), "stars")
+        found = verified(pairs, parts, log_idf, threshold)
+        links = found if links is None else links.union(found)
+        rows = save(with_classes(shared, nodes, components(links)), "classed")
+        if found.count() < WORTH * pairs.count() or pairs.isEmpty():
+            break
+        turn += 1
+        firsts = rows.where("num = first").groupBy("key").agg(F.min("cls").alias("first_cls"))
+        apart = rows.join(firsts, "key").where("cls != first_cls")
+        stars = apart.groupBy("num").agg(F.min(F.struct(F.xxhash64("first", F.lit(turn)), "first")).alias("of")).select(
+            F.col("num").alias("x"), F.col("of.first").alias("y")
+        )
 
     # then, of the buckets that hold several classes even now, whoever has a rare shingle in common
-    rows = save(with_classes(shared, nodes, components(links)), "classed")
     still = rows.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low != high")
-    open_nodes = save(rows.join(still, "key", "left_semi").select("num", "cls").distinct(), "open-nodes")
-    left = across(open_nodes, parts, log_idf, threshold)
-    links = links.union(verified(bounded(left, nodes, threshold), parts, log_idf, threshold))
+    open_nodes = save(rows.join(still, "key", "left_semi").select("num").distinct(), "open-nodes")
+    rare = rare_rows(open_nodes, parts, log_idf, threshold)
+    while True:  # first one node of a shingle's largest class, as long as that links
+        turn += 1
+        groups = open_groups(rare, rows.select("num", "cls").distinct())
+        pairs = save(bounded(_named(to_largest(groups, turn)), nodes, threshold), "stars")
+        found = verified(pairs, parts, log_idf, threshold)
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        rows = save(with_classes(shared, nodes, components(links)), "classed")
+        if found.count() < WORTH_RARE * pairs.count():
+            groups = open_groups(rare, rows.select("num", "cls").distinct())
+            break
+    links = links.union(verified(bounded(across(groups, threshold), nodes, threshold), parts, log_idf, threshold))
 
     grouped = components(links)
     firsts = nodes.select("node", "rep").join(grouped, "node", "left").withColumn("class", F.coalesce("class", "node"))

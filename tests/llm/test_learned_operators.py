@@ -119,7 +119,8 @@ def test_like_nodes_of_a_large_bucket_meet_behind_an_unlike_leader(spark):
     log_idf[near_dedup._counter(shared)] = 0.0  # frequent
     idf = spark.sparkContext.broadcast(log_idf)
     nodes = spark.createDataFrame([(k, 0 if k < 600 else k) for k in range(n)], "num long, cls long")
-    found = {(r["x"], r["y"]) for r in near_dedup.across(nodes, parts, idf, 0.8).collect()}
+    groups = near_dedup.open_groups(near_dedup.rare_rows(nodes, parts, idf, 0.8), nodes)
+    found = {(r["x"], r["y"]) for r in near_dedup.across(groups, 0.8).collect()}
     assert found == {(1_000, 2_000)}
 
 
@@ -136,12 +137,19 @@ def test_similar_texts_have_a_rare_shingle_in_common():
                     logs = (x % np.uint64(7)).astype(np.float32) / 3
                     sides.append((x, (1 + x % np.uint64(3)) * np.exp(logs), logs))
                 rare = [near_dedup.rare_shingles(*side, 0.8) for side in sides]
-                assert all(len(r) <= len(s[0]) for r, s in zip(rare, sides))
                 if max(near_dedup.similarities(*(s[:2] for s in sides))) >= 0.8:
                     met += 1
-                    assert len(np.intersect1d(*rare))
+                    common, i, j = np.intersect1d(*(s[0][r[0]] for s, r in zip(sides, rare)), return_indices=True)
+                    assert len(common)
+                    # the first one in common leaves enough behind it, by number or by weight
+                    first = min(range(len(common)), key=lambda k: i[k])
+                    least = (1 - 1e-4) * 0.8 / 1.8
+                    assert any(
+                        min(rare[0][k][i[first]], rare[1][k][j[first]]) >= least * whole
+                        for k, whole in ((1, len(a) + len(b)), (2, sides[0][1].sum() + sides[1][1].sum()))
+                    )
     assert met > 150
-    assert len(near_dedup.rare_shingles(np.empty(0, np.uint64), np.empty(0), np.empty(0), 0.8)) == 0
+    assert len(near_dedup.rare_shingles(np.empty(0, np.uint64), np.empty(0), np.empty(0), 0.8)[0]) == 0
 
 
 def test_bounds_leave_out_no_similar_pair():
