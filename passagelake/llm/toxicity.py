@@ -1,14 +1,15 @@
 """Toxicity from bags of subword embeddings.
 
 A word's vector is the mean of the embeddings of its character n-grams (3 to 6 bytes, its
-ends marked), so a spelling never seen before shares most of its vector with the word it
+ends marked) and of the word as a whole, so a spelling never seen before shares most of its vector with the word it
 stands for. The vectors of a stretch of words are averaged and given to a linear softmax;
 embeddings and softmax are trained jointly, by gradient descent in numpy. A document has the
 probability of its worst stretch, so a few words count as much in a long text as in a
-short one. While training, all stretches share the gradient by a soft maximum.
+short one. Stretches overlap by half, so that a phrase lies whole in one of them. While training,
+all stretches share the gradient by a soft maximum.
 
 Bounds: the fit takes at most ``ROWS`` labelled rows of ``CHARACTERS`` characters together,
-chosen by a hash of their id. Every row is scored, by its whole text.
+chosen by a hash of their id; a text that no longer fits is passed over. Every row is scored, by its whole text.
 
 Cases: a null or empty text has no stretch and gets the share of toxic rows among those learned
 from, as any text that tells nothing does. Rows equal in id and text share their score; null ids
@@ -30,20 +31,22 @@ from .wordhash import Words, mix
 
 ROWS, CHARACTERS = 5_000, 20_000_000
 BUCKETS, WIDTH, SIZES = 1 << 18, 8, (3, 4, 5, 6)
-STRETCH = 12
+STRETCH = 8
 #: labelled texts that a word must be in to be learned from
 MIN_TEXTS = 3
-STEPS, RATE, DECAY, SHARPNESS, SEED = 220, 0.1, 2e-6, 1.0, 5
+STEPS, RATE, DECAY, SHARPNESS, SEED = 220, 0.1, 2e-5, 1.0, 5
 
 
-def word_grams(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram buckets of words, each with the white space on both its sides as a mark."""
+def word_grams(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of some words and of their n-grams, with the white space on both sides as a mark."""
+    raw, starts, ends = words.bytes, words.starts[which], words.ends[which]
     lengths = ends - starts + 2
     total = np.cumsum(lengths)
     owner = np.repeat(np.arange(len(starts)), lengths)
     text = raw[np.repeat(starts - 1 - (total - lengths), lengths) + np.arange(int(total[-1]) if len(total) else 0)]
     text = np.where(text < 33, 32, text).astype(np.uint64) + np.uint64(1)
-    found, whose = [], []
+    found = [(mix(words.hashes[which]) % np.uint64(BUCKETS)).astype(np.int64)]
+    whose = [np.arange(len(starts))]
     for n in SIZES:
         m = len(text) - n + 1
         if m <= 0:
@@ -54,8 +57,6 @@ def word_grams(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
         inside = owner[:m] == owner[n - 1 :]
         found.append((mix(h[inside]) % np.uint64(BUCKETS)).astype(np.int64))
         whose.append(owner[:m][inside])
-    if not found:
-        return np.empty(0, np.int64), np.zeros(len(starts) + 1, np.int64)
     whose_all = np.concatenate(whose)
     order = np.argsort(whose_all, kind="stable")
     counts = np.bincount(whose_all, minlength=len(starts))
@@ -72,12 +73,21 @@ def spoken_words(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(said), np.concatenate(([0], np.cumsum(said)))[words.bounds]
 
 
-def stretches(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each stretch of words begins, and the bounds of each text's stretches."""
-    pieces = -(-np.diff(bounds) // STRETCH)
+def halves(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each half of a stretch of words begins, and the bounds of each text's halves."""
+    pieces = -(-np.diff(bounds) // (STRETCH // 2))
     ends = np.concatenate(([0], np.cumsum(pieces)))
     within = np.arange(int(ends[-1])) - np.repeat(ends[:-1], pieces)
-    return np.repeat(bounds[:-1], pieces) + within * STRETCH, ends
+    return np.repeat(bounds[:-1], pieces) + within * (STRETCH // 2), ends
+
+
+def partners(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The half that makes a stretch with each: the next, or the one before a text's last; and if there is one."""
+    other = np.arange(1, int(bounds[-1]) + 1)
+    some = np.diff(bounds) > 0
+    last = bounds[1:][some] - 1
+    other[last] = np.maximum(last - 1, bounds[:-1][some])
+    return other, other != np.arange(len(other))
 
 
 def _mean(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -92,8 +102,8 @@ class Lesson:
     grams: np.ndarray  # bucket of each n-gram, word by word
     gram_bounds: np.ndarray
     words: np.ndarray  # of each text in turn: a row of ``gram_bounds``, or -1
-    stretch_starts: np.ndarray  # positions in ``words``
-    stretch_bounds: np.ndarray  # stretches of each text
+    half_starts: np.ndarray  # positions in ``words``
+    half_bounds: np.ndarray  # halves of stretches of each text
 
 
 def lesson_of(texts: list[str], at_once: int = 200) -> Lesson:
@@ -125,7 +135,7 @@ def lesson_of(texts: list[str], at_once: int = 200) -> Lesson:
         place = np.minimum(np.searchsorted(wanted, here), max(len(wanted) - 1, 0))
         new = np.flatnonzero((wanted[place] == here) & missing[place]) if len(wanted) else np.empty(0, np.int64)
         if len(new):
-            grams, ends = word_grams(words.bytes, words.starts[first[new]], words.ends[first[new]])
+            grams, ends = word_grams(words, first[new])
             found.append(grams.astype(np.int32))
             order.append(place[new])
             counts[place[new]] = np.diff(ends)
@@ -141,8 +151,8 @@ def lesson_of(texts: list[str], at_once: int = 200) -> Lesson:
         flat = flat[np.repeat(begin - (ends - counts), counts) + np.arange(int(ends[-1]))]
     else:
         flat, ends = np.empty(0, np.int32), np.empty(0, np.int64)
-    starts, stretch_bounds = stretches(edges)
-    return Lesson(flat, np.concatenate(([0], ends)).astype(np.int64), row[which], starts, stretch_bounds)
+    starts, half_bounds = halves(edges)
+    return Lesson(flat, np.concatenate(([0], ends)).astype(np.int64), row[which], starts, half_bounds)
 
 
 @dataclass
@@ -161,12 +171,14 @@ class Model:
         spoken, bounds = spoken_words(words)
         _, first, which = np.unique(words.hashes[spoken], return_index=True, return_inverse=True)
         first = spoken[first]
-        grams, gram_bounds = word_grams(words.bytes, words.starts[first], words.ends[first])
+        grams, gram_bounds = word_grams(words, first)
         each = _mean(self.logits[grams], gram_bounds)[which]
-        starts, stretch_bounds = stretches(bounds)
-        level = _mean(each, np.append(starts, len(each))) + self.bias
-        some = np.diff(stretch_bounds) > 0
-        worst = np.maximum.reduceat(level, stretch_bounds[:-1][some])
+        starts, half_bounds = halves(bounds)
+        other, joined = partners(half_bounds)
+        total, n = np.add.reduceat(each, starts), np.diff(np.append(starts, len(each)))
+        level = (total + joined * total[other]) / (n + joined * n[other]) + self.bias
+        some = np.diff(half_bounds) > 0
+        worst = np.maximum.reduceat(level, half_bounds[:-1][some])
         out[some] = 1 / (1 + np.exp(-np.clip(worst, -40, 40)))
         return out
 
@@ -182,14 +194,16 @@ def fit_lesson(lesson: Lesson, toxic: np.ndarray, steps: int = STEPS) -> Model:
     gram_bounds = lesson.gram_bounds
     used, grams = np.unique(lesson.grams, return_inverse=True)
     grams = grams.astype(np.int32)
-    word_ends = np.append(lesson.stretch_starts, len(lesson.words))
-    stretch_n = np.maximum(np.diff(word_ends), 1)
-    stretch_of = np.repeat(np.arange(len(stretch_n), dtype=np.int32), np.diff(word_ends))[kept]
+    word_ends = np.append(lesson.half_starts, len(lesson.words))
+    other, joined = partners(lesson.half_bounds)
+    half_n = np.diff(word_ends)
+    stretch_n = half_n + joined * half_n[other]
+    half_of = np.repeat(np.arange(len(half_n), dtype=np.int32), half_n)[kept]
     del kept
     gram_n = np.maximum(np.diff(gram_bounds), 1)
-    texts = np.repeat(np.arange(len(toxic)), np.diff(lesson.stretch_bounds))
-    some = np.flatnonzero(np.diff(lesson.stretch_bounds) > 0)
-    heads = lesson.stretch_bounds[:-1][some]
+    texts = np.repeat(np.arange(len(toxic)), np.diff(lesson.half_bounds))
+    some = np.flatnonzero(np.diff(lesson.half_bounds) > 0)
+    heads = lesson.half_bounds[:-1][some]
     values = [
         rng.normal(0, 0.1, (len(used), WIDTH)).astype(np.float32),  # embeddings
         rng.normal(0, 0.5, (2, WIDTH)).astype(np.float32),  # softmax
@@ -200,7 +214,8 @@ def fit_lesson(lesson: Lesson, toxic: np.ndarray, steps: int = STEPS) -> Model:
         embedding, softmax, bias = values
         slope = softmax[1] - softmax[0]
         words = _mean((embedding @ slope)[grams], gram_bounds)
-        z = np.bincount(stretch_of, weights=words[own], minlength=len(stretch_n)) / stretch_n + (bias[1] - bias[0])
+        total = np.bincount(half_of, weights=words[own], minlength=len(half_n))
+        z = (total + joined * total[other]) / stretch_n + (bias[1] - bias[0])
         # soft maximum over a text's stretches, and each stretch's share of its gradient
         top = np.zeros(len(toxic))
         top[some] = np.maximum.reduceat(z, heads)
@@ -210,7 +225,9 @@ def fit_lesson(lesson: Lesson, toxic: np.ndarray, steps: int = STEPS) -> Model:
         level = np.bincount(texts, weights=weight * z, minlength=len(toxic))
         p = 1 / (1 + np.exp(-np.clip(level, -40, 40)))
         gz = ((p - toxic) / len(some))[texts] * weight
-        on_words = np.bincount(own, weights=(gz / stretch_n)[stretch_of], minlength=len(words))
+        on_halves = gz / stretch_n
+        on_halves += np.bincount(other, weights=joined * on_halves, minlength=len(half_n))
+        on_words = np.bincount(own, weights=on_halves[half_of], minlength=len(words))
         on_grams = np.bincount(grams, weights=np.repeat(on_words / gram_n, gram_n), minlength=len(used))
         g_slope = on_grams @ embedding
         gradients = [
@@ -244,9 +261,9 @@ def fit(
     order = [F.xxhash64(F.col("id").cast("string"), F.lit(7)), F.col("id"), F.col("_tie")]
     picked, size = [], 0
     for r in labelled.orderBy(*order).limit(rows).collect():
+        if size + r["n"] > characters:
+            continue
         size += r["n"]
-        if size > characters and picked:
-            break
         picked.append((r["id"], r["_tie"], r["label"]))
     if not picked:
         return Model(np.empty(0, np.float32), 0.0, 0.0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
 import zlib
@@ -279,6 +280,40 @@ def test_unseen_misspellings_are_found(spark):
     assert toxicity.scored(odd.where("false"), model).count() == 0
 
 
+def test_stretches_overlap_and_long_texts_are_passed_over(spark):
+    bounds = np.array([0, 9, 9, 12])
+    starts, edges = toxicity.halves(bounds)
+    assert starts.tolist() == [0, 4, 8, 9] and edges.tolist() == [0, 3, 3, 4]
+    other, joined = toxicity.partners(edges)
+    assert other.tolist() == [1, 2, 1, 3] and joined.tolist() == [True, True, True, False]
+    assert toxicity.partners(np.array([0, 0]))[0].size == 0
+    rows = [(i, ("vile " if i % 2 else "fine ") * 5) for i in range(200)] + [(1_000 + i, "fine " * 2_000) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "id long, label int")
+    # none of the long texts fits, wherever it stands in the order; all others are learned from
+    model = toxicity.fit(docs, labels, characters=9_000)
+    assert model.share == 0.5
+    assert model.scores(["vile vile"])[0] > 0.5 > model.scores(["fine fine"])[0]
+    assert toxicity.fit(docs, labels, characters=10).share == 0.0
+
+
+LARGE = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGE), reason="needs the larger tables")
+@pytest.mark.parametrize("name, label, found, marked", [
+    ("op7_toxicity", "toxic", 0.75, 0.025), ("op9_quality_classifier", "quality", 0.97, 0.1),
+])
+def test_rows_held_out_of_the_labels(spark, name, label, found, marked):
+    """The share of held-out rows of label 1 that are predicted so, and of label 0 that are too."""
+    from passagelake.llm.queries import QUERIES
+
+    labels = spark.read.parquet(f"{LARGE}/labels.parquet").select("doc_id", F.col(label).alias("y")).where("y is not null")
+    rows = QUERIES[name](spark, LARGE).where("held_out").join(labels, "doc_id")
+    share = {r["y"]: r["share"] for r in rows.groupBy("y").agg(F.avg("predicted").alias("share")).collect()}
+    assert share[1] >= found and share[0] <= marked, share
+
+
 DATA = "/root/testdata/sf0.001"
 
 
