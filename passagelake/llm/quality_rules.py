@@ -3,11 +3,17 @@
 Every document is measured in place with array expressions. Each measure is then
 sketched per language and source: a histogram over logarithmic bins, whose counts merge by
 addition and give every quantile to a fixed relative error, whatever the order of
-merging. A limit is a fence around the group's own middle, ``median + reach * (median -
-low quantile) + margin``, so it moves with the group and a group of clean documents loses
-none. Groups of few documents take the merged sketch of their language, or of all.
+merging. Only documents that pass the base rule are sketched, so that junk which is refused
+anyway does not set a bar. An upper limit is a fence around the group's own middle and upper
+tail::
 
-Cases: a null or empty text has no words; it fails the base rule and keeps its row. Null
+    median + reach * (median - low quantile) + margin + min(slope * (upper quantile - median), rise)
+
+It moves with the group; ``rise`` bounds how far a group whose tail is junk can lift its own bar.
+Groups of few documents take the merged sketch of their language, or of all.
+
+Cases: a null or empty text has no words; it fails the base rule and keeps its row. So do all rows of
+a group in which none passes the base rule. Very long texts are measured whole. An empty table gives no rows. Null
 languages and sources form a group of their own. Rows that repeat are counted as often as
 they come. Ids may be null and are not used.
 """
@@ -31,20 +37,27 @@ GAMMA = 1.02
 
 @dataclass(frozen=True)
 class Rule:
-    """``over / under`` must not pass the group's upper fence (and, if asked, its lower one)."""
+    """``over / under`` must not pass the group's upper fence (and, if asked, its lower one).
+
+    ``upper`` is the quantile whose distance from the median lifts the fence, ``slope`` times and
+    by no more than ``rise``.
+    """
 
     name: str
     over: str
     under: str
     margin: float
+    upper: float
+    slope: float
+    rise: float
     lower: bool = False
 
 
 RULES = (
-    Rule("symbols", "n_symbols", "word_chars", 0.03),
-    Rule("repeats", "n_repeat_words", "n_words", 0.25),
-    Rule("lines", "n_dup_lines", "n_lines", 0.5),
-    Rule("word_length", "word_chars", "n_words", 3.0, lower=True),
+    Rule("symbols", "n_symbols", "word_chars", 0.03, 0.95, 0.25, 0.03),
+    Rule("repeats", "n_repeat_words", "n_words", 0.15, 0.98, 2.0, 0.15),
+    Rule("lines", "n_dup_lines", "n_lines", 0.2, 0.98, 2.0, 0.3),
+    Rule("word_length", "word_chars", "n_words", 2.0, 0.95, 2.0, 1.0, lower=True),
 )
 REACH, LOW, MIN_GROUP = 4.0, 0.05, 200
 
@@ -128,13 +141,16 @@ def _value(rule: Rule) -> Column:
 
 
 def sketches(features: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``_lang, _source, rule, bin, n``: the counts of each group's logarithmic bins (null: zero)."""
+    """``_lang, _source, rule, bin, n``: the counts of each group's logarithmic bins (null: zero).
+
+    ``features`` has ``base_failed``; such rows are left out.
+    """
     values = F.explode(
         F.array(*(F.struct(F.lit(r.name).alias("rule"), _value(r).alias("v")) for r in rules))
     )
     bins = F.when(F.col("e.v") > 0, F.ceil(F.log("e.v") / F.log(F.lit(GAMMA))).cast("int"))
     return (
-        features.where("n_words > 0").select("_lang", "_source", values.alias("e"))
+        features.where("n_words > 0 and not base_failed").select("_lang", "_source", values.alias("e"))
         .select("_lang", "_source", "e.rule", bins.alias("bin"))
         .groupBy("_lang", "_source", "rule", "bin").agg(F.count("*").alias("n"))
     )
@@ -159,11 +175,12 @@ def limits(
     reach: float = REACH, low: float = LOW, min_group: int = MIN_GROUP,
 ) -> DataFrame:
     """``_lang, _source`` and ``<rule>_high``, ``<rule>_low`` of every group."""
-    points = {"low": low, "mid": 0.5, "high": 1 - low}
+    names = {p: f"upper{k}" for k, p in enumerate(sorted({r.upper for r in rules}))}
+    points = {"low": low, "mid": 0.5, "high": 1 - low} | {name: p for p, name in names.items()}
     levels = []
     for group in (["_lang", "_source"], ["_lang"], []):
         merged = sketch.groupBy(*group, "rule", "bin").agg(F.sum("n").alias("n"))
-        levels.append(quantiles(merged, group, points).select(*group, "rule", F.struct("n", "low", "mid", "high").alias(f"s{len(group)}")))
+        levels.append(quantiles(merged, group, points).select(*group, "rule", F.struct("n", *points).alias(f"s{len(group)}")))
     own, by_lang, whole = levels
     chosen = (
         own.join(by_lang, ["_lang", "rule"]).join(whole, "rule")
@@ -172,7 +189,8 @@ def limits(
     columns = []
     for r in rules:
         here = F.when(F.col("rule") == r.name, F.col("s"))
-        columns.append(F.max(here["mid"] + reach * (here["mid"] - here["low"]) + r.margin).alias(f"{r.name}_high"))
+        lift = F.least(r.slope * (here[names[r.upper]] - here["mid"]), F.lit(r.rise))
+        columns.append(F.max(here["mid"] + reach * (here["mid"] - here["low"]) + r.margin + lift).alias(f"{r.name}_high"))
         if r.lower:
             columns.append(F.min(here["mid"] - reach * (here["high"] - here["mid"]) - r.margin).alias(f"{r.name}_low"))
     return chosen.groupBy("_lang", "_source").agg(*columns)
@@ -184,10 +202,10 @@ def judge(
     reach: float = REACH, low: float = LOW, min_group: int = MIN_GROUP,
 ) -> DataFrame:
     """``_row`` (the input row without its text), the counts, ``base_failed`` and ``kept``."""
-    features = save(measured(docs, text_col), "quality-counts")
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
+    features = save(measured(docs, text_col).withColumn("base_failed", failed), "quality-counts")
     fences = save(limits(save(sketches(features, rules), "sketches"), rules, reach, low, min_group), "limits")
     joined = attach(features, fences, ["_lang", "_source"], width=F.lit(64) + 16 * len(rules) + F.octet_length("_lang") + F.octet_length("_source"))
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     within = F.lit(True)
     for r in rules:
         within &= _value(r) <= F.col(f"{r.name}_high")
@@ -195,5 +213,5 @@ def judge(
             within &= _value(r) >= F.col(f"{r.name}_low")
     return joined.select(
         "_row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & F.coalesce(within, F.lit(False))).alias("kept"),
+        "base_failed", (~F.col("base_failed") & F.coalesce(within, F.lit(False))).alias("kept"),
     )

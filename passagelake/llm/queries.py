@@ -180,13 +180,14 @@ WITH docs AS (
         length(array_to_string(w, ''))::BIGINT AS word_chars,
         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l)::BIGINT AS n_lines,
-        coalesce(hit.n, 0)::BIGINT AS n_repeat_words
+        coalesce(hit.n, 0)::BIGINT AS n_repeat_words,
+        len(w) < 20 OR 100 * coalesce(hit.n, 0) > 30 * len(w) AS base_failed
     FROM docs LEFT JOIN hit USING (r)
 ), v AS (
-    SELECT lang, source, 'symbols' AS rule, n_symbols / word_chars AS v FROM f WHERE n_words > 0
-    UNION ALL SELECT lang, source, 'repeats', n_repeat_words / n_words FROM f WHERE n_words > 0
-    UNION ALL SELECT lang, source, 'lines', n_dup_lines / n_lines FROM f WHERE n_words > 0
-    UNION ALL SELECT lang, source, 'word_length', word_chars / n_words FROM f WHERE n_words > 0
+    SELECT lang, source, 'symbols' AS rule, n_symbols / word_chars AS v FROM f WHERE n_words > 0 AND NOT base_failed
+    UNION ALL SELECT lang, source, 'repeats', n_repeat_words / n_words FROM f WHERE n_words > 0 AND NOT base_failed
+    UNION ALL SELECT lang, source, 'lines', n_dup_lines / n_lines FROM f WHERE n_words > 0 AND NOT base_failed
+    UNION ALL SELECT lang, source, 'word_length', word_chars / n_words FROM f WHERE n_words > 0 AND NOT base_failed
 ), b AS (
     SELECT lang, source, rule, CASE WHEN v > 0 THEN ceil(ln(v) / ln(1.02))::INT ELSE -1000000 END AS bin, count(*) AS n
     FROM v GROUP BY ALL
@@ -202,25 +203,27 @@ WITH docs AS (
 ), q AS (
     SELECT g, lang, source, rule, max(total) AS n,
         min(v) FILTER (upto >= 0.05::DOUBLE * total) AS low, min(v) FILTER (upto >= 0.5 * total) AS mid,
-        min(v) FILTER (upto >= 0.95::DOUBLE * total) AS high
+        min(v) FILTER (upto >= 0.95::DOUBLE * total) AS high,
+        min(v) FILTER (upto >= 0.98::DOUBLE * total) AS top
     FROM ranked GROUP BY ALL
 ), chosen AS (
     SELECT o.lang, o.source, o.rule,
         CASE WHEN o.n >= 200 THEN o.low WHEN m.n >= 200 THEN m.low ELSE a.low END AS low,
         CASE WHEN o.n >= 200 THEN o.mid WHEN m.n >= 200 THEN m.mid ELSE a.mid END AS mid,
-        CASE WHEN o.n >= 200 THEN o.high WHEN m.n >= 200 THEN m.high ELSE a.high END AS high
+        CASE WHEN o.n >= 200 THEN o.high WHEN m.n >= 200 THEN m.high ELSE a.high END AS high,
+        CASE WHEN o.n >= 200 THEN o.top WHEN m.n >= 200 THEN m.top ELSE a.top END AS top
     FROM q o JOIN q m ON m.g = 1 AND m.lang = o.lang AND m.rule = o.rule JOIN q a ON a.g = 0 AND a.rule = o.rule
     WHERE o.g = 2
 ), fence AS (
     SELECT lang, source,
-        max(mid + 4 * (mid - low) + 0.03) FILTER (rule = 'symbols') AS symbols,
-        max(mid + 4 * (mid - low) + 0.25) FILTER (rule = 'repeats') AS repeats,
-        max(mid + 4 * (mid - low) + 0.5) FILTER (rule = 'lines') AS lines,
-        max(mid + 4 * (mid - low) + 3) FILTER (rule = 'word_length') AS longest,
-        min(mid - 4 * (high - mid) - 3) FILTER (rule = 'word_length') AS shortest
+        max(mid + 4 * (mid - low) + 0.03::DOUBLE + least(0.25::DOUBLE * (high - mid), 0.03::DOUBLE)) FILTER (rule = 'symbols') AS symbols,
+        max(mid + 4 * (mid - low) + 0.15::DOUBLE + least(2 * (top - mid), 0.15::DOUBLE)) FILTER (rule = 'repeats') AS repeats,
+        max(mid + 4 * (mid - low) + 0.2::DOUBLE + least(2 * (top - mid), 0.3::DOUBLE)) FILTER (rule = 'lines') AS lines,
+        max(mid + 4 * (mid - low) + 2 + least(2 * (high - mid), 1)) FILTER (rule = 'word_length') AS longest,
+        min(mid - 4 * (high - mid) - 2) FILTER (rule = 'word_length') AS shortest
     FROM chosen GROUP BY ALL
 ), judged AS (
-    SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f LEFT JOIN fence USING (lang, source)
+    SELECT * FROM f LEFT JOIN fence USING (lang, source)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     coalesce(NOT base_failed AND n_symbols / word_chars <= symbols AND n_repeat_words / n_words <= repeats

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from passagelake.llm.decontaminate import decontaminate, scan
 from passagelake.llm.line_dedup import dedup_lines, line_bitmaps
-from passagelake.llm.quality_rules import judge
+from passagelake.llm.quality_rules import RULES, judge, limits, measured, sketches
 
 SCHEMA = "doc_id long, text string, lang string, source string, _id string, n_lines string, kept string"
 SPACE = " \t\n\x0b\f\r"
@@ -122,6 +122,29 @@ def test_limits_follow_their_group(spark):
     assert kept.pop(5000) is False and all(kept.values())
 
 
+def test_limits_follow_the_tail_of_their_group(spark):
+    """Usual repetition lifts a source's limits, by a bounded step; rows that fail the base rule lift none."""
+    words = [f"word{k}" for k in range(100)]
+
+    def text(i, again):
+        return " ".join(words + [f"own{i}"]) + "\n" + " ".join(words[:again])
+
+    rows = [(i, text(i, 0), "en", "plain") for i in range(300)]
+    rows += [(1_000 + i, text(i, 10 if i % 10 == 0 else 0), "en", "refrains") for i in range(300)]
+    rows += [(2_000 + i, "again and again " * 30 if i % 3 == 0 else text(i, 0), "en", "junk") for i in range(300)]
+    rows += [(3_000 + i, "too few", "en", "short") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    failed = F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
+    found = limits(sketches(measured(docs).withColumn("base_failed", failed)), min_group=100)
+    high = {r["_source"]: r["repeats_high"] for r in found.collect()}
+    rule = next(r for r in RULES if r.name == "repeats")
+    assert high["plain"] == high["junk"] == rule.margin
+    assert rule.margin < high["refrains"] <= rule.margin + rule.rise
+    kept = {r["doc_id"]: r["kept"] for r in judge(docs).select("_row.doc_id", "kept").collect()}
+    assert len(kept) == len(rows) and not any(kept[3_000 + i] for i in range(3))
+    assert all(kept[i] for i in range(300)) and all(kept[1_000 + i] for i in range(300))
+
+
 TEST_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
