@@ -359,4 +359,4 @@ def test_pipeline_passes_an_empty_table(spark, tmp_path):
 def test_registered_queries_of_the_part():
     from passagelake.llm.queries import ORACLES, QUERIES
 
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
