@@ -236,3 +236,29 @@ def test_rows_of_tables_are_known_from_the_log(spark, make_engine):
     for name in ("documents", "chunks", "postings", "vocabulary", "grams", "files"):
         assert snapshot.rows(name) == engine.store._load(name).count()
     assert snapshot.rows("vectors") == 0 and S.SCHEMAS.keys() >= {"postings"}
+
+
+def test_questions_reach_the_driver_as_columns(spark, small, monkeypatch):
+    """Weights and scopes of written tables, without an object a row."""
+    from pyspark.sql import DataFrame
+
+    weights = spark.range(0, 20_000, 1, 3).select(
+        F.concat(F.lit("q"), (F.col("id") % 500).cast("string")).alias("query_id"), (F.col("id") % 40).cast("int").alias("pos"),
+        F.concat(F.lit("t"), (F.col("id") % 700).cast("string")).alias("term"), (F.col("id") / 7).alias("weight_idf"),
+        (F.col("id") % 500 % 5).alias("n_groups"),
+    )
+    scope = spark.createDataFrame([("q3", "b"), ("q3", "a"), ("q9", "a"), ("nobody", "c"), ("q3", "b"), ("q9", None)], "query_id string, doc_id string")
+    rows, limits = weights.collect(), scope.collect()
+    monkeypatch.setattr(DataFrame, "collect", lambda self: pytest.fail("rows were collected"))
+    found = blockmax.asked(weights, scope)
+    plain = sorted(rows, key=lambda r: (r["term"], r["query_id"], r["pos"]))
+    assert found.query_ids == sorted({r["query_id"] for r in rows})
+    assert [found.query_ids[q] for q in found.query] == [r["query_id"] for r in plain]
+    assert found.pos.tolist() == [r["pos"] for r in plain] and found.weight.tolist() == [r["weight_idf"] for r in plain]
+    assert all({plain[k]["term"] for k in range(*span)} == {t} for t, span in found.first_of.items())
+    assert sum(high - low for low, high in found.first_of.values()) == len(plain)
+    assert {found.query_ids[q] for q in np.flatnonzero(found.short)} == {r["query_id"] for r in rows if r["n_groups"] <= 2}
+    named = {found.query_ids[q]: {found.scope_docs[d] for d in docs} for q, docs in found.allowed.items()}
+    assert named == {q: {r["doc_id"] for r in limits if r["query_id"] == q} for q in ("q3", "q9")}
+    empty = blockmax.asked(weights.limit(0), None)
+    assert empty.query_ids == [] and empty.first_of == {} and len(empty.weight) == 0
