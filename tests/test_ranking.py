@@ -244,3 +244,29 @@ def test_retrieval_over_files(spark, make_engine):
     asked = spark.createDataFrame(list(zip(cases, cases)), "query_id string, question string")
     got = {r["query_id"]: r["blocks"] for r in engine.index().retrieve(asked).collect()}
     assert {q: got[q][0]["filename"] for q in cases} == cases
+
+
+def test_known_floors_spare_the_search_of_batches(monkeypatch):
+    """What could fill a top is sought until every query has one; ties go to the greatest name."""
+    import pandas as pd
+
+    from passagelake.operators import dense
+
+    rng = np.random.default_rng(8)
+    vectors = rng.integers(-2, 3, (600, 3)).astype(float)  # with many ties
+    names = [f"c{i:03}" for i in rng.permutation(600)]
+    queries = rng.integers(-2, 3, (4, 3)).astype(float)
+    ids = ["a", "b", "a", None]  # an id may come twice, or not at all
+    batches = [
+        pd.DataFrame({"chunk_id": names[k : k + 100], "doc_id": "d", "vector": list(vectors[k : k + 100])}) for k in range(0, 600, 100)
+    ]
+    sought, partition = [], np.partition
+    monkeypatch.setattr(dense.np, "partition", lambda *a, **b: sought.append(1) or partition(*a, **b))
+    found = pd.concat(dense._search(["a", "b", "c", "b"], queries, 12, set())(iter(batches)))
+    assert len(sought) == 1
+    for q, own in (("a", [0]), ("b", [1, 3]), ("c", [2])):
+        want = sorted(((float(v @ queries[i]), n) for i in own for v, n in zip(vectors, names)), reverse=True)[:12]
+        mine = found[found.query_id == q]
+        assert sorted(zip(mine.score, mine.chunk_id), reverse=True) == want
+    found = pd.concat(dense._search(ids, queries, 12, set())(iter(batches)))
+    assert set(found.query_id) == {"a", "b"} and len(found) == 24
