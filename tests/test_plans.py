@@ -110,3 +110,18 @@ def test_first_copies_are_combined_before_the_shuffle(spark):
     rows = spark.range(10).select(F.lit("same").alias("sha256"), F.col("id").alias("position"), F.col("id").cast("string").alias("doc_id"))
     plan = plan_of(first_of_each(rows, ["sha256"], "position", "doc_id"))
     assert "partial_min" in plan and "Window" not in plan
+
+
+def test_neighbours_are_not_sent_to_the_driver(spark, index):
+    """Their number grows with the vocabulary; only the question's own terms are broadcast."""
+    from passagelake.workspace import save
+
+    terms = save(spark.createDataFrame([("lightnin",), ("shutter",)], "term string"), "terms")
+    plan = plan_of(index.expansions(terms))
+    assert plan.count("SortMergeJoin") == 1
+    similar = save(lexical.fuzzy_neighbours(terms, index.grams, index.gram_order, index.settings), "neighbours")
+    ways = [
+        sorted(map(tuple, lexical.known_terms(index.term_rows, similar, index.settings, grows).collect()))
+        for grows in (False, True)
+    ]
+    assert ways[0] == ways[1] != []
