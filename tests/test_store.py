@@ -262,3 +262,29 @@ def test_questions_reach_the_driver_as_columns(spark, small, monkeypatch):
     assert named == {q: {r["doc_id"] for r in limits if r["query_id"] == q} for q in ("q3", "q9")}
     empty = blockmax.asked(weights.limit(0), None)
     assert empty.query_ids == [] and empty.first_of == {} and len(empty.weight) == 0
+
+
+def test_postings_of_larger_segments_lie_in_pieces(spark, make_engine, monkeypatch):
+    """More pieces than windows are dealt to, each with whole chunks, and the same answers."""
+    texts = {f"{i}.txt": f"lightning shutter number{i % 7} harp{i} visitors. ".encode() * (1 + i % 3) for i in range(40)}
+    plain, dealt = make_engine(texts, "plain"), None
+    monkeypatch.setattr(blockmax, "PIECE_CHUNKS", 2)
+    dealt = make_engine(texts, "dealt")
+    assert blockmax.pieces_for(40, 3) == 8 and blockmax.pieces_for(0, 3) == 1
+    where = dealt.index().blocks.select("doc_bucket", F.input_file_name().alias("file"), F.inline("entries"))
+    files = where.groupBy("doc_bucket").agg(F.count_distinct("file").alias("n")).collect()
+    assert max(r["n"] for r in files) > blockmax.WINDOW_PIECES
+    chunks = where.groupBy("doc_id", "ordinal").agg(F.count_distinct("file").alias("n"))
+    assert chunks.where("n > 1").isEmpty() and chunks.count() == 40
+    found = []
+    for engine in (plain, dealt):
+        rows = engine.search("lightning harp3 number5", 12).join(engine.documents().select("doc_id", "filename"), "doc_id")
+        found.append(sorted((r["rank"], round(r["score"], 9)) for r in rows.collect()))
+    assert found[0] == found[1] and len(found[0]) == 12
+    dealt.compact()
+    again = dealt.search("lightning harp3 number5", 12).collect()
+    assert sorted((r["rank"], round(r["score"], 9)) for r in again) == found[0]
+
+
+def test_grams_are_written_without_what_follows_from_them(spark, make_engine):
+    assert make_engine(CORPUS).store._load("grams").columns == ["gram", "term", "n_grams", "grams", "signature", "segment", "gram_bucket"]
