@@ -11,7 +11,8 @@
    Documents of the same words are one node from here on, copies are never compared.
 3. Star rounds: each node meets the first node of one of its buckets, and when links have become
    classes, that of one of its buckets whose first node is in another class. Rounds go on while a fifth of their pairs
-   is linked. A round costs at most one pair a node, so a family of any size costs a few.
+   is linked. A round costs at most one pair a node, so a family of any size costs a few. Links found
+   join the classes of their ends, and buckets of one class are left out of later rounds.
 4. Buckets that hold several classes even then are not paired out. Two texts whose similarity, weighted
    or plain, reaches the threshold share one of their rarest shingles (``rare_shingles``, an exact prefix
    filter). All nodes of open buckets are grouped by those. In a group of several classes
@@ -33,12 +34,14 @@ in id and text are both in the result. An empty table gives none.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, keyed, partitions, save, worker_cache
+from .common import BROADCAST_ROWS, attach, keyed, partitions, worker_cache
+from .common import save as _save
 from .records import slices_of
 from .wordhash import Words, mix, shingles
 
@@ -64,6 +67,21 @@ WORTH_RARE = 0.01
 FLAT = 200_000
 #: shingles sampled at a time
 AT_ONCE = 8_192
+#: bytes of rows that go to a Python worker at a time; a row with the shingles of two texts may have hundreds of kilobytes
+BATCH_BYTES = 8 << 20
+#: the shingles of all nodes are sent to where pairs lie up to so many bytes, every round anew; beyond it pairs are shuffled to them
+SENT_BYTES = 24 << 20
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """``common.save``, with rows going to Python in batches of ``BATCH_BYTES``."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(BATCH_BYTES))
+    try:
+        return _save(df, name)
+    finally:
+        conf.set(key, before)
 
 
 def weighted_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Words]:
@@ -223,10 +241,9 @@ def similarities(a: tuple, b: tuple) -> tuple[float, float]:
 
 
 def signatures(documents: DataFrame, log_idf) -> DataFrame:
-    """A written table: ``_id, _tie, node, bands, bins`` of every row.
+    """A written table: ``_id, _tie, node, bands`` of every row.
 
-    ``node`` is a digest of the words, ``bands`` the bucket of each band (weighted ones first),
-    ``bins`` what ``may_link`` needs.
+    ``node`` is a digest of the words, ``bands`` the bucket of each band (weighted ones first).
     """
     id_type = documents.schema["_id"].dataType.simpleString()
 
@@ -240,7 +257,6 @@ def signatures(documents: DataFrame, log_idf) -> DataFrame:
                 values, counts, bounds, words = weighted_shingles(texts.slice(start, stop - start).to_pylist())
                 logs = np.log(counts).astype(np.float32) + log_idf.value[_counter(values)]
                 drawn = np.concatenate((samples(values, logs, bounds), smallest(values, bounds)), axis=1)
-                bins = binned(values, np.exp(logs), bounds)
                 bands = names[None, :] * np.ones((len(drawn), 1), np.uint64)
                 for k in range(ROWS):
                     bands = mix(bands + drawn[:, k::ROWS])
@@ -254,15 +270,12 @@ def signatures(documents: DataFrame, log_idf) -> DataFrame:
                     [
                         head.column(0), head.column(1), pa.array(nodes, pa.binary()),
                         pa.array([bands[k].astype(np.int64) if s else [] for k, s in enumerate(some)], pa.list_(pa.int64())),
-                        pa.array([row.tobytes() for row in bins], pa.binary()),
                     ],
-                    names=["_id", "_tie", "node", "bands", "bins"],
+                    names=["_id", "_tie", "node", "bands"],
                 )
 
     return save(
-        documents.select(*KEY, "_text").mapInArrow(
-            run, f"_id {id_type}, _tie long, node binary, bands array<long>, bins binary"
-        ),
+        documents.select(*KEY, "_text").mapInArrow(run, f"_id {id_type}, _tie long, node binary, bands array<long>"),
         "signatures",
     )
 
@@ -284,8 +297,11 @@ def rare_shingles(values: np.ndarray, weights: np.ndarray, log_idf: np.ndarray,
 
 
 def _named(pairs: DataFrame) -> DataFrame:
-    """Pairs of different numbers, each once, the smaller first."""
-    return pairs.where("x != y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    """``x, y, cx, cy``: pairs of different numbers, each once, and the two classes they would join; the smaller first."""
+    return pairs.where("x != y").select(
+        F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"),
+        F.least("cx", "cy").alias("cx"), F.greatest("cx", "cy").alias("cy"),
+    ).distinct()
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
@@ -299,25 +315,26 @@ def _rows_of(bins: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(bins), "<f4").reshape(-1, 2 * BINS)
 
 
-def bounded(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """``a, b``: the nodes of those pairs of numbers that can be similar enough."""
+def bounded(pairs: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+    """A written table of those ``_named`` pairs that can be similar enough."""
+    names = ["x", "y", "cx", "cy"]
 
     def keep(batches):
         import pyarrow as pa
 
         for batch in batches:
-            close = may_link(*(_rows_of(batch.column(i).to_pylist()) for i in (2, 3)), threshold)
-            yield batch.filter(pa.array(close)).select(["a", "b"])
+            close = may_link(*(_rows_of(batch.column(i).to_pylist()) for i in (4, 5)), threshold)
+            yield batch.filter(pa.array(close)).select(names)
 
-    def side(number, name):
-        return nodes.select(F.col("num").alias(number), F.col("node").alias(name), F.col("bins").alias(f"s{name}"))
+    def side(number):
+        return parts.select(F.col("num").alias(number), F.col("bins").alias(f"b{number}"))
 
-    both = pairs.join(side("x", "a"), "x").join(side("y", "b"), "y").where("a != b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(keep, "a binary, b binary")
+    both = pairs.join(side("x"), "x").join(side("y"), "y").select(*names, "bx", "by")
+    return save(both.mapInArrow(keep, "x long, y long, cx long, cy long"), "pairs")
 
 
-def node_shingles(shared: DataFrame, nodes: DataFrame, members: DataFrame, documents: DataFrame) -> DataFrame:
-    """A written table: ``node, num, values, counts``, the shingles of every node that shares a bucket."""
+def node_shingles(shared: DataFrame, nodes: DataFrame, members: DataFrame, documents: DataFrame, log_idf) -> DataFrame:
+    """A written table: ``node, num, values, counts, bins``, the shingles of every node that shares a bucket and what ``may_link`` needs."""
     wanted = save(
         nodes.join(shared.select("num").distinct(), "num").select("node", "num", "rep._id", "rep._tie"), "wanted"
     )
@@ -329,26 +346,43 @@ def node_shingles(shared: DataFrame, nodes: DataFrame, members: DataFrame, docum
         for batch in batches:
             for start, stop in slices_of(batch.column(2)):
                 values, counts, bounds, _ = weighted_shingles(batch.column(2).slice(start, stop - start).to_pylist())
+                logs = np.log(counts).astype(np.float32) + log_idf.value[_counter(values)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(k).slice(start, stop - start) for k in (0, 1)]
-                    + [pa.array([x[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], pa.binary()) for x in (values, counts.astype("<i4"))],
-                    names=["node", "num", "values", "counts"],
+                    + [pa.array([x[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], pa.binary()) for x in (values, counts.astype("<i4"))]
+                    + [pa.array([row.tobytes() for row in binned(values, np.exp(logs), bounds)], pa.binary())],
+                    names=["node", "num", "values", "counts", "bins"],
                 )
 
-    found = texts.mapInArrow(cut, "node binary, num long, values binary, counts binary")
+    found = texts.mapInArrow(cut, "node binary, num long, values binary, counts binary, bins binary")
     # rows equal in id and text come more than once; without such there is nothing to shuffle
     if not members.groupBy(*KEY).count().where("count > 1").isEmpty():
         found = found.dropDuplicates(["node"])
     return save(found, "shingles")
 
 
-def with_classes(shared: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of shared buckets with the class of each node, ``cls``; a node without links is its own."""
-    linked = nodes.select("node", "num").join(found, "node").select("num", F.xxhash64("class").alias("cls"))
-    own = F.coalesce("cls", F.xxhash64("self"))
-    return shared.join(linked, "num", "left").join(
-        nodes.select("num", F.col("node").alias("self")), "num"
-    ).select("key", "num", "first", own.alias("cls"))
+def sent_if_small(parts: DataFrame) -> DataFrame:
+    """Written ``node_shingles`` as the side of a join, broadcast if they were counted and are within the limits."""
+    width = F.lit(64) + F.octet_length("values") + F.octet_length("counts") + F.octet_length("bins")
+    size = parts.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
+    return F.broadcast(parts) if size["n"] <= BROADCAST_ROWS and size["b"] <= SENT_BYTES else parts
+
+
+def relabelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with the class of each node, ``cls``, after the links ``found``, which name the classes they join.
+
+    Only those classes are gone through, not every link so far.
+    """
+    new = components(found.select(F.col("cx").alias("a"), F.col("cy").alias("b"))).withColumnRenamed("node", "cls")
+    return rows.join(new, "cls", "left").withColumn("cls", F.coalesce("class", "cls")).select(*rows.columns)
+
+
+def open_buckets(rows: DataFrame) -> DataFrame:
+    """A written table: those ``key, num, first, cls`` whose bucket holds several classes, with ``first_cls``, that of its first node."""
+    classes = rows.groupBy("key").agg(
+        F.min("cls").alias("low"), F.max("cls").alias("high"), F.max(F.when(F.col("num") == F.col("first"), F.col("cls"))).alias("first_cls")
+    ).where("low != high")
+    return save(rows.join(classes.select("key", "first_cls"), "key"), "classed")
 
 
 def rare_rows(open_nodes: DataFrame, parts: DataFrame, log_idf, threshold: float) -> DataFrame:
@@ -405,19 +439,19 @@ def open_groups(rare: DataFrame, found: DataFrame) -> DataFrame:
     groups = groups.groupBy("one", "two", "n").agg(
         F.min(F.struct(-F.col("log_idf"), F.col("token").alias("token"))).alias("least"), F.first("main.cls").alias("main")
     ).select("least.token", "main")
-    return save(rows.drop("log_idf").join(groups, "token"), "open-shingles")
+    return save(rows.join(groups, "token"), "open-shingles")
 
 
 def to_largest(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs ``x, y``: each node outside the largest class of a shingle with one node in it, for one of its shingles."""
+    """``_named`` pairs: each node outside the largest class of a shingle with one node in it, for one of its shingles."""
     hubs = rows.where("cls = main").groupBy("token").agg(F.min(F.struct(F.xxhash64("num", F.lit(turn)), "num")).alias("hub"))
-    return rows.where("cls != main").join(hubs, "token").groupBy("num").agg(
-        F.min(F.struct(F.xxhash64("token", F.lit(turn)), "hub.num")).alias("of")
-    ).select(F.col("num").alias("x"), F.col("of.num").alias("y"))
+    return _named(rows.where("cls != main").join(hubs, "token").groupBy("num", "cls").agg(
+        F.min(F.struct(F.xxhash64("token", F.lit(turn)), "hub.num", "main")).alias("of")
+    ).select(F.col("num").alias("x"), F.col("of.num").alias("y"), F.col("cls").alias("cx"), F.col("of.main").alias("cy")))
 
 
 def across(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``x, y`` of nodes in different classes that have a rare shingle in common."""
+    """``_named`` pairs of nodes in different classes that have a rare shingle in common."""
     values = ("num", "cls", "size", "total", "rest", "behind")
     left = rows.where("cls != main").select("token", *(F.col(c).alias(f"l_{c}") for c in values))
     share = F.lit((1 - 1e-4) * threshold / (1 + threshold))
@@ -431,12 +465,11 @@ def across(rows: DataFrame, threshold: float) -> DataFrame:
         (F.col("cls") != F.col("l_cls")) & ((F.col("cls") == F.col("main")) | (F.col("l_num") < F.col("num")))
         & (enough("rest", "size") | enough("behind", "total"))
     )
-    return _named(met.select(F.col("l_num").alias("x"), F.col("num").alias("y")))
+    return _named(met.select(F.col("l_num").alias("x"), F.col("num").alias("y"), F.col("l_cls").alias("cx"), F.col("cls").alias("cy")))
 
 
 def verified(pairs: DataFrame, parts: DataFrame, log_idf, threshold: float) -> DataFrame:
-    """A written table of the pairs whose texts are similar enough."""
-    pairs = save(pairs.distinct(), "pairs")
+    """A written table of the written pairs whose texts are similar enough: ``a, b``, their nodes, and ``cx, cy``."""
 
     def keep(batches):
         import pyarrow as pa
@@ -445,18 +478,20 @@ def verified(pairs: DataFrame, parts: DataFrame, log_idf, threshold: float) -> D
             linked = []
             for i in range(batch.num_rows):
                 sides = []
-                for at in (2, 3):
+                for at in (4, 5):
                     values = np.frombuffer(batch.column(at)[i].as_py(), np.uint64)
                     counts = np.frombuffer(batch.column(at + 2)[i].as_py(), "<i4")
                     sides.append((values, counts * np.exp(log_idf.value[_counter(values)])))
                 linked.append(max(similarities(*sides)) >= threshold)
-            yield batch.filter(pa.array(linked, pa.bool_())).select(["a", "b"])
+            yield batch.filter(pa.array(linked, pa.bool_())).select(["a", "b", "cx", "cy"])
 
-    def side(name):
-        return parts.select(F.col("node").alias(name), F.col("values").alias(f"v{name}"), F.col("counts").alias(f"c{name}"))
+    def side(number, name):
+        return parts.select(
+            F.col("num").alias(number), F.col("node").alias(name), F.col("values").alias(f"v{name}"), F.col("counts").alias(f"c{name}")
+        )
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "va", "vb", "ca", "cb")
-    return save(both.mapInArrow(keep, "a binary, b binary"), "links")
+    both = pairs.join(side("x", "a"), "x").join(side("y", "b"), "y").select("a", "b", "cx", "cy", "va", "vb", "ca", "cb")
+    return save(both.mapInArrow(keep, "a binary, b binary, cx long, cy long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -488,49 +523,52 @@ def classes(
     members = signatures(documents, log_idf)
     nodes = save(
         members.groupBy("node").agg(
-            F.min(F.struct(*KEY)).alias("rep"), F.first("bands").alias("bands"), F.first("bins").alias("bins")
+            F.min(F.struct(*KEY)).alias("rep"), F.first("bands").alias("bands")
         ).withColumn("num", F.xxhash64("node")),
         "nodes",
     )
     shared = shared_buckets(nodes)
-    parts = node_shingles(shared, nodes, members, documents)
+    parts = node_shingles(shared, nodes, members, documents, log_idf)
+    sides = sent_if_small(parts)
 
     # each node meets the first node of one of its buckets, then of one of those in another class
-    stars = shared.groupBy("num").agg(F.min("first").alias("y")).select(F.col("num").alias("x"), "y")
-    links, turn = None, 0
+    rows = shared.withColumn("cls", F.col("num"))
+    stars = shared.groupBy("num").agg(F.min("first").alias("y")).select(
+        F.col("num").alias("x"), "y", F.col("num").alias("cx"), F.col("y").alias("cy")
+    )
+    links, turn = [], 0
     while True:
-        pairs = save(bounded(_named(stars), nodes, threshold), "stars")
-        found = verified(pairs, parts, log_idf, threshold)
-        links = found if links is None else links.union(found)
-        rows = save(with_classes(shared, nodes, components(links)), "classed")
-        if found.count() < WORTH * pairs.count() or pairs.isEmpty():
+        pairs = bounded(_named(stars), sides, threshold)
+        found = verified(pairs, sides, log_idf, threshold)
+        links.append(found)
+        rows = open_buckets(relabelled(rows, found))
+        met = pairs.count()
+        if found.count() < WORTH * met or not met:
             break
         turn += 1
-        firsts = rows.where("num = first").groupBy("key").agg(F.min("cls").alias("first_cls"))
-        apart = rows.join(firsts, "key").where("cls != first_cls")
-        stars = apart.groupBy("num").agg(F.min(F.struct(F.xxhash64("first", F.lit(turn)), "first")).alias("of")).select(
-            F.col("num").alias("x"), F.col("of.first").alias("y")
-        )
+        stars = rows.where("cls != first_cls").groupBy("num", "cls").agg(
+            F.min(F.struct(F.xxhash64("first", F.lit(turn)), "first", "first_cls")).alias("of")
+        ).select(F.col("num").alias("x"), F.col("of.first").alias("y"), F.col("cls").alias("cx"), F.col("of.first_cls").alias("cy"))
+        rows = rows.drop("first_cls")
 
     # then, of the buckets that hold several classes even now, whoever has a rare shingle in common
-    still = rows.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low != high")
-    open_nodes = save(rows.join(still, "key", "left_semi").select("num").distinct(), "open-nodes")
-    rare = rare_rows(open_nodes, parts, log_idf, threshold)
+    open_nodes = save(rows.select("num", "cls").distinct(), "open-nodes")
+    groups = open_groups(rare_rows(open_nodes, parts, log_idf, threshold), open_nodes)
     while True:  # first one node of a shingle's largest class, as long as that links
         turn += 1
-        groups = open_groups(rare, rows.select("num", "cls").distinct())
-        pairs = save(bounded(_named(to_largest(groups, turn)), nodes, threshold), "stars")
-        found = verified(pairs, parts, log_idf, threshold)
-        if found.isEmpty():
+        pairs = bounded(to_largest(groups, turn), sides, threshold)
+        found = verified(pairs, sides, log_idf, threshold)
+        linked = found.count()
+        if not linked:
             break
-        links = links.union(found)
-        rows = save(with_classes(shared, nodes, components(links)), "classed")
-        if found.count() < WORTH_RARE * pairs.count():
-            groups = open_groups(rare, rows.select("num", "cls").distinct())
+        links.append(found)
+        open_nodes = save(relabelled(open_nodes, found), "open-nodes")
+        groups = open_groups(groups.drop("cls", "main"), open_nodes)
+        if linked < WORTH_RARE * pairs.count():
             break
-    links = links.union(verified(bounded(across(groups, threshold), nodes, threshold), parts, log_idf, threshold))
+    links.append(verified(bounded(across(groups, threshold), sides, threshold), sides, log_idf, threshold))
 
-    grouped = components(links)
+    grouped = components(reduce(DataFrame.union, links))
     firsts = nodes.select("node", "rep").join(grouped, "node", "left").withColumn("class", F.coalesce("class", "node"))
     best = firsts.groupBy("class").agg(F.min("rep").alias("best"))
     named = save(firsts.join(best, "class").select("node", F.col("best._id").alias("first"), F.col("best._tie").alias("first_tie")), "classes")

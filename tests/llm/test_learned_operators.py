@@ -125,6 +125,41 @@ def test_like_nodes_of_a_large_bucket_meet_behind_an_unlike_leader(spark):
     assert found == {(1_000, 2_000)}
 
 
+def test_rounds_go_on_from_the_classes_they_join(spark):
+    # links found so far are not gone through again: found ones name classes, and only those change
+    rows = spark.createDataFrame([(7, k, 1, c) for k, c in ((1, 1), (2, 1), (3, 3), (4, 4), (5, 3))] + [(8, 6, 6, 6), (8, 9, 6, 9)],
+                                 "key long, num long, first long, cls long")
+    found = spark.createDataFrame([(1, 3), (6, 9)], "cx long, cy long")
+    after = near_dedup.relabelled(rows, found)
+    assert {r["num"]: r["cls"] for r in after.collect()} == {1: 1, 2: 1, 3: 1, 5: 1, 4: 4, 6: 6, 9: 6}
+    left = near_dedup.open_buckets(after)  # a bucket of one class is done with
+    assert {(r["key"], r["num"], r["first_cls"]) for r in left.collect()} == {(7, k, 1) for k in range(1, 6)}
+
+
+def test_nodes_are_joined_by_size_and_reach_python_in_small_batches(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    values = [np.sort(rng.integers(0, 1 << 63, 50, dtype=np.uint64)) for _ in range(3)]
+    values[2] = np.sort(np.concatenate((values[0][:48], values[1][:2])))
+    ones = np.ones(50, "<i4")
+    rows = [
+        (bytearray([k]), k, bytearray(v.tobytes()), bytearray(ones.tobytes()), bytearray(near_dedup.binned(v, ones, np.array([0, 50])).tobytes()))
+        for k, v in enumerate(values)
+    ]
+    parts = spark.createDataFrame(rows, "node binary, num long, values binary, counts binary, bins binary")
+    pairs = spark.createDataFrame([(0, 1, 0, 1), (0, 2, 0, 2), (1, 2, 1, 2)], "x long, y long, cx long, cy long")
+    idf = spark.sparkContext.broadcast(np.zeros(near_dedup.COUNTERS, np.float32))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(key), []
+    monkeypatch.setattr(near_dedup, "_save", lambda df, name, save=near_dedup._save: seen.append(spark.conf.get(key)) or save(df, name))
+    for limit, sent in ((near_dedup.SENT_BYTES, True), (100, False)):
+        monkeypatch.setattr(near_dedup, "SENT_BYTES", limit)
+        sides = near_dedup.sent_if_small(parts)
+        assert ("broadcast" in sides._jdf.queryExecution().logical().toString()) is sent
+        links = near_dedup.verified(near_dedup.bounded(pairs, sides, 0.8), sides, idf, 0.8).collect()
+        assert [(r["cx"], r["cy"]) for r in links] == [(0, 2)]
+    assert set(seen) == {str(near_dedup.BATCH_BYTES)} and spark.conf.get(key) == before
+
+
 def test_similar_texts_have_a_rare_shingle_in_common():
     rng = np.random.default_rng(7)
     met = 0
