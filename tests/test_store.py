@@ -223,6 +223,39 @@ def test_both_ways_of_scoring_agree(spark, make_engine, small):
     assert found[0] == found[1] and {r[0] for r in found[0]} == {"a", "b"}
 
 
+def test_sets_of_documents_are_not_spread_over_questions(spark, make_engine, monkeypatch):
+    """Scopes with more pairs than may be sent are scored where the postings lie all the same."""
+    from dataclasses import replace
+
+    from passagelake.operators import lexical
+    from passagelake.operators.scope import Scope
+
+    engine = make_engine(CORPUS)
+    engine.ingest(uploads(spark, {"second.txt": b"A shutter of the second house. Felt hammers in the oven."}))
+    docs = {r["filename"]: r["doc_id"] for r in engine.documents().collect()}
+    engine.delete_documents([docs["piano.txt"]])
+    texts = ("the shutter and the oven", "felt hammers", "humidity mirror", "oven")
+    asked = spark.createDataFrame([(f"{t}{k}", x) for t, x in enumerate(texts) for k in range(12)], "query_id string, question string")
+    names = [("0", "west"), ("1", "east"), ("1", "west"), ("3", "nowhere")]
+    asked_sets = spark.createDataFrame([(f"{t}{k}", s) for t, s in names for k in range(12)] * 2, "query_id string, scope string")
+    members = [("west", "dome.txt"), ("west", "second.txt"), ("east", "second.txt"), ("east", "piano.txt"), ("other", "bakery.md")]
+    held = spark.createDataFrame([(s, docs[f]) for s, f in members] + [("west", None)], "scope string, doc_id string")
+    scope = Scope(asked_sets, held)
+    index = engine.index()
+    plain = replace(index, settings=replace(index.settings, broadcast_rows=0))
+    found = sorted(map(tuple, index.lexical(asked, 5, scope).collect()))
+    allowed = {(r[0], r[1]) for r in scope.pairs().collect()}
+    assert all(r[0][0] == "2" or (r[0], r[2]) in allowed for r in found)
+    assert {r[0][0] for r in found} == {"0", "1", "2"} and len({r[0] for r in found}) == 36
+    assert found == sorted(map(tuple, plain.lexical(asked, 5, scope).collect()))
+    # pairs beyond the limit, weights within it
+    limited = replace(index, settings=replace(index.settings, broadcast_rows=180))
+    assert limited.weights(asked).count() < 180
+    monkeypatch.setattr(lexical, "bm25_scores", lambda *_: pytest.fail("the postings were joined"))
+    more = scope.pairs().unionByName(spark.range(400).selectExpr("'00' as query_id", "concat('none-', id) as doc_id"))
+    assert sorted(map(tuple, limited.lexical(asked, 5, more).collect())) == found
+
+
 def test_a_file_of_several_row_groups_is_refused(spark, make_engine, monkeypatch):
     engine = make_engine(CORPUS)
     monkeypatch.setattr(blockmax, "ONE_GROUP", 10)
