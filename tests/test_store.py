@@ -321,3 +321,51 @@ def test_postings_of_larger_segments_lie_in_pieces(spark, make_engine, monkeypat
 
 def test_grams_are_written_without_what_follows_from_them(spark, make_engine):
     assert make_engine(CORPUS).store._load("grams").columns == ["gram", "term", "n_grams", "grams", "signature", "segment", "gram_bucket"]
+
+
+def test_postings_are_grouped_where_they_were_dealt(spark):
+    """One exchange and no aggregate; the same blocks as by plain loops, whichever way batches are cut."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(300):
+        terms = sorted(rng.sample(["a", "b", "é", "z’s", *map(str, range(60))], rng.randrange(0, 9)))
+        counts = [(t, rng.randrange(1, 5)) for t in terms]
+        rows.append((k % 3, f"d{k % 70}", k, k // 70, sum(n for _, n in counts), counts))
+    schema = "doc_bucket int, doc_id string, number long, ordinal int, length int, counts array<struct<term:string,tf:int>>"
+    chunks = spark.createDataFrame(rows, schema)
+    placed = chunks.select("number", blockmax.piece_of(4).alias("piece"), blockmax.window_of().alias("window"))
+    where = {r["number"]: (r["piece"], r["window"]) for r in placed.collect()}
+    want: dict = {}
+    for bucket, doc, number, ordinal, length, counts in rows:
+        for term, tf in counts:
+            want.setdefault((bucket, where[number][0], term, where[number][1]), []).append((doc, ordinal, number, tf, length))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = blockmax.blocks(chunks, 3, 4)
+        got = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    mine = {(r["doc_bucket"], r["piece"], r["term"], r["window"]): r for r in got}
+    assert len(mine) == len(got) and mine.keys() == want.keys()
+    for key, entries in want.items():
+        r = mine[key]
+        assert [tuple(e) for e in r["entries"]] == sorted(entries) and r["n"] == len(entries)
+        assert r["max_tf"] == max(e[3] for e in entries) and r["min_length"] == min(e[4] for e in entries)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Exchange") == 1
+    assert blockmax.blocks(chunks.limit(0), 3, 1).isEmpty()
+
+
+def test_words_are_counted_as_the_text_functions_do(spark):
+    from passagelake.functions import text as T
+    from passagelake.operators import postings as P
+
+    texts = [
+        None, "", "the of and", "The İstanbul ﬁnal’s ΣΑΣ stopped stop's dogs’ édly running classes 50's ß ŉ ½ cries died",
+        "addressed passes glasses ties tied sing being wedly boldly boxes cats a1 it's 'quoted' x’y’z", DOME.decode(), "Ünïcödé naïve résumés",
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    plain = rows.select("*", T.tokens(F.col("text")).alias("t")).select("i", "text", F.size("t").alias("length"), T.term_counts(F.col("t")).alias("counts"))
+    found = P.analysed(rows)
+    assert found.columns == plain.columns and found.dtypes == plain.dtypes
+    assert found.orderBy("i").collect() == plain.orderBy("i").collect()
