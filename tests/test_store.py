@@ -351,7 +351,7 @@ def test_postings_are_grouped_where_they_were_dealt(spark):
         r = mine[key]
         assert [tuple(e) for e in r["entries"]] == sorted(entries) and r["n"] == len(entries)
         assert r["max_tf"] == max(e[3] for e in entries) and r["min_length"] == min(e[4] for e in entries)
-    plan = found._jdf.queryExecution().executedPlan().toString()
+    plan = blockmax.blocks(chunks, 3, 4)._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and plan.count("Exchange") == 1
     assert blockmax.blocks(chunks.limit(0), 3, 1).isEmpty()
 
@@ -369,3 +369,22 @@ def test_words_are_counted_as_the_text_functions_do(spark):
     found = P.analysed(rows)
     assert found.columns == plain.columns and found.dtypes == plain.dtypes
     assert found.orderBy("i").collect() == plain.orderBy("i").collect()
+
+
+def test_grams_are_ordered_within_their_row(spark):
+    """No exchange; rarest grams first, unknown ones before all, equal ones by name."""
+    from passagelake.operators import postings as P
+
+    words = ["dome", "domes", "home", "a", "", "zzz", "é’s", "banana"]
+    terms = spark.createDataFrame([(w,) for w in words], "term string")
+    order = P.gram_order(terms.where("term not in ('zzz', 'banana')"))
+    holders = {r["gram"]: r["holders"] for r in order.collect()}
+    found = P.gram_prefixes(terms, order)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    for r in found.collect():
+        padded = f"${r['term']}$"
+        grams = {padded[i : i + 3] for i in range(max(1, len(padded) - 2))}
+        assert r["grams"] == sorted(grams, key=lambda g: (holders.get(g, 0), g)) and r["n_grams"] == len(grams)
+        assert r["prefix"] == r["grams"][: len(r["prefix"])] and bin(r["signature"] & (2**64 - 1)).count("1") <= len(grams)
+    bits = spark.createDataFrame([(g,) for g in ("$do", "dom", "ome", "me$")], "g string").selectExpr("shiftleft(1L, cast(pmod(xxhash64(g), 64) as int)) as b")
+    assert found.where("term = 'dome'").first()["signature"] == bits.selectExpr("bit_or(b)").first()[0]
